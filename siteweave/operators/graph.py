@@ -10,10 +10,46 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def components(edges: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+GROUP_LIMIT = 1000
+
+
+def components(
+    edges: DataFrame, keys: Sequence[str] = ("image_id",), group_limit: int = GROUP_LIMIT
+) -> DataFrame:
     """``keys, id, component`` for every end of an edge; the label is the smallest id.
 
-    Labels shrink by the smallest neighbour label and by pointer jumping (the
+    Images with up to ``group_limit`` edges merge their node sets inside the JVM;
+    the others go through label propagation over the whole cluster.
+    """
+    keys = list(keys)
+    edges = edges.select(*keys, "id_a", "id_b")
+    big = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit).select(*keys)
+    if big.isEmpty():
+        return merged_sets(edges, keys)
+    return merged_sets(edges.join(big, keys, "left_anti"), keys).unionByName(
+        propagated_labels(edges.join(big, keys, "left_semi"), keys)
+    )
+
+
+def merged_sets(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fold of the edges of one key: every edge merges the sets that hold its ends."""
+    id_type = edges.schema["id_a"].dataType.simpleString()
+
+    def merge(sets, e):
+        touched = lambda s: F.array_contains(s, e["id_a"]) | F.array_contains(s, e["id_b"])
+        joined = F.array_union(F.flatten(F.filter(sets, touched)), F.array(e["id_a"], e["id_b"]))
+        return F.concat(F.filter(sets, lambda s: ~touched(s)), F.array(joined))
+
+    start = F.array().cast(f"array<array<{id_type}>>")
+    sets = edges.groupBy(*keys).agg(
+        F.aggregate(F.collect_list(F.struct("id_a", "id_b")), start, merge).alias("_sets")
+    )
+    one = sets.select(*keys, F.explode("_sets").alias("_set"))
+    return one.select(*keys, F.explode("_set").alias("id"), F.array_min("_set").alias("component"))
+
+
+def propagated_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Labels shrink by the smallest neighbour label and by pointer jumping (the
     label of the label), so that long chains settle in logarithmic rounds. Every
     round writes its labels to the checkpoint folder.
     """
@@ -32,15 +68,13 @@ def components(edges: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFra
             .agg(F.min("component").alias("near"))
         )
         hop = labels.select(*keys, F.col("id").alias("component"), F.col("component").alias("far"))
-        nxt = (
+        nxt = cut(
             labels.join(via, [*keys, "id"])
             .join(hop, [*keys, "component"])
             .select(*keys, "id", F.col("component").alias("old"), F.least("component", "near", "far").alias("component"))
         )
-        nxt = cut(nxt)
-        changed = nxt.filter(F.col("component") != F.col("old"))
         labels = nxt.select(*keys, "id", "component")
-        if changed.isEmpty():
+        if nxt.filter(F.col("component") != F.col("old")).isEmpty():
             return labels
 
 

@@ -131,8 +131,8 @@ def containment_dedupe(
     keys = list(keys)
     scored = items.withColumn("agreement", agreement())
     rank = [-F.col("agreement"), -F.col("mask_area"), F.col("pos")]
-    ranked = scored.withColumn("_rank", F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)]))
-    edges = containment_edges(ranked, mask_intersections(spans, keys), mask_limit, box_limit, keys)
+    ranked = cut(scored.withColumn("_rank", F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])))
+    edges = cut(containment_edges(ranked, mask_intersections(spans, keys), mask_limit, box_limit, keys))
     verdict = settle(ranked, edges, rank, keys, group_limit)
     hits = edges.select(*keys, F.col("worse").alias("id"), F.col("better").alias("duplicate_of"), "contained")
     return ranked.drop("_rank").join(verdict, [*keys, "id"]).join(hits, [*keys, "id", "duplicate_of"], "left")
@@ -185,13 +185,14 @@ def split_parents(
     group box pass through.
     """
     keys = list(keys)
+    items, children = cut(items), cut(children.select(*keys, "id", "rank", *BOX))
     parents = items.filter("is_group").select(*keys, "id", *BOX)
     pw = F.greatest(F.col("a.x1") - F.col("a.x0"), dlit(1))
     ph = F.greatest(F.col("a.y1") - F.col("a.y0"), dlit(1))
     a, b = box(alias="a"), box(alias="b")
     barea = F.greatest((b[2] - b[0]) * (b[3] - b[1]), dlit(1))
     inside = (barea / (pw * ph) <= area_share) & (intersection(a, b) / barea >= contain)
-    eligible = box_pairs(parents, children.select(*keys, "id", "rank", *BOX), keys, inside).select(
+    eligible = box_pairs(parents, children, keys, inside).select(
         *[F.col(f"a.{k}").alias(k) for k in keys],
         F.col("a.id").alias("parent"),
         pw.alias("pw"),
@@ -224,6 +225,7 @@ def split_parents(
         )
         .select(*keys, "id", "_p.*")
     )
+    splits = cut(splits)
     split_boxes = parents.join(splits.select(*keys, "id"), [*keys, "id"], "left_semi")
     sub = box_pairs(split_boxes, parents, keys, inside & (F.col("a.id") != F.col("b.id"))).select(
         *[F.col(f"a.{k}").alias(k) for k in keys], F.col("b.id").alias("id")

@@ -9,55 +9,49 @@ single cell and are joined on the image id alone.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import BOX, box, intersection
+from ..functions.geometry import BOX, box
+from ..session import cut
 
 PAIR_LIMIT = 4096
 MAX_DIVISIONS = 64
 
 
-def spread(
-    boxes: DataFrame,
-    keys: Sequence[str],
-    limit: int = PAIR_LIMIT,
-    bounds: Sequence[str] = BOX,
-) -> DataFrame:
-    """One row per (box, cell); adds ``_step``, ``_cx``, ``_cy`` and ``_salts``.
-
-    ``_step`` is the cell edge of the image (null: one cell), ``_salts`` the
-    number of salts of the cell. Only images and cells beyond ``limit`` enter
-    the two lookup tables, so these have at most rows/limit entries; whether
-    they are broadcast is left to the size-based rule of the engine.
-    """
-    keys = list(keys)
+def hot_images(boxes: DataFrame, keys: Sequence[str], limit: int, bounds: Sequence[str] = BOX) -> DataFrame:
+    """Images beyond ``limit`` boxes with the cell edge ``_step`` of their grid; at most rows/limit rows."""
     x0, y0, x1, y1 = (F.col(c) for c in bounds)
-    hot = (
+    divisions = F.least(F.lit(float(MAX_DIVISIONS)), F.ceil(F.sqrt(F.col("_n") / limit)) + 1)
+    return (
         boxes.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.max(F.greatest(x1, y1)).alias("_top"),
             F.min(F.least(x0, y0)).alias("_low"),
         )
-        .filter(F.col("_n") > limit)
-        .select(
-            *keys,
-            (
-                (F.col("_top") - F.col("_low"))
-                / F.least(F.lit(float(MAX_DIVISIONS)), F.ceil(F.sqrt(F.col("_n") / limit)) + 1)
-            ).alias("_step"),
-        )
-        .filter(F.col("_step") > 0)
+        .filter((F.col("_n") > limit) & (F.col("_top") > F.col("_low")))
+        .select(*keys, ((F.col("_top") - F.col("_low")) / divisions).alias("_step"))
     )
 
+
+def spread(
+    boxes: DataFrame, hot: DataFrame, keys: Sequence[str], limit: int = PAIR_LIMIT, bounds: Sequence[str] = BOX
+) -> DataFrame:
+    """One row per (box, cell); adds ``_step``, ``_cx``, ``_cy`` and ``_salts``.
+
+    ``_step`` is null and the cell is (0, 0) for ordinary images; ``_salts`` is
+    the number of salts of the cell. Whether the lookup tables are broadcast is
+    left to the size-based rule of the engine.
+    """
+    keys = list(keys)
+    x0, y0, x1, y1 = (F.col(c) for c in bounds)
+
     def cell(v: Column) -> Column:
         return F.coalesce(F.floor(v / F.col("_step")), F.lit(0)).cast("int")
 
-    # dropping the exploded side's nullability would lose images of one cell: keep the left join
     gridded = boxes.join(hot, keys, "left")
     gridded = gridded.withColumn("_cx", F.explode(F.sequence(cell(x0), cell(x1))))
     gridded = gridded.withColumn("_cy", F.explode(F.sequence(cell(y0), cell(y1))))
@@ -81,53 +75,53 @@ def box_pairs(
     keys: Sequence[str] = ("image_id",),
     condition: Column | None = None,
     limit: int = PAIR_LIMIT,
-    salt_by: str = "id",
-    touching: bool = False,
     bounds: Sequence[str] = BOX,
 ) -> DataFrame:
     """Join boxes that intersect with positive area; columns under aliases ``a`` and ``b``.
 
     With one input every unordered pair appears once, ``a.id < b.id``. With two
-    inputs every combination of a left and a right box appears once.
-    ``condition`` is a residual on the aliases; it must imply an intersection.
+    inputs every combination of a left and a right box appears once; ``id`` is
+    unique per key on either side. ``condition`` is a residual on the aliases.
+
+    One aggregate over the key and box columns looks for images beyond ``limit``.
+    Without any, the plan is a plain hash or merge join on the keys.
     """
     keys = list(keys)
     self_join = right is None
-    if self_join:
-        both = spread(left, keys, limit, bounds)
-        lhs = rhs = both
-    else:
-        # one grid for both sides: spread the union, then split it again
-        tagged = left.select(*keys, salt_by, *bounds).withColumn("_side", F.lit(0)).unionByName(
-            right.select(*keys, salt_by, *bounds).withColumn("_side", F.lit(1))
+    sides = left.select(*keys, "id", *bounds)
+    if not self_join:
+        sides = sides.withColumn("_side", F.lit(0)).unionByName(
+            right.select(*keys, "id", *bounds).withColumn("_side", F.lit(1))
         )
-        grid = spread(tagged, keys, limit, bounds).select(
-            *keys, salt_by, "_side", "_step", "_cx", "_cy", "_salts"
-        )
-        lhs = left.join(grid.filter("_side = 0").drop("_side"), [*keys, salt_by])
-        rhs = right.join(grid.filter("_side = 1").drop("_side"), [*keys, salt_by])
-    lhs = lhs.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by)), F.col("_salts")).cast("int"))
-    rhs = rhs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    a, b = lhs.alias("a"), rhs.alias("b")
-    on = F.lit(True)
-    for k in [*keys, "_cx", "_cy", "_salt"]:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    if self_join:
-        on = on & (F.col("a.id") < F.col("b.id"))
+    hot = hot_images(sides, keys, limit, bounds)
     ba = tuple(F.col(f"a.{c}") for c in bounds)
     bb = tuple(F.col(f"b.{c}") for c in bounds)
-    strict = (F.least(ba[2], bb[2]) > F.greatest(ba[0], bb[0])) & (F.least(ba[3], bb[3]) > F.greatest(ba[1], bb[1]))
-    loose = (F.least(ba[2], bb[2]) >= F.greatest(ba[0], bb[0])) & (F.least(ba[3], bb[3]) >= F.greatest(ba[1], bb[1]))
-    on = on & (loose if touching else strict)
-    step = F.col("a._step")
-    home = step.isNull() | (
-        (F.floor(F.greatest(ba[0], bb[0]) / step) == F.col("a._cx"))
-        & (F.floor(F.greatest(ba[1], bb[1]) / step) == F.col("a._cy"))
-    )
-    on = on & home
+    rest = (F.least(ba[2], bb[2]) > F.greatest(ba[0], bb[0])) & (F.least(ba[3], bb[3]) > F.greatest(ba[1], bb[1]))
+    if self_join:
+        rest = rest & (F.col("a.id") < F.col("b.id"))
     if condition is not None:
-        on = on & condition
-    return a.join(b, on)
+        rest = rest & condition
+    on_keys = keys
+    lhs, rhs = left, left if self_join else right
+    if not hot.isEmpty():
+        hot = cut(hot)
+        if self_join:
+            lhs = rhs = spread(left, hot, keys, limit, bounds)
+        else:
+            # one grid and one salt count for both sides
+            grid = spread(sides, hot, keys, limit, bounds).drop(*bounds)
+            lhs = left.join(grid.filter("_side = 0").drop("_side"), [*keys, "id"])
+            rhs = right.join(grid.filter("_side = 1").drop("_side"), [*keys, "id"])
+        lhs = lhs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int"))
+        rhs = rhs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        step = F.col("a._step")
+        home = (F.floor(F.greatest(ba[0], bb[0]) / step) == F.col("a._cx")) & (
+            F.floor(F.greatest(ba[1], bb[1]) / step) == F.col("a._cy")
+        )
+        rest = rest & (step.isNull() | home)
+        on_keys = [*keys, "_cx", "_cy", "_salt"]
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on_keys]
+    return lhs.alias("a").join(rhs.alias("b"), [*on, rest])
 
 
 def overlapping_pairs(
@@ -170,11 +164,3 @@ def coincident_pairs(boxes: DataFrame, first: str, second: str, keys: Sequence[s
         F.least("id_a", "id_b").alias("id_a"),
         F.greatest("id_a", "id_b").alias("id_b"),
     )
-
-
-def divisions_for(count: int, limit: int = PAIR_LIMIT) -> int:
-    """Grid divisions per axis that ``spread`` uses for an image of ``count`` boxes."""
-    return 1 if count <= limit else min(MAX_DIVISIONS, math.ceil(math.sqrt(count / limit)) + 1)
-
-
-__all__ = ["spread", "box_pairs", "overlapping_pairs", "coincident_pairs", "ab", "intersection", "divisions_for"]

@@ -225,7 +225,7 @@ def context_crop(spark, d):
     + """, h AS (SELECT *, greatest(0, least(1000, x0*1.4-200)) AS h0, greatest(0, least(1000, y0*1.4-200)) AS h1,
       greatest(0, least(1000, x1*1.4-200)) AS h2, greatest(0, least(1000, y1*1.4-200)) AS h3 FROM tiled),
 p AS (SELECT *, tx0+h0*(tx1-tx0)/1000 AS q0, ty0+h1*(ty1-ty0)/1000 AS q1, tx0+h2*(tx1-tx0)/1000 AS q2, ty0+h3*(ty1-ty0)/1000 AS q3 FROM h WHERE h2>h0 AND h3>h1)
-SELECT image_id, id, label, round(q0,2) AS x0, round(q1,2) AS y0, round(q2,2) AS x1, round(q3,2) AS y1,
+SELECT image_id, id, label, round(q0,6) AS x0, round(q1,6) AS y0, round(q2,6) AS x1, round(q3,6) AS y1,
   round(greatest(0.01, least(1, coalesce(CASE WHEN id%7=0 THEN NULL ELSE score*1.2 END, 0.5))),6) AS score
 FROM p WHERE (q2-q0)*(q3-q1)/greatest(width*height,1) BETWEEN 0.001 AND 0.16""",
 )
@@ -233,7 +233,7 @@ def normalized_proposals(spark, d):
     raw = tiled_boxes(spark, d).withColumns({c: F.col(c) * 1.4 - 200 for c in G.BOX})
     raw = raw.withColumn("confidence", F.when(F.col("id") % 7 != 0, F.col("score") * 1.2))
     out = proposals.normalize_proposals(raw)
-    return out.select("image_id", "id", "label", *[F.round(c, 2).alias(c) for c in G.BOX], "score")
+    return out.select("image_id", "id", "label", *[F.round(c, 6).alias(c) for c in G.BOX], "score")
 
 
 @query(
@@ -362,18 +362,18 @@ def detection_items(spark, d):
 
 def mask_spans(spark, d):
     b = R.boxes(spark, d)
-    rows = b.withColumn("y", F.explode(F.expr("sequence(cast(y0 div 25 as int), cast(y1 div 25 as int) - 1)")))
+    rows = b.withColumn("y", F.explode(F.expr("sequence(cast(floor(y0 / 25) as int), cast(floor(y1 / 25) as int) - 1)")))
     return rows.select(
         "image_id", "id", "y",
-        F.expr("cast(x0 div 25 + (id + y) % 2 as int)").alias("x0"),
-        F.expr("cast(x1 div 25 - (id * y) % 2 as int)").alias("x1"),
+        F.expr("cast(floor(x0 / 25) + (id + y) % 2 as int)").alias("x0"),
+        F.expr("cast(floor(x1 / 25) - (id * y) % 2 as int)").alias("x1"),
     )
 
 
 SPANS_SQL = """items AS (SELECT *, id AS pos, score AS detector_score, CAST(id*31%1000 AS DOUBLE)/1000 AS classifier_score,
     CAST(id*71%1000 AS DOUBLE)/1000 AS quality, id%6=0 AS is_group FROM boxes),
-spans AS (SELECT image_id, id, y, CAST(x0//25 + (id+y)%2 AS INTEGER) AS x0, CAST(x1//25 - (id*y)%2 AS INTEGER) AS x1
-  FROM (SELECT *, unnest(range(CAST(y0//25 AS INTEGER), CAST(y1//25 AS INTEGER))) AS y FROM boxes)),
+spans AS (SELECT image_id, id, y, CAST(floor(x0/25) + (id+y)%2 AS INTEGER) AS x0, CAST(floor(x1/25) - (id*y)%2 AS INTEGER) AS x1
+  FROM (SELECT *, unnest(range(CAST(floor(y0/25) AS INTEGER), CAST(floor(y1/25) AS INTEGER))) AS y FROM boxes)),
 area AS (SELECT image_id, id, sum(x1-x0) AS mask_area FROM spans GROUP BY 1,2)"""
 
 
@@ -429,7 +429,7 @@ keptids AS (SELECT image_id, unnest(kept) AS id FROM fin)"""
     + """, win AS (SELECT l.image_id, l.id, min_by(sym.y, k.rn) AS duplicate_of FROM rk l JOIN sym ON sym.image_id=l.image_id AND sym.x=l.id
    JOIN keptids ki ON ki.image_id=l.image_id AND ki.id=sym.y JOIN rk k ON k.image_id=ki.image_id AND k.id=ki.id AND k.rn<l.rn
    WHERE (l.image_id,l.id) NOT IN (SELECT (image_id,id) FROM keptids) GROUP BY 1,2)
-SELECT rk.image_id, rk.id, win.duplicate_of, round(sym.contained,6) AS contained, round(rk.agreement,8) AS agreement
+SELECT rk.image_id, rk.id, win.duplicate_of, round(sym.contained,6) AS contained, round(rk.agreement,6) AS agreement
 FROM rk LEFT JOIN win USING (image_id,id) LEFT JOIN sym ON sym.image_id=rk.image_id AND sym.x=rk.id AND sym.y=win.duplicate_of""",
 )
 def containment_dedupe(spark, d):
@@ -438,7 +438,7 @@ def containment_dedupe(spark, d):
     items = detection_items(spark, d).join(area, ["image_id", "id"])
     out = masks.containment_dedupe(items, spans)
     return out.select(
-        "image_id", "id", "duplicate_of", F.round("contained", 6).alias("contained"), F.round("agreement", 8).alias("agreement")
+        "image_id", "id", "duplicate_of", F.round("contained", 6).alias("contained"), F.round("agreement", 6).alias("agreement")
     )
 
 
