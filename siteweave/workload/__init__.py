@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["boxes"]
+MODULES = ["boxes", "rulesets", "spatial_q"]
 
 
 def _load() -> None:

@@ -373,3 +373,78 @@ def sql_inter(a: str = "a", b: str = "b") -> str:
     return (
         f"(greatest(0,least({a}.x1,{b}.x1)-greatest({a}.x0,{b}.x0))*greatest(0,least({a}.y1,{b}.y1)-greatest({a}.y0,{b}.y0)))"
     )
+
+
+# ---- derived tables whose text both engines accept -----------------------------------------
+# ``{orders}`` etc. name the given tables; casts keep the types equal.
+
+
+def derive(spark: SparkSession, d: str, text: str) -> DataFrame:
+    names = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
+    return spark.sql(text, **{n: table(spark, d, n) for n in names if "{" + n + "}" in text})
+
+
+class _Plain(dict):
+    def __missing__(self, key):
+        return key
+
+
+def cte(name: str, text: str) -> str:
+    return f"{name} AS ({text.format_map(_Plain())})"
+
+
+def sql_issue(rule: str, source: str, doc: str = "doc_id", entity: str = "id", distinct: bool = False) -> str:
+    return (
+        f"SELECT {'DISTINCT ' if distinct else ''}CAST({doc} AS VARCHAR) AS doc_id, CAST({entity} AS VARCHAR) AS entity_id, '{rule}' AS rule FROM {source}"
+    )
+
+
+def sql_duplicates(rule: str, source: str, on: str, entity: str = "id") -> str:
+    return f"SELECT CAST(doc_id AS VARCHAR), CAST({entity} AS VARCHAR), '{rule}' FROM {source} GROUP BY {on} HAVING count(*)>1"
+
+
+def sql_account(rule: str, expected: str, claims: str) -> str:
+    """Expected and claims are relations with doc_id, source_id."""
+    return f"""SELECT CAST(doc_id AS VARCHAR), source_id, '{rule}_'||CASE WHEN w=0 THEN 'unexpected' WHEN g=0 THEN 'missing' ELSE 'repeated' END
+FROM (SELECT doc_id, source_id, max(w) AS w, sum(g) AS g FROM (SELECT doc_id, source_id, 1 AS w, 0 AS g FROM {expected} UNION ALL SELECT doc_id, source_id, 0, 1 FROM {claims}) GROUP BY 1,2) WHERE NOT (w=1 AND g=1)"""
+
+
+def sql_convex(q: str = "q") -> str:
+    turns = []
+    for i in range(4):
+        a, b, c = f"{q}{i}", f"{q}{(i + 1) % 4}", f"{q}{(i + 2) % 4}"
+        turns.append(f"(({b}x-{a}x)*({c}y-{b}y)-({b}y-{a}y)*({c}x-{b}x))")
+    return "((" + " AND ".join(f"{t}>1e-5" for t in turns) + ") OR (" + " AND ".join(f"{t}<-1e-5" for t in turns) + "))"
+
+
+def sql_point(x: str, y: str) -> str:
+    return f"({x} BETWEEN 0 AND 1000 AND {y} BETWEEN 0 AND 1000)"
+
+
+def sql_quad_ok(q: str = "q") -> str:
+    return "(" + " AND ".join(sql_point(f"{q}{i}x", f"{q}{i}y") for i in range(4)) + f" AND {sql_convex(q)})"
+
+
+def sql_box_ok(p: str = "") -> str:
+    return f"({sql_point(p + 'x0', p + 'y0')} AND {sql_point(p + 'x1', p + 'y1')} AND {p}x0<{p}x1 AND {p}y0<{p}y1)"
+
+
+SQL_RATIO_OK = "(ratio_low>0 AND ratio_low<=ratio_high AND ratio_high<=30)"
+
+QUAD_TEXT = """cast(k*37%600 as double) as q0x, cast(k*53%600 as double) as q0y, cast(k*37%600+100+k*17%300 as double) as q1x, cast(k*53%600 as double) as q1y,
+  cast(case when k%19=0 then k*37%600 else k*37%600+100+k*17%300 end as double) as q2x, cast(k*53%600+100+k*29%300 as double) as q2y,
+  cast(case when k%19=0 then k*37%600+100+k*17%300 else k*37%600 end as double) as q3x, cast(k*53%600+100+k*29%300 as double) as q3y"""
+
+# a full plan building per order; every rule is broken by some residue class
+BUILDING_TEXT_ROWS = f"""select doc_id, concat('B', k) as id, {QUAD_TEXT},
+  cast(k*37%600 as double) as sx0, cast(k*53%600 as double) as sy0, cast(case when k%61=0 then k*37%600 else k*37%600+100+k*17%300 end as double) as sx1, cast(k*53%600+100+k*29%300 as double) as sy1,
+  cast(k*37%600+k*11%150 as double) as ax, cast(case when k%71=0 then -1 else k*53%600+100+k*7%90 end as double) as ay,
+  cast(k*37%900+50 as double) as cx, cast(case when k%73=0 then 1001 else k*53%900+50 end as double) as cy,
+  cast(case when k%79=0 then 500 else 40+k*17%160 end as double) as w, cast(case when k%83=0 then 0 else 30+k*29%120 end as double) as d,
+  cast(case when k%89=0 then 25 else k%25 end as double)/2 as clock,
+  cast(k%20 as double)/10+cast(case when k%13=0 then 0 else 1 end as double)/2 as ratio_low, cast(k%20 as double)/10+cast(1 as double)/2+cast(k%7 as double)/4 as ratio_high,
+  case when k%5=0 then 'other' when k%53=0 then 'barn' else 'house' end as category, case when k%97=0 then 'sure' when k%2=0 then 'high' else 'low' end as confidence,
+  case when k%31=0 then '' else 'hall' end as subtype, case when k%29=0 then cast(null as string) else 'label' end as label,
+  case when k%6=0 then 'newly_observed roof' when k%37=0 then '' else 'roof and wall' end as evidence, 'assumed' as assumption,
+  concat('Z', k%5) as zone_id, k%9=0 as grouped, k
+  from (select o_custkey as doc_id, o_orderkey as k from {{orders}}) o"""
