@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut
 
 # fixed values: the enums of the answer formats
 CATEGORIES = ("house", "tree", "mountain", "water", "flat", "other")
@@ -191,7 +192,10 @@ def structure_issues(entries: DataFrame, prior: DataFrame, planes: DataFrame) ->
     kind_ok = F.coalesce(F.col("kind").isin(*FOOTPRINT_KINDS), F.lit(False))
     points_ok = kind_ok & F.forall("poly", lambda p: G.point_ok(p["x"], p["y"]))
     known = prior.select("doc_id", "id", F.col("category").alias("_was"))
-    checked = entries.join(known, ["doc_id", "id"])
+    # named once, used by many rules: the engine keeps shared expressions apart
+    checked = entries.join(known, ["doc_id", "id"]).withColumn("_kind", kind_ok)
+    checked = checked.withColumn("_points", F.coalesce(points_ok, F.lit(False)))
+    kind_ok, points_ok = F.col("_kind"), F.col("_points")
     refs = entries.filter(F.col("reference").isNotNull())
     ids = prior.select("doc_id", F.col("id").alias("reference"))
     plane_ids = planes.select("doc_id", F.col("id").alias("plane"))
@@ -203,7 +207,7 @@ def structure_issues(entries: DataFrame, prior: DataFrame, planes: DataFrame) ->
                 "structure_status": not_in("status", STRUCTURE_STATUS),
                 "self_reference": F.coalesce(F.col("reference") == F.col("id"), F.lit(False)),
                 "footprint_kind": ~kind_ok,
-                "footprint_points": kind_ok & ~F.coalesce(points_ok, F.lit(False)),
+                "footprint_points": kind_ok & ~points_ok,
                 "footprint_count": points_ok & bad(count_ok),
                 "degenerate_polygon": points_ok & (F.col("kind") == "polygon") & (n >= 3) & degenerate,
                 "edge_provenance": points_ok & bad(states_ok),
@@ -311,11 +315,15 @@ def hypothesis_issues(instances: DataFrame, alternatives: DataFrame, prior: Data
         lambda s, i: s | ((e[i] == "visible") & ((v[i] != "visible") | (v[(i + 1) % 4] != "visible"))), range(4), F.lit(False)
     )
     no_visible = reduce(lambda s, c: s & (c != "visible"), v, F.lit(True))
+    name = F.concat_ws("/", "instance_id", "id")
+    # the quad test is long and used by many rules: write its result once
+    alt = cut(alternatives.withColumns({"_name": name, "_quad": quad_ok}))
+    quad_ok = F.col("_quad")
     counts = alternatives.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("instance_id", "id")
     sized = instances.join(counts, ["doc_id", "id"], "left").fillna(0, ["_n"])
     corner = F.posexplode(F.array(*[F.struct(q[i][0].alias("x"), q[i][1].alias("y"), v[i].alias("state"), F.col(f"r{i}").alias("ref")) for i in range(4)]))
     corners = (
-        alternatives.filter(quad_ok & ~shape_only)
+        alt.filter(F.col("_quad") & ~shape_only)
         .select(*on, "id", corner.alias("_i", "_c"))
         .select(*on, "id", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.col("_c.state").alias("state"), F.col("_c.ref").alias("ref"))
     )
@@ -324,8 +332,6 @@ def hypothesis_issues(instances: DataFrame, alternatives: DataFrame, prior: Data
     displaced = (F.col("state") == "visible") & (
         F.col("_level").isNull() | (F.col("_level") != "ground") | (F.col("_lx") != F.col("x")) | (F.col("_ly") != F.col("y"))
     )
-    name = F.concat_ws("/", "instance_id", "id")
-    alt = alternatives.withColumn("_name", name)
     met = met.withColumn("_name", name)
     ids = prior.select("doc_id", F.col("id").alias("reference"))
     return all_of(

@@ -182,10 +182,10 @@ def zone_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 # corner lists for unrolled SQL; bx/by/k are columns of the CTE
 ZONES = """zones AS (
-  SELECT nation, zone_id, bx+k AS p0x, by AS p0y, bx+520 AS p1x, by+k/2 AS p1y,
-         bx+520-k AS p2x, by+520 AS p2y, bx AS p3x, by+520-k/2 AS p3y
+  SELECT nation, zone_id, zx+k AS p0x, zy AS p0y, zx+520 AS p1x, zy+k/2 AS p1y,
+         zx+520-k AS p2x, zy+520 AS p2y, zx AS p3x, zy+520-k/2 AS p3y
   FROM (SELECT n_nationkey AS nation, 'Z'||z AS zone_id, CAST(n_nationkey AS DOUBLE) AS k,
-               CAST((z%2)*480 AS DOUBLE) AS bx, CAST((z//2)*480 AS DOUBLE) AS by
+               CAST((z%2)*480 AS DOUBLE) AS zx, CAST((z//2)*480 AS DOUBLE) AS zy
         FROM nation, (SELECT unnest([0,1,2,3]) AS z)))"""
 
 
