@@ -164,8 +164,13 @@ def polygon_edges(poly: Column) -> Column:
 
 def contains(x: Column, y: Column, poly: Column) -> Column:
     """Even-odd test, half-open in y: points on an edge may fall either way."""
+    return contains_edges(x, y, polygon_edges(poly))
+
+
+def contains_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Same test on the output of :func:`polygon_edges`, built once per polygon instead of per point."""
     crossing = F.filter(
-        polygon_edges(poly),
+        edges,
         lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y))
         & (
             x

@@ -47,8 +47,8 @@ def collisions(
     )
 
 
-def corner_inside(poly: Column, corners: str = "c") -> list[Column]:
-    return [G.contains(x, y, poly) for x, y in G.quad(corners)]
+def corner_inside(edges: Column, corners: str = "c") -> list[Column]:
+    return [G.contains_edges(x, y, edges) for x, y in G.quad(corners)]
 
 
 def zone_checks(shapes: DataFrame, zones: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
@@ -56,9 +56,9 @@ def zone_checks(shapes: DataFrame, zones: DataFrame, boundaries: DataFrame | Non
 
     ``zones``: plan_id, zone_id, poly. ``boundaries``: plan_id, poly.
     """
-    z = shapes.join(zones.select("plan_id", "zone_id", F.col("poly").alias("_poly")), ["plan_id", "zone_id"])
-    outside = reduce(lambda s, c: s + (~c).cast("int"), corner_inside(F.col("_poly")), F.lit(0))
-    z = z.withColumns({"_out": outside, "_centre": G.contains(F.col("cx"), F.col("cy"), F.col("_poly"))})
+    z = shapes.join(zones.select("plan_id", "zone_id", G.polygon_edges(F.col("poly")).alias("_edges")), ["plan_id", "zone_id"])
+    outside = reduce(lambda s, c: s + (~c).cast("int"), corner_inside(F.col("_edges")), F.lit(0))
+    z = z.withColumns({"_out": outside, "_centre": G.contains_edges(F.col("cx"), F.col("cy"), F.col("_edges"))})
     finding = F.array_compact(
         F.array(
             F.when(~F.col("_centre"), F.struct(F.lit("center_outside_support_zone").alias("kind"), F.lit(None).cast("int").alias("corners"), F.lit("major").alias("severity"))),
@@ -70,8 +70,8 @@ def zone_checks(shapes: DataFrame, zones: DataFrame, boundaries: DataFrame | Non
     )
     if boundaries is None:
         return out
-    b = shapes.join(boundaries.select("plan_id", F.col("poly").alias("_poly")), "plan_id")
-    crossing = reduce(lambda s, c: s | ~c, corner_inside(F.col("_poly")), F.lit(False))
+    b = shapes.join(boundaries.select("plan_id", G.polygon_edges(F.col("poly")).alias("_edges")), "plan_id")
+    crossing = reduce(lambda s, c: s | ~c, corner_inside(F.col("_edges")), F.lit(False))
     edge = b.filter(crossing).select(
         "plan_id", "id", F.lit("outside_plan_boundary").alias("kind"), F.lit(None).cast("string").alias("other"),
         F.lit(None).cast("int").alias("corners"), F.lit("major").alias("severity"),
@@ -81,18 +81,18 @@ def zone_checks(shapes: DataFrame, zones: DataFrame, boundaries: DataFrame | Non
 
 def water_hits(buildings: DataFrame, waters: DataFrame) -> DataFrame:
     """Building centres inside a water area: ``plan_id, id, water_id``."""
-    w = waters.select("plan_id", "water_id", F.col("poly").alias("_poly"))
+    w = waters.select("plan_id", "water_id", G.polygon_edges(F.col("poly")).alias("_edges"))
     return (
         buildings.join(w, "plan_id")
-        .filter(G.contains(F.col("cx"), F.col("cy"), F.col("_poly")))
+        .filter(G.contains_edges(F.col("cx"), F.col("cy"), F.col("_edges")))
         .select("plan_id", "id", "water_id")
     )
 
 
 def footprint_in_water(shapes: DataFrame, waters: DataFrame) -> DataFrame:
     """Footprints with any corner inside a water area."""
-    w = waters.select("plan_id", "water_id", F.col("poly").alias("_poly"))
-    wet = reduce(lambda s, c: s | c, corner_inside(F.col("_poly")), F.lit(False))
+    w = waters.select("plan_id", "water_id", G.polygon_edges(F.col("poly")).alias("_edges"))
+    wet = reduce(lambda s, c: s | c, corner_inside(F.col("_edges")), F.lit(False))
     return shapes.join(w, "plan_id").filter(wet).select("plan_id", "id", "water_id")
 
 

@@ -63,3 +63,14 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def for_python(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts.
+
+    Adaptive execution merges partitions by their bytes; work done in Python per
+    row costs far more than its bytes tell, so the number is fixed here. A
+    grouped map on the same keys needs no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
