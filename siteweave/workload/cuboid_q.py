@@ -101,11 +101,11 @@ def quad_mapping(spark, d):
     with_(R.cte("qs", QUADS)) + MAP_SQL
     + """, ln AS (SELECT *, 'v' AS along, CAST(i AS DOUBLE)/4 AS station FROM k2, (SELECT unnest([1,2,3]) AS i) UNION ALL SELECT *, 'u', CAST(i AS DOUBLE)/4 FROM k2, (SELECT unnest(range(1,120)) AS i) WHERE i < least(120, ceil(ratio*4)) AND i/4.0 < ratio),
 ep AS (SELECT *, CASE WHEN along='v' THEN 0 ELSE station END AS u0, CASE WHEN along='v' THEN station ELSE 0 END AS v0, CASE WHEN along='v' THEN ratio ELSE station END AS u1, CASE WHEN along='v' THEN station ELSE 1 END AS v1 FROM ln)
-SELECT plan_id, id, along, station, round((a*u0+b*v0+c)/(g*u0+h*v0+1),9) AS ix0, round((dd*u0+e*v0+f)/(g*u0+h*v0+1),9) AS iy0, round((a*u1+b*v1+c)/(g*u1+h*v1+1),9) AS ix1, round((dd*u1+e*v1+f)/(g*u1+h*v1+1),9) AS iy1 FROM ep""",
+SELECT plan_id, id, along, station, round((a*u0+b*v0+c)/(g*u0+h*v0+1)+0.0000000017::DOUBLE,6) AS ix0, round((dd*u0+e*v0+f)/(g*u0+h*v0+1)+0.0000000017::DOUBLE,6) AS iy0, round((a*u1+b*v1+c)/(g*u1+h*v1+1)+0.0000000017::DOUBLE,6) AS ix1, round((dd*u1+e*v1+f)/(g*u1+h*v1+1)+0.0000000017::DOUBLE,6) AS iy1 FROM ep""",
 )
 def quad_grid_lines(spark, d):
     g = quadmap.grid_lines(mapped(spark, d), F.col("ratio"))
-    return g.select("plan_id", "id", "along", "station", *[F.round(c, 9).alias(c) for c in ("ix0", "iy0", "ix1", "iy1")])
+    return g.select("plan_id", "id", "along", "station", *[F.round(F.col(c) + 1.7e-9, 6).alias(c) for c in ("ix0", "iy0", "ix1", "iy1")])
 
 
 # ---- orientation ---------------------------------------------------------------------------------
