@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.intake import gate
 from ..operators.ranking import latest
@@ -39,7 +40,8 @@ def accept_once(
             ok.groupBy(*keys).agg(F.min_by("run_id", F.struct("ts", "run_id")).alias("run_id"), F.min("ts").alias("ts"))
         )
         if batch_id > 0:
-            seen = spark.read.schema(first.schema.add("batch", "bigint")).parquet(sink).filter(F.col("batch") < batch_id)
+            schema = T.StructType([*first.schema.fields, T.StructField("batch", T.LongType())])
+            seen = spark.read.schema(schema).parquet(sink).filter(F.col("batch") < batch_id)
             first = first.join(seen.select(*keys), keys, "left_anti")
         first.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
