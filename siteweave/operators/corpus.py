@@ -30,10 +30,9 @@ def first_n(rows: DataFrame, order: str, keys: Sequence[str], limits: DataFrame,
     keys = list(keys)
     b = rows.withColumn("_p", F.substring(order, 1, prefix))
     n = b.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    spread_key = [F.col(k) for k in keys] or [F.lit(0)]
-    before = W.partitionBy(*spread_key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     n = n.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    n = n.join(limits, keys) if keys else n.crossJoin(F.broadcast(limits))  # one row
+    n = n.join(limits, keys)
     n = n.withColumn("_left", F.col("take") - F.col("_before")).select(*keys, "_p", "_n", "_left")
     j = b.join(n, [*keys, "_p"])
     edge = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
@@ -46,10 +45,10 @@ def first_n(rows: DataFrame, order: str, keys: Sequence[str], limits: DataFrame,
 
 def split_dataset(images: DataFrame, fraction: float = 0.18, seed: str = "20260807") -> DataFrame:
     """``split`` per image: the first round(n·fraction) by hash are validation."""
-    keyed = images.withColumn("_h", hash_order(F.col("name"), seed))
-    take = images.agg(F.bround(F.count(F.lit(1)) * fraction).cast("long").alias("take"))
-    out = first_n(keyed, "_h", [], take)
-    return out.withColumn("split", F.when(F.col("chosen"), "val").otherwise("train")).drop("_h", "chosen")
+    keyed = images.withColumns({"_h": hash_order(F.col("name"), seed), "_set": F.lit(0)})
+    take = keyed.groupBy("_set").agg(F.bround(F.count(F.lit(1)) * fraction).cast("long").alias("take"))
+    out = first_n(keyed, "_h", ["_set"], take)
+    return out.withColumn("split", F.when(F.col("chosen"), "val").otherwise("train")).drop("_h", "_set", "chosen")
 
 
 def label_rows(lines: DataFrame) -> DataFrame:

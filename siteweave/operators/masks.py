@@ -15,8 +15,6 @@ from ..session import cut
 from .overlap import box_pairs
 from .suppress import GROUP_LIMIT, greedy_groups, greedy_rounds
 
-GROUP_SOURCE = "scene_grounding"
-
 
 def mask_stats(spans: DataFrame, keys: Sequence[str] = ("image_id", "id")) -> DataFrame:
     """Area and box of each mask."""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -65,12 +66,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def for_python(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts.
+def for_python(df: DataFrame, *keys: str, grouped: bool = True) -> DataFrame:
+    """Partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts ahead of Python work.
 
     Adaptive execution merges partitions by their bytes; work done in Python per
     row costs far more than its bytes tell, so the number is fixed here. A
-    grouped map on the same keys needs no further shuffle.
+    grouped map on the same keys needs no further shuffle. For row-wise maps
+    (``grouped=False``) the rows go by the hash of the keys: a plain repartition
+    would be dropped as redundant after a join on the same keys.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(n, *keys) if grouped else df.repartition(n, F.xxhash64(*keys))

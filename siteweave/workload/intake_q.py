@@ -39,13 +39,10 @@ def extracted_answers(spark, d):
 def array_answers(spark, d):
     """Turns of the answering side carry a fenced array after prose; other roles give none."""
     c = R.table(spark, d, "conversations")
-    said = F.when(
-        F.col("role") == "assistant", F.concat(F.lit("```json\n[think"), F.lit("] text "), F.col("role"))
-    )
     text = F.when(
         F.col("role") == "assistant",
         F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>```JSON\n["), F.col("turn"), F.lit(", "), F.col("conv_id"), F.lit("]\n```")),
-    ).otherwise(F.coalesce(said, F.lit("no answer")))
+    ).otherwise(F.lit("no answer"))
     return c.select("conv_id", "turn", A.outer_array(text).alias("body"))
 
 
@@ -141,8 +138,8 @@ def decoded_paths(spark, d):
     text = F.expr(
         """case when o_orderkey%3=1 then concat('[[', o_orderkey%1100, ',1]]') when o_orderkey%7=0 then concat('[[', o_orderkey%1100, ',1],[true,4]]') else concat('[[', o_orderkey%1100, ',1],[3.5,4]]') end"""
     )
-    path = A_path = intake.decode_path(text)
-    return o.select(F.col("o_orderkey").alias("id"), F.when(path.isNotNull(), F.size(path)).alias("points"), A_path[0][0].alias("first_x"))
+    path = intake.decode_path(text)
+    return o.select(F.col("o_orderkey").alias("id"), F.when(path.isNotNull(), F.size(path)).alias("points"), path[0][0].alias("first_x"))
 
 
 SEGROLE = "select o_custkey as doc_id, o_orderkey as id, case when l_partkey%3=0 then 'visible_ground_line' else 'upper_structure' end as role, l_linenumber, l_partkey from {lineitem} join {orders} on l_orderkey=o_orderkey"
