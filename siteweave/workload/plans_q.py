@@ -467,3 +467,73 @@ def repaired_ownership(spark, d):
 )
 def review_context(spark, d):
     return V.context_rows({"building": R.derive(spark, d, BLD).select("plan_id", "id", "zone_id"), "claim": R.derive(spark, d, CL)})
+
+
+# ---- replay, orders, small checks --------------------------------------------------------------------
+
+NOW = "select c_custkey as plan_id, concat('h', case when c_acctbal < 0 then -1 else c_custkey end) as sha256 from {customer}"
+
+
+@query(
+    "plan_replay",
+    GATE_SQL + ", " + R.cte("nw", NOW) + ", " + R.cte("cl", CL)
+    + """, so AS (SELECT plan_id, count(*) AS sources, count(*) FILTER (n>1) AS repeated FROM (SELECT plan_id, source_id, count(*) AS n FROM cl GROUP BY 1,2) GROUP BY 1),
+rp AS (SELECT plan_id, count(*) AS regions, count(*) FILTER (grouped) AS grouped FROM buildings GROUP BY 1)
+SELECT gt.plan_id, regions, grouped, schema_issues, coalesce(sources,0) AS sources, coalesce(repeated,0) AS repeated, major_findings AS major, nw.sha256='h'||gt.plan_id AS unchanged,
+  nw.sha256='h'||gt.plan_id AND schema_issues=0 AND coalesce(repeated,0)=0 AND major_findings=0 AS passed FROM gt JOIN rp USING (plan_id) JOIN nw USING (plan_id) LEFT JOIN so USING (plan_id)""",
+)
+def plan_replay(spark, d):
+    from ..operators.summary import plan_report
+    from ..plans.replay import replay
+    from .spatial_q import PEND, TERRAIN, TREES
+
+    report = plan_report(
+        R.buildings(spark, d), R.derive(spark, d, TERRAIN), R.derive(spark, d, TREES), R.derive(spark, d, PEND), findings(spark, d)
+    )
+    out = replay(
+        report.select("plan_id", "regions", "grouped", "major"), R.derive(spark, d, ISS), R.derive(spark, d, CL), R.derive(spark, d, PLANS), R.derive(spark, d, NOW)
+    )
+    return out.select("plan_id", "regions", "grouped", "schema_issues", "sources", "repeated", "major", "unchanged", "passed")
+
+
+OUTLINES = "select l_orderkey as id, l_partkey as pos, cast(l_quantity as double) as area, 2 + l_suppkey % 4 as corners, l_linenumber, l_suppkey from {lineitem}"
+
+
+@query(
+    "largest_outlines",
+    with_(R.cte("ol", OUTLINES))
+    + "SELECT id, area, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area DESC, pos) AS rank FROM ol WHERE area>=24 AND corners>=3) WHERE rank<=2",
+)
+def largest_outlines(spark, d):
+    """The two largest outlines of each item that have an area and three corners."""
+    from ..operators.masks import largest_polygons
+
+    o = R.derive(spark, d, OUTLINES).withColumn("poly", F.expr("array_repeat(named_struct('x', 0D, 'y', 0D), cast(corners as int))"))
+    return largest_polygons(o, ["id"], keep=2).select("id", "area", "rank")
+
+
+@query(
+    "accepted_first",
+    with_(R.cte("al", GC_ALT), R.cte("de", GC_DEC))
+    + """, dd AS (SELECT doc_id, instance_id, alternative_id, bool_or(verdict='usable_hypothesis') AS u, bool_and(coalesce(consistent,FALSE)) AS e FROM de GROUP BY 1,2,3)
+SELECT al.doc_id, al.instance_id, alternative_id AS pos, coalesce(u AND (e OR placement='shape_only'), FALSE) AS accepted FROM al LEFT JOIN dd USING (doc_id, instance_id, alternative_id)""",
+)
+def accepted_first(spark, d):
+    """Alternatives in reading order: accepted ones first within each instance."""
+    from ..operators.ranking import accepted_first as order
+
+    out = P.accepted_hypotheses(R.derive(spark, d, GC_ALT), R.derive(spark, d, GC_DEC))
+    rows = out.select("doc_id", "instance_id", F.col("alternative_id").alias("pos"), "accepted")
+    return order(rows, ["doc_id", "instance_id"])
+
+
+@query(
+    "mixed_sources",
+    "SELECT CAST(event_id//100 AS BIGINT) AS batch, count(DISTINCT user_id) AS images FROM events GROUP BY 1 HAVING count(DISTINCT user_id)>1",
+)
+def mixed_sources(spark, d):
+    """Batches that combine runs of different images."""
+    from ..operators.summary import mixed_sources as mixed
+
+    e = R.table(spark, d, "events")
+    return mixed(e.select(F.expr("event_id div 100").alias("batch"), F.col("user_id").alias("image_id")))
