@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, packing, token_counts, topk_search, url_filter
+from . import chat_format, decontaminate, hilbert_shards, license_scan, packing, token_counts, topk_search, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op5_hilbert_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = hilbert_shards.shard_documents(table(spark, sf_dir, "documents"))
+    return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
