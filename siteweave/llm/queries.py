@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hilbert_shards, license_scan, packing, token_counts, topk_search, url_filter
+from . import chat_format, decontaminate, hilbert_shards, language_id, license_scan, packing, token_counts, topk_search, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = hilbert_shards.shard_documents(table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.learn_and_identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
