@@ -1,8 +1,55 @@
-"""Corpus pipeline; its stages follow as their operators arrive."""
+"""Corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, packing.
 
-STAGES: list = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
+kept. The first three return the columns of ``documents``, the last the place of
+every piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siteweave.llm import decontaminate, jaccard_join, language_id, packing
+from siteweave.llm.common import table
+from siteweave.session import scratch_path
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in which no language can be told: without text or without a letter."""
+    return language_id.drop_unknown(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the benchmark's items contaminate."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard", one_of_each),
+    ("decontamination", clean_of_benchmark),
+    ("best_fit_packing", packed),
+]
+
+#: Neither mixture inference nor tokens can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
