@@ -97,7 +97,8 @@ def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Ove
     """``token, salt, cid, n, pos, tail`` for the rarest n-grams of each set, rarest first.
 
     ``pos`` is the n-gram's place in the set's order and ``tail`` the sizes of the
-    parts of what follows it. A partition names a set once.
+    parts of what follows it. ``salt`` is the part of a hot n-gram, -1 for others.
+    A partition names a set once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Ove
                 after = np.bincount(own, minlength=PARTS)[None, :] - np.cumsum(np.eye(PARTS, dtype=np.int64)[own[:m]], axis=0)
                 tail = (np.minimum(after, 255).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
                 salts = -(-common[order[:m]] // hot)
-                made = (grams[order[:m]], np.where(salts > 1, cid % np.maximum(salts, 1), 0), np.full(m, cid), np.full(m, n), np.arange(m), tail)
+                made = (grams[order[:m]], np.where(salts > 1, cid % np.maximum(salts, 1), -1), np.full(m, cid), np.full(m, n), np.arange(m), tail)
                 for column, values in zip(columns, made, strict=True):
                     column.append(values)
             if columns[0]:
@@ -139,9 +140,8 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     same = W.partitionBy("token", "salt")
     leader = F.min(F.struct("pos", "n", "cid", "tail")).over(same)
     several = F.min("cid").over(same) != F.max("cid").over(same)
-    # a hot n-gram may be alone in its part
-    kept = postings.withColumns({"lead": leader, "_several": several, "_hot": F.max("salt").over(same) > 0})
-    return kept.filter("_several or _hot").drop("_several", "_hot")
+    # a set may be alone in its part of a hot n-gram
+    return postings.withColumns({"lead": leader, "_several": several}).filter("_several or salt >= 0").drop("_several")
 
 
 def may_link(a: Column, b: Column, rule: Overlap) -> Column:
@@ -253,7 +253,7 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
     # first round: every set with the leader of each of its n-grams, leaders of the parts of a hot n-gram with its first
     one = F.struct("n", "pos", "tail")
     stars = postings.filter(F.col("cid") != F.col("lead.cid")).filter(may_link(one, F.col("lead"), rule)).select(*order(F.col("cid"), F.col("lead.cid")))
-    split = postings.filter("salt > 0").select("token").distinct()
+    split = postings.filter("salt >= 0").select("token").distinct()
     leads = postings.join(split, "token", "left_semi").select("token", "lead").distinct()
     tops = leads.groupBy("token").agg(F.min("lead").alias("top"))
     hot_stars = leads.join(tops, "token").filter("lead.cid <> top.cid").filter(may_link(F.col("lead"), F.col("top"), rule))
