@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of Python work holds at once; a longer text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes of a text to what word cutting reads: A-Z lowered, everything that is no digit, letter or non-ASCII byte a blank.
 WORD_TABLE = bytes(

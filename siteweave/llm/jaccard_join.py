@@ -94,10 +94,10 @@ def described(texts: DataFrame, size: int) -> DataFrame:
 
 
 def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Overlap, hot: int) -> DataFrame:
-    """``token, salt, cid, n, pos, tail`` for the rarest n-grams of each set, rarest first.
+    """``token, salt, cid, place, tail`` for the rarest n-grams of each set, rarest first.
 
-    ``pos`` is the n-gram's place in the set's order and ``tail`` the sizes of the
-    parts of what follows it. ``salt`` is the part of a hot n-gram, -1 for others.
+    ``place`` has the size of the set and, in the lower 31 bits, the n-gram's place
+    in the set's order; ``tail`` the sizes of the parts of what follows it. ``salt`` is the part of a hot n-gram, -1 for others.
     A partition names a set once.
     """
 
@@ -105,7 +105,7 @@ def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Ove
         counts, seen = frequency.value, set()
         shifts = np.arange(PARTS, dtype=np.uint64) * np.uint64(8)
         for part in slices(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for grams in shingle_sets(as_bytes(part.column("text")), size):
                 cid = class_id(grams) if len(grams) else None
                 if cid is None or cid in seen:
@@ -118,46 +118,51 @@ def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Ove
                 after = np.bincount(own, minlength=PARTS)[None, :] - np.cumsum(np.eye(PARTS, dtype=np.int64)[own[:m]], axis=0)
                 tail = (np.minimum(after, 255).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
                 salts = -(-common[order[:m]] // hot)
-                made = (grams[order[:m]], np.where(salts > 1, cid % np.maximum(salts, 1), -1), np.full(m, cid), np.full(m, n), np.arange(m), tail)
+                made = (grams[order[:m]], np.where(salts > 1, cid % np.maximum(salts, 1), -1), np.full(m, cid), (n << 31) + np.arange(m), tail)
                 for column, values in zip(columns, made, strict=True):
                     column.append(values)
             if columns[0]:
                 flat = [np.concatenate(c) for c in columns]
                 as_long = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in flat]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(as_long, kinds, strict=True)], names=names)
 
-    names = ["token", "salt", "cid", "n", "pos", "tail"]
-    return texts.mapInArrow(run, "token long, salt int, cid long, n int, pos int, tail long")
+    names = ["token", "salt", "cid", "place", "tail"]
+    return texts.mapInArrow(run, "token long, salt int, cid long, place long, tail long")
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings of n-grams that more than one set has, with the leader: the set in which the n-gram comes first.
+    """Postings of n-grams that more than one set has: ``token, salt, cid, n, pos, tail``, how many there are, and the leader.
 
+    The leader is the set in which the n-gram comes first.
     A set whose n-grams are all shared (the original of many near copies) has the
     shared n-gram further in front than its copies, whose own rarer n-grams precede it.
     """
     same = W.partitionBy("token", "salt")
-    leader = F.min(F.struct("pos", "n", "cid", "tail")).over(same)
+    n, pos = F.shiftright("place", 31).cast("int"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int")
+    leader = F.min(F.struct(pos.alias("pos"), n.alias("n"), "cid", "tail")).over(same)
     several = F.min("cid").over(same) != F.max("cid").over(same)
     # a set may be alone in its part of a hot n-gram
-    return postings.withColumns({"lead": leader, "_several": several}).filter("_several or salt >= 0").drop("_several")
+    found = postings.withColumns({"lead": leader, "several": several, "members": F.count(F.lit(1)).over(same)})
+    return found.filter("several or salt >= 0").select("token", "salt", "cid", n.alias("n"), pos.alias("pos"), "tail", "members", "lead")
 
 
-def may_link(a: Column, b: Column, rule: Overlap) -> Column:
+def may_link(a: Column, b: Column, rule: Overlap, first: bool) -> Column:
     """Length, positional and suffix filter for two postings of one n-gram.
 
-    Up to the n-gram the two sets share at most as many as stand before it in
-    either; after it at most the shorter suffix, less half of what the sizes of
-    the suffixes' parts differ by.
+    After the n-gram the two sets share at most the shorter suffix, and at most
+    half of both less what the sizes of the suffixes' parts differ by. Before it
+    they share nothing if it is their ``first`` common n-gram, else at most as many
+    as stand before it in either. A pair that may link passes at its first common
+    n-gram, so ``first`` may be taken for granted where all n-grams are looked at.
     """
     part = lambda x, k: F.shiftrightunsigned(x["tail"], 8 * k).bitwiseAND(255)
     rest = lambda x: x["n"] - x["pos"] - 1
     apart = sum((F.abs(part(a, k) - part(b, k)) for k in range(1, PARTS)), F.abs(part(a, 0) - part(b, 0)))
-    before = F.least(a["pos"], b["pos"]) + 1
+    up_to = F.lit(1) if first else F.least(a["pos"], b["pos"]) + 1
     needed = rule.needed(a["n"], b["n"])
-    positional = before + F.least(rest(a), rest(b)) >= needed
-    suffix = 2 * before + rest(a) + rest(b) - apart >= 2 * needed
+    positional = up_to + F.least(rest(a), rest(b)) >= needed
+    suffix = 2 * up_to + rest(a) + rest(b) - apart >= 2 * needed
     return rule.sizes_fit(a["n"], b["n"]) & positional & suffix
 
 
@@ -174,8 +179,9 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Overlap) -> DataFrame:
                     rows.append({"a": batch.column("a")[one].as_py(), "b": batch.column("b")[one].as_py(), "common": common, "n_a": len(x), "n_b": len(y)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "n_a", "n_b")]))
 
+    # both joins read one shuffle of the sets
     held = lambda end: sets.select(F.col("cid").alias(end), F.col("grams").alias(f"set_{end}"))
-    met = pairs.join(held("a"), "a").join(held("b"), "b")
+    met = pairs.join(held("a").hint("merge"), "a").join(held("b").hint("merge"), "b")
     return met.mapInArrow(run, "a long, b long, common long, n_a long, n_b long").dropDuplicates(["a", "b"])
 
 
@@ -252,26 +258,24 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
 
     # first round: every set with the leader of each of its n-grams, leaders of the parts of a hot n-gram with its first
     one = F.struct("n", "pos", "tail")
-    stars = postings.filter(F.col("cid") != F.col("lead.cid")).filter(may_link(one, F.col("lead"), rule)).select(*order(F.col("cid"), F.col("lead.cid")))
-    split = postings.filter("salt >= 0").select("token").distinct()
-    leads = postings.join(split, "token", "left_semi").select("token", "lead").distinct()
-    tops = leads.groupBy("token").agg(F.min("lead").alias("top"))
-    hot_stars = leads.join(tops, "token").filter("lead.cid <> top.cid").filter(may_link(F.col("lead"), F.col("top"), rule))
-    near = cut(stars.unionByName(hot_stars.select(*order(F.col("lead.cid"), F.col("top.cid")))).distinct())
-    links = cut(verified(near, cut(sets_of(texts, _ends(near), rows, size)), rule))
+    stars = postings.filter(F.col("cid") != F.col("lead.cid")).filter(may_link(one, F.col("lead"), rule, first=False))
+    tops = postings.filter("salt >= 0").groupBy("token").agg(F.min("lead").alias("top"))
+    leads = postings.filter("salt >= 0").select("token", "lead").distinct()
+    hot_stars = leads.join(tops, "token").filter("lead.cid <> top.cid").filter(may_link(F.col("lead"), F.col("top"), rule, first=False))
+    near = stars.select(*order(F.col("cid"), F.col("lead.cid"))).unionByName(hot_stars.select(*order(F.col("lead.cid"), F.col("top.cid"))))
+    near = cut(near.distinct())
+    links = cut(verified(near, sets_of(texts, _ends(near), rows, size), rule))
     roots = connected(links)
 
-    # second round: the pairs of different components that remain, none of which the first has verified
-    root = lambda name: roots.select(F.col("cid").alias(name), F.col("root").alias(f"{name}_root"))
-    own = postings.withColumn("lead_cid", F.col("lead.cid")).drop("lead")
-    own = own.join(tops.select("token", F.col("top.cid").alias("top_cid")), "token", "left")
-    own = own.withColumn("top_cid", F.coalesce("top_cid", "lead_cid")).join(root("cid"), "cid", "left").join(root("top_cid"), "top_cid", "left")
-    own = cut(
-        own.select(
-            "token", "cid", "n", "pos", "tail", "lead_cid",
-            F.coalesce("cid_root", "cid").alias("root"), F.coalesce("top_cid_root", "top_cid").alias("main"),
-        ).distinct()
-    )
+    # second round: the pairs of different components that remain, none of which the first has verified;
+    # of each n-gram the sets outside its main component (that of its leader) with all of its sets
+    root = roots.select("cid", F.col("root").alias("_root"))
+    own = postings.filter("members > 2 or salt >= 0").select("token", "cid", "n", "pos", "tail", F.col("lead.cid").alias("lead_cid"))
+    own = cut(own.join(root, "cid", "left").withColumn("root", F.coalesce("_root", "cid")).drop("_root").distinct())
+    main = own.groupBy("token").agg(F.min(F.when(F.col("cid") == F.col("lead_cid"), F.struct("pos", "n", "cid", "root"))).alias("main"))
+    several = own.groupBy("token").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("token")
+    main = main.join(several, "token", "left_semi").select("token", F.col("main.root").alias("main"))
+    own = cut(own.join(main, "token"))
     apart, other = own.filter(F.col("root") != F.col("main")).alias("x"), own.alias("y")
     met = (
         (F.col("x.token") == F.col("y.token"))
@@ -281,9 +285,9 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
         & (F.col("y.cid") != F.col("x.lead_cid"))
     )
     sides = [F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("n", "pos", "tail"))) for s in "xy"]
-    rest = apart.join(other, met & may_link(*sides, rule)).select(*order(F.col("x.cid"), F.col("y.cid"))).distinct()
+    rest = apart.join(other, met & may_link(*sides, rule, first=True)).select(*order(F.col("x.cid"), F.col("y.cid"))).distinct()
     rest = cut(rest.join(near, ["a", "b"], "left_anti"))
-    more = cut(verified(rest, cut(sets_of(texts, _ends(rest), rows, size)), rule))
+    more = cut(verified(rest, sets_of(texts, _ends(rest), rows, size), rule))
     if not more.isEmpty():
         # a tree of each component of the first round stands for its links
         tree = roots.select(F.col("cid").alias("a"), F.col("root").alias("b"))

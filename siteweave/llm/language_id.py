@@ -171,7 +171,7 @@ def identify_languages(
     and text are read. An empty table gives no rows.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    step = max(1 << 18, (4 << 20) * 8 // max(8, len(model.languages)))
+    step = max(1 << 16, (1 << 20) * 8 // max(8, len(model.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = sent.value

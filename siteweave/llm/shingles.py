@@ -10,7 +10,7 @@ import numpy as np
 SPACES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 #: Bytes whose words are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
