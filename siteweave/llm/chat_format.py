@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallel
+from .common import map_batches, parallel
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -151,7 +151,7 @@ def format_conversations(
     kind = rows.schema["conv_id"].dataType.simpleString()
     ddl = f"conv_id {kind}, {TURN_TYPE}"
     schema = _arrow(conversations, ddl)
-    return parallel(rows, "conv_id").sortWithinPartitions(*order).mapInArrow(run, ddl)
+    return map_batches(parallel(rows, "conv_id").sortWithinPartitions(*order), run, ddl)
 
 
 def conversation_digest(formatted: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([row()], schema)
 
-    return formatted.mapInArrow(run, ddl)
+    return map_batches(formatted, run, ddl)
 
 
 def _arrow(df: DataFrame, ddl: str) -> pa.Schema:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one step of Python work holds at once; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
 
+#: Setting that bounds the bytes of an Arrow batch sent to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Bytes of a text to what word cutting reads: A-Z lowered, everything that is no digit, letter or non-ASCII byte a blank.
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -58,6 +61,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes.
+
+    Batches are bounded in rows by default, so that their bytes, which the JVM holds in buffers outside its heap,
+    follow the lengths of the texts. A session that sets the bound itself keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, "4m")
+    return df.mapInArrow(run, schema)
+
+
 def parallel(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by ``keys`` into the session's number of shuffle partitions.
 

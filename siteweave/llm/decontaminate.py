@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import as_bytes, cut_words, slices
+from .common import as_bytes, cut_words, map_batches, slices
 
 #: Windows whose automaton is sent to the executors at once, in characters of normalised text. An automaton takes about
 #: 70 bytes a character, so this bounds a worker's share at some 150 MB.
@@ -42,7 +42,7 @@ def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) ->
             )
 
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    windows = items.filter(F.col("item").isNotNull()).mapInArrow(run, "item string, window binary")
+    windows = map_batches(items.filter(F.col("item").isNotNull()), run, "item string, window binary")
     return windows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
@@ -153,7 +153,7 @@ def contamination(
                     names=["_id", "text_hash", "n_words", "items", "spans"],
                 )
 
-        return texts.mapInArrow(run, f"_id {kind}, text_hash long, n_words long, items array<string>, spans array<{SPAN}>")
+        return map_batches(texts, run, f"_id {kind}, text_hash long, n_words long, items array<string>, spans array<{SPAN}>")
 
     if blocks == 1:
         found = one_pass(windows)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import as_bytes, free_name, slices
+from .common import as_bytes, free_name, map_batches, slices
 from .shingles import mix, shingle_sets
 
 #: Buckets of the frequency table that orders n-grams, and of the table of wanted texts. Their size bounds what is broadcast.
@@ -90,7 +90,7 @@ def described(texts: DataFrame, size: int) -> DataFrame:
             )
 
     names = ["_id", "key", "n", "cid", "bucket", "found"]
-    return texts.mapInArrow(run, f"_id {kind}, key long, n long, cid long, bucket long, found long")
+    return map_batches(texts, run, f"_id {kind}, key long, n long, cid long, bucket long, found long")
 
 
 def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Overlap, hot: int) -> DataFrame:
@@ -128,7 +128,7 @@ def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Ove
                 yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(as_long, kinds, strict=True)], names=names)
 
     names = ["token", "salt", "cid", "place", "tail"]
-    return texts.mapInArrow(run, "token long, salt int, cid long, place long, tail long")
+    return map_batches(texts, run, "token long, salt int, cid long, place long, tail long")
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Overlap) -> DataFrame:
     # both joins read one shuffle of the sets
     held = lambda end: sets.select(F.col("cid").alias(end), F.col("grams").alias(f"set_{end}"))
     met = pairs.join(held("a").hint("merge"), "a").join(held("b").hint("merge"), "b")
-    return met.mapInArrow(run, "a long, b long, common long, n_a long, n_b long").dropDuplicates(["a", "b"])
+    return map_batches(met, run, "a long, b long, common long, n_a long, n_b long").dropDuplicates(["a", "b"])
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, described_texts: DataFrame, size: int) -> DataFrame:
@@ -213,7 +213,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, described_texts: DataFrame, siz
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "grams"]
                 )
 
-    return texts.select("key", "text").mapInArrow(run, "cid long, grams binary")
+    return map_batches(texts.select("key", "text"), run, "cid long, grams binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:

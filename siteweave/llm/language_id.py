@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import slices
+from .common import map_batches, slices
 
 UNKNOWN = "und"
 
@@ -68,7 +68,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 names=["lang", "bucket", "n"],
             )
 
-    return labelled.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return map_batches(labelled, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -199,7 +199,7 @@ def identify_languages(
     texts = texts.select("*", F.xxhash64("text").alias("text_hash"))
     kind = texts.schema["_id"].dataType.simpleString()
     more = "text_hash long, lang_pred string, score double, languages array<string>, shares array<double>"
-    return texts.mapInArrow(run, f"_id {kind}, {more}").withColumnRenamed("_id", id_col)
+    return map_batches(texts, run, f"_id {kind}, {more}").withColumnRenamed("_id", id_col)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut_words, slices
+from .common import as_bytes, cut_words, map_batches, slices
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def word_idf(documents: DataFrame, templates: Sequence[Template], text_col: str
         )
 
     texts = documents.select(F.col(text_col).cast("string").alias("text"))
-    counts = {r["word"]: r["n"] for r in texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["word"]: r["n"] for r in map_batches(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop(None, 0)
     return {w: math.log((total + 1) / (counts.get(w.decode(), 0) + 1)) for w in vocabulary}
 
@@ -204,7 +204,7 @@ def scan_licenses(
 
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"_id {kind}, {schema_tail}").withColumnRenamed("_id", id_col)
+    return map_batches(texts, run, f"_id {kind}, {schema_tail}").withColumnRenamed("_id", id_col)
 
 
 def _row(words: list[bytes], index: RareWordIndex, min_share: float) -> tuple:

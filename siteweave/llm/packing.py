@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut
-from .common import slices
+from .common import map_batches, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -107,7 +107,7 @@ def tokenised_pieces(
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["_id"].dataType.simpleString()
     more = ", ids array<long>" if keep_ids else ""
-    return texts.mapInArrow(run, f"_id {kind}, piece int, start long, length long, ids_crc32 long{more}")
+    return map_batches(texts, run, f"_id {kind}, piece int, start long, length long, ids_crc32 long{more}")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

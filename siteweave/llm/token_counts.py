@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -116,5 +116,5 @@ def count_tokens(
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("*", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = texts.schema["_id"].dataType.simpleString()
-    counted = texts.mapInArrow(run, f"_id {kind}, n_bytes long, n_tokens long")
+    counted = map_batches(texts, run, f"_id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

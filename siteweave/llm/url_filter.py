@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import lower_az, map_batches
 
 #: verdict, host, path; a rule fits its host and all subdomains.
 RULES = (
@@ -105,7 +105,7 @@ def judge_urls(
     name, ruled = matching_rule(F.col("host"), F.col("path"), rules)
     base = base.select("*", name.alias("rule"), ruled.alias("_ruled"))
     kind = base.schema["_id"].dataType.simpleString()
-    scored = base.mapInArrow(
+    scored = map_batches(base, 
         count,
         f"_id {kind}, host string, path string, rule string, _ruled string, strict_hits long, soft_hits long, weight double",
     )
