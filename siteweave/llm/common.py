@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import string
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +63,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this library from where the driver has it, unless they have it already."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes.
 
     Batches are bounded in rows by default, so that their bytes, which the JVM holds in buffers outside its heap,
     follow the lengths of the texts. A session that sets the bound itself keeps it.
     """
+    importable(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES, None) is None:
         conf.set(BATCH_BYTES, "4m")

@@ -26,6 +26,9 @@ HOT = 1 << 16
 #: Parts of a suffix whose sizes are compared, eight bits each in one long.
 PARTS = 8
 
+#: Parts of a whole set, a byte each, for the pairs that are left.
+FINE_PARTS = 256
+
 
 @dataclass(frozen=True)
 class Overlap:
@@ -54,6 +57,11 @@ def _buckets(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
+def _fine_parts(grams: np.ndarray) -> bytes:
+    sizes = np.bincount((grams & np.uint64(FINE_PARTS - 1)).astype(np.int64), minlength=FINE_PARTS)
+    return np.minimum(sizes, 255).astype(np.uint8).tobytes()
+
+
 def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id, text, key``; the key is the same for repeated rows."""
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -61,9 +69,10 @@ def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def described(texts: DataFrame, size: int) -> DataFrame:
-    """Per text ``_id, key, n, cid`` and, from each partition, rows ``bucket, found``: how many of its sets have an n-gram there.
+    """Per text ``_id, key, n, cid, parts`` and, from each partition, rows ``bucket, found``: how many of its sets have an n-gram there.
 
-    Sets that a partition has seen are not counted again.
+    ``parts`` are the sizes of 256 parts of the set. Sets that a partition has
+    seen are not counted again and have no parts.
     """
     kind = texts.schema["_id"].dataType.simpleString()
 
@@ -74,23 +83,25 @@ def described(texts: DataFrame, size: int) -> DataFrame:
             id_type = part.schema.field("_id").type
             sets = shingle_sets(as_bytes(part.column("text")), size)
             ids = [class_id(s) if len(s) else None for s in sets]
-            fresh = [s for s, c in zip(sets, ids, strict=True) if c is not None and not (c in seen or seen.add(c))]
-            if fresh:
-                counts += np.bincount(_buckets(np.concatenate(fresh)), minlength=len(counts))
-            blank = pa.nulls(len(sets), pa.int64())
+            fresh = [c is not None and not (c in seen or seen.add(c)) for c in ids]
+            if any(fresh):
+                new = np.concatenate([s for s, is_new in zip(sets, fresh, strict=True) if is_new])
+                counts += np.bincount(_buckets(new), minlength=len(counts))
+            parts = [_fine_parts(s) if is_new else None for s, is_new in zip(sets, fresh, strict=True)]
+            blank, n = pa.nulls(len(sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), blank, blank],
-                names=names,
+                [part.column("_id"), part.column("key"), n, pa.array(ids, pa.int64()), pa.array(parts, pa.binary()), blank, blank], names=names
             )
         at = np.flatnonzero(counts)
         if len(at):
             blank = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), id_type), blank, blank, blank, pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=names
+                [pa.nulls(len(at), id_type), blank, blank, blank, pa.nulls(len(at), pa.binary()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())],
+                names=names,
             )
 
-    names = ["_id", "key", "n", "cid", "bucket", "found"]
-    return map_batches(texts, run, f"_id {kind}, key long, n long, cid long, bucket long, found long")
+    names = ["_id", "key", "n", "cid", "parts", "bucket", "found"]
+    return map_batches(texts, run, f"_id {kind}, key long, n long, cid long, parts binary, bucket long, found long")
 
 
 def prefix_postings(texts: DataFrame, frequency: Broadcast, size: int, rule: Overlap, hot: int) -> DataFrame:
@@ -166,6 +177,22 @@ def may_link(a: Column, b: Column, rule: Overlap, first: bool) -> Column:
     return rule.sizes_fit(a["n"], b["n"]) & positional & suffix
 
 
+def likely(pairs: DataFrame, rows: DataFrame, rule: Overlap) -> DataFrame:
+    """Pairs that the suffix filter lets pass on whole sets and 256 parts: a set may share no more than both sizes less all differences, halved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8) for c in ("parts_a", "parts_b"))
+            apart = np.abs(x.astype(np.int16) - y).reshape(-1, FINE_PARTS).sum(axis=1)
+            both = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
+            needed = -(-rule.percent * both // (100 + rule.percent))
+            yield batch.select(["a", "b"]).filter(pa.array(both - apart >= 2 * needed))
+
+    wanted = rows.filter(F.col("parts").isNotNull()).select("cid", "n", "parts").join(_ends(pairs), "cid", "left_semi").dropDuplicates(["cid"])
+    held = lambda end: wanted.select(*(F.col(c).alias(f"{c}_{end}" if c != "cid" else end) for c in ("cid", "n", "parts")))
+    return map_batches(pairs.join(held("a"), "a").join(held("b"), "b"), run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, rule: Overlap) -> DataFrame:
     """The pairs ``a, b`` whose sets are linked, with their ``common`` n-grams and sizes."""
 
@@ -247,7 +274,8 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
     spark, rule = documents.sparkSession, Overlap(percent)
     texts = keyed(documents, id_col, text_col)
     first = cut(described(texts, size))
-    rows = first.filter(F.col("bucket").isNull()).drop("bucket", "found")
+    described_texts = first.filter(F.col("bucket").isNull())
+    rows = described_texts.drop("parts", "bucket", "found")
     frequency = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
     table = first.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("found").alias("found")).toPandas()
     frequency[table["bucket"].to_numpy(dtype=np.int64)] = table["found"].to_numpy(dtype=np.int64)
@@ -264,7 +292,8 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
     hot_stars = leads.join(tops, "token").filter("lead.cid <> top.cid").filter(may_link(F.col("lead"), F.col("top"), rule, first=False))
     near = stars.select(*order(F.col("cid"), F.col("lead.cid"))).unionByName(hot_stars.select(*order(F.col("lead.cid"), F.col("top.cid"))))
     near = cut(near.distinct())
-    links = cut(verified(near, sets_of(texts, _ends(near), rows, size), rule))
+    hopeful = cut(likely(near, described_texts, rule))
+    links = cut(verified(hopeful, sets_of(texts, _ends(hopeful), rows, size), rule))
     roots = connected(links)
 
     # second round: the pairs of different components that remain, none of which the first has verified;
@@ -287,6 +316,7 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
     sides = [F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("n", "pos", "tail"))) for s in "xy"]
     rest = apart.join(other, met & may_link(*sides, rule, first=True)).select(*order(F.col("x.cid"), F.col("y.cid"))).distinct()
     rest = cut(rest.join(near, ["a", "b"], "left_anti"))
+    rest = cut(likely(rest, described_texts, rule))
     more = cut(verified(rest, sets_of(texts, _ends(rest), rows, size), rule))
     if not more.isEmpty():
         # a tree of each component of the first round stands for its links

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut
-from .common import map_batches, slices
+from .common import importable, map_batches, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -163,6 +163,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, group: int = 40_000,
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(number << 32) + bins, offset=offsets)
 
+    importable(pieces.sparkSession)
     return dealt.groupBy("_group").applyInPandas(pack, schema)
 
 

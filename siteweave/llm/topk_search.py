@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import importable
 
 #: Rows of a block of candidates and of queries: a block of scores is what one task holds.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 512
@@ -131,6 +132,7 @@ def exact_top_k(
     def run(pair: pa.Table) -> pa.Table:
         return _score_blocks(*(pair.column(c)[0] for c in ("r_ids", "r_weights", "q_ids", "q_weights")), k)
 
+    importable(vectors.sparkSession)
     scored = pairs.groupBy("r", "q").applyInArrow(run, "query_id long, id long, score long, query_no long")
     order = W.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), F.col("id"))
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
