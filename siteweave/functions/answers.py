@@ -12,6 +12,7 @@ LEAK_PATTERNS = {
     "api_key_shape": r"\bsk-(?:ws-)?[A-Za-z0-9._-]{18,}",
     "github_token_shape": r"\bgh[pousr]_[A-Za-z0-9]{20,}",
 }
+# fixed values: shape of a secret, what masks it, files that stay inside, size limit, link syntax
 KEY_SHAPE = r"\bsk-[A-Za-z0-9_-]{8,}\b"
 MASK = "[REDACTED]"
 BLOCKED_SUFFIXES = (".pt", ".pth", ".safetensors", ".env", ".pem", ".key", ".pyc")
@@ -25,6 +26,29 @@ def strip_wrapping(text: Column) -> Column:
     return F.regexp_replace(plain, r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", "")
 
 
+FENCED = r"(?s)^```[^\n]*\n(.*\n)?[ \t]*```$"
+
+
+def strip_fence(text: Column) -> Column:
+    """Without white space and one code fence whose first and last line are its own."""
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(plain.rlike(FENCED), F.regexp_extract(plain, FENCED, 1)).otherwise(plain)
+
+
+def parse_strict(text: Column) -> Column:
+    """The answer as VARIANT where it is one JSON object, at most in a fence; null for anything around it.
+
+    The parser stops after the first value, so the text is also read as a member
+    of an array and of an object: whatever follows it breaks one of the two.
+    """
+    body = strip_fence(text)
+    value = F.try_parse_json(body)
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"a":'), body, F.lit("}")))
+    alone = F.startswith(F.ltrim(body), F.lit("{")) & named.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
+    return F.when(alone & listed.isNotNull(), value)
+
+
 def outer_object(text: Column) -> Column:
     """First ``{`` to last ``}``, empty when there is none."""
     return F.regexp_extract(strip_wrapping(text), r"(?s)\{.*\}", 0)
@@ -35,15 +59,10 @@ def outer_array(text: Column) -> Column:
 
 
 def parse_object(text: Column) -> Column:
-    """The answer's object as VARIANT, null where it is not valid JSON."""
+    """The object inside an answer that may have prose around it, as VARIANT; null where it is not valid JSON."""
     return F.try_parse_json(F.nullif(outer_object(text), F.lit("")))
 
 
-def variant_is(value: Column, *types: str) -> Column:
-    """Strict type check: ``true`` and ``"7"`` are not numbers here."""
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0).isin(*types), F.lit(False))
-
-
 def model_matches(requested: Column, returned: Column) -> Column:
     """The requested model or a dated snapshot of it."""
     return F.coalesce((returned == requested) | F.startswith(returned, F.concat(requested, F.lit("-"))), F.lit(False))

@@ -172,9 +172,17 @@ def broken_links(files: DataFrame, known: DataFrame) -> DataFrame:
     local = links.filter(~F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~F.startswith("target", F.lit("#")))
     folder = F.regexp_extract("file", r"^(.*/)?[^/]*$", 1)
     path = F.concat(folder, F.url_decode(F.substring_index("target", "#", 1)))
-    # a/../b and ./ collapse; what climbs out of the root stays unknown
-    for _ in range(4):
-        path = F.regexp_replace(path, r"(^|/)[^/.][^/]*/\.\./", "$1")
-    path = F.regexp_replace(F.regexp_replace(path, r"(^|/)\./", "$1"), r"/$", "")
-    resolved = local.withColumn("_path", path)
+    resolved = local.withColumn("_path", resolve_path(path))
     return resolved.join(known.select(F.col("file").alias("_path")), "_path", "left_anti").select("file", "target")
+
+
+def resolve_path(path: Column) -> Column:
+    """Path without ``.``, empty and ``..`` steps, of any depth; what climbs out of the root keeps its ``..``."""
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, name: Column) -> Column:
+        climbs = (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        up = F.when(climbs, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(name)))
+        return F.when(name.isin("", "."), done).when(name == "..", up).otherwise(F.concat(done, F.array(name)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.answers import model_matches, parse_object
+from ..functions.answers import model_matches, parse_strict
 from .ranking import latest
 
 # fixed values: each stage needs exactly one prior stage
@@ -28,6 +28,7 @@ def gate(runs: DataFrame) -> DataFrame:
     """Runs with ``refused``: why an answer is not accepted (null: accepted).
 
     Needs finish_reason, model_requested, model_returned, issues (count), answer.
+    An answer is one JSON object, at most inside one code fence; prose around it is refused.
     """
     reason = (
         F.when(~F.coalesce(F.col("finish_reason") == "stop", F.lit(False)), "truncated")
@@ -35,7 +36,7 @@ def gate(runs: DataFrame) -> DataFrame:
         .when(F.col("parsed").isNull(), "not_json")
         .when(F.col("issues") > 0, "invalid")
     )
-    return runs.withColumn("parsed", parse_object(F.col("answer"))).withColumn("refused", reason)
+    return runs.withColumn("parsed", parse_strict(F.col("answer"))).withColumn("refused", reason)
 
 
 def latest_accepted(gated: DataFrame, keys: Sequence[str] = ("image_id", "stage", "label")) -> DataFrame:

@@ -21,7 +21,12 @@ FALLBACK = "fallback_3_to_1_unresolved_short_end"
 
 
 def contour_yaw(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Conservative in-plane yaw of the largest outline (by points): second moments, ±45° fold, ±12° clamp."""
+    """Conservative in-plane yaw of the largest outline (by points): second moments, ±45° fold, ±12° clamp.
+
+    The moments are rounded to six digits before the angle is taken: outlines on
+    the fold, where both moments agree or the mixed one vanishes, then fall on its
+    one side instead of on that of a rounding error.
+    """
     largest = polygons.groupBy(*keys).agg(F.max_by("poly", F.struct(F.size("poly"), -F.col("pos"))).alias("_p"))
     p = F.col("_p")
     n = F.size(p)
@@ -34,7 +39,9 @@ def contour_yaw(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
     sxx = total(lambda v: (v["x"] - cx) * (v["x"] - cx))
     syy = total(lambda v: (v["y"] - cy) * (v["y"] - cy))
     sxy = total(lambda v: (v["x"] - cx) * (v["y"] - cy))
-    angle = F.degrees(dlit(0.5) * F.atan2(2 * sxy, sxx - syy))
+    # adding zero turns a negative zero, which atan2 tells apart, into zero
+    even = lambda moment: F.round(moment, 6) + dlit(0)
+    angle = F.degrees(dlit(0.5) * F.atan2(even(2 * sxy), even(sxx - syy)))
     df = df.withColumn("_a", angle)
     a = F.col("_a")
     folded = F.when(a > 45, a - 90).when(a < -45, a + 90).otherwise(a)

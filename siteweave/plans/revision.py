@@ -45,12 +45,17 @@ def apply_review(
 
 
 def move_ownership(claims: DataFrame, removed: DataFrame) -> DataFrame:
-    """``removed``: plan_id, id, target; sources follow the target, or are rejected."""
+    """``removed``: plan_id, id, target; sources follow the target, or are rejected.
+
+    A source that a merge target ends up with several times is one claim of it.
+    All other repeats stay, and the exactly-once check reports them.
+    """
     m = removed.select("plan_id", F.col("id").alias("owner"), "target", F.lit(True).alias("_gone"))
-    moved = claims.join(m, ["plan_id", "owner"], "left")
     owner = F.when(F.col("_gone"), F.col("target")).otherwise(F.col("owner"))
-    # sources already owned by the target stay single
-    return moved.select("plan_id", "source_id", owner.alias("owner")).distinct()
+    moved = claims.join(m, ["plan_id", "owner"], "left").select("plan_id", "source_id", owner.alias("owner"))
+    targets = removed.filter(F.col("target").isNotNull()).select("plan_id", F.col("target").alias("owner"), F.lit(True).alias("_merged")).distinct()
+    flagged = moved.join(targets, ["plan_id", "owner"], "left").select("plan_id", "source_id", "owner", "_merged")
+    return flagged.filter("_merged").drop("_merged").distinct().unionByName(flagged.filter("_merged is null").drop("_merged"))
 
 
 def merged_sources(claims: DataFrame) -> DataFrame:
@@ -120,17 +125,20 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], comp
 
 
 def fingerprint(rows: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """Order-free content hash of the rows of a key.
+    """Order-free content hash of the rows of a key, each as often as it occurs.
 
-    The row hashes are combined by xor, which aggregates partially, so that a
-    plan of any size is hashed without being gathered.
+    A row is the JSON text of its columns, null ones left out and values quoted, so
+    that no two rows share a text. Two sums of row hashes, taken from both ends of
+    a SHA-256, aggregate partially: a plan of any size is hashed without being
+    gathered, and equal rows add up where an exclusive or would cancel them.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in content])
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in content]))
+    digest = F.sha2(text, 256)
+    part = lambda start: F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)"))
     return (
         rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(part).alias("x"))
-        .select(*keys, F.sha2(F.concat_ws(":", "n", "x"), 256).alias("content_sha256"))
+        .agg(F.count(F.lit(1)).alias("n"), part(1).alias("x"), part(53).alias("y"))
+        .select(*keys, F.sha2(F.concat_ws(":", "n", F.col("x").cast("string"), F.col("y").cast("string")), 256).alias("content_sha256"))
     )
 
 

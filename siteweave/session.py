@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +29,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Where it is unset, a folder below ``spark.sql.warehouse.dir``, which executors share as well, takes its place.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
         return configured
     current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="siteweave-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    if current is None:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages")
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,9 +56,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, unused path below the shared folder; :func:`drop_stages` removes what was written there."""
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _STAGES.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession, keep: Iterable[str] = ()) -> int:
+    """Remove the stage tables this process has written, once no result that reads them is needed any more.
+
+    Returns how many were removed. Frames built on them cannot be evaluated afterwards.
+    """
+    kept, jvm, removed = set(keep), spark.sparkContext._jvm, 0
+    for path in [p for p in _STAGES if p not in kept]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+        _STAGES.remove(path)
+    return removed
 
 
 def for_python(df: DataFrame, *keys: str, grouped: bool = True) -> DataFrame:

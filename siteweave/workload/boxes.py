@@ -448,7 +448,7 @@ def containment_dedupe(spark, d):
     + CONFLICT_SQL.replace("KEEPIF", "NOT is_group AND classifier_score >= 0.3")
     + """, kids AS (SELECT k.image_id, k.id, rk.x0,rk.y0,rk.x1,rk.y1, row_number() OVER (PARTITION BY k.image_id ORDER BY rk.y0, rk.x0, rk.id) AS rank
     FROM keptids k JOIN rk ON rk.image_id=k.image_id AND rk.id=k.id),
-par AS (SELECT image_id, id, x0-(x1-x0) AS x0, y0-(y1-y0) AS y0, x1+(x1-x0) AS x1, y1+(y1-y0) AS y1 FROM items WHERE is_group),
+par AS (SELECT image_id, id, x0-(x1-x0)/8 AS x0, y0-(y1-y0)/8 AS y0, x1+(x1-x0)/8 AS x1, y1+(y1-y0)/8 AS y1 FROM items WHERE is_group),
 el AS (SELECT p.image_id, p.id AS parent, greatest(p.x1-p.x0,1) AS pw, greatest(p.y1-p.y0,1) AS ph, k.* EXCLUDE (image_id) FROM par p JOIN kids k USING (image_id)
    WHERE greatest((k.x1-k.x0)*(k.y1-k.y0),1)/(greatest(p.x1-p.x0,1)*greatest(p.y1-p.y0,1)) <= 0.82
      AND greatest(0,least(p.x1,k.x1)-greatest(p.x0,k.x0))*greatest(0,least(p.y1,k.y1)-greatest(p.y0,k.y0))/greatest((k.x1-k.x0)*(k.y1-k.y0),1) >= 0.74),
@@ -456,7 +456,7 @@ pick AS (SELECT a.image_id, a.parent AS id, min_by({'a':a.id,'b':b.id}, a.rank*1
    WHERE """
     + R.sql_iou("a", "b", "1e-9")
     + """ <= 0.32 AND greatest(abs((a.x0+a.x1)/2-(b.x0+b.x1)/2)/a.pw, abs((a.y0+a.y1)/2-(b.y0+b.y1)/2)/a.ph) >= 0.18
-   AND (greatest((a.x1-a.x0)*(a.y1-a.y0),1)+greatest((b.x1-b.x0)*(b.y1-b.y0),1))/(a.pw*a.ph) >= 0.22 GROUP BY 1,2),
+   AND (greatest((a.x1-a.x0)*(a.y1-a.y0),1)+greatest((b.x1-b.x0)*(b.y1-b.y0),1))/(a.pw*a.ph) >= 0.65 GROUP BY 1,2),
 sub AS (SELECT DISTINCT p.image_id, o.id FROM par p JOIN pick USING (image_id,id) JOIN par o ON o.image_id=p.image_id AND o.id<>p.id
    WHERE greatest((o.x1-o.x0)*(o.y1-o.y0),1)/(greatest(p.x1-p.x0,1)*greatest(p.y1-p.y0,1)) <= 0.82
      AND greatest(0,least(p.x1,o.x1)-greatest(p.x0,o.x0))*greatest(0,least(p.y1,o.y1)-greatest(p.y0,o.y0))/greatest((o.x1-o.x0)*(o.y1-o.y0),1) >= 0.74),
@@ -468,7 +468,7 @@ SELECT i.image_id, i.id, CASE WHEN NOT EXISTS (SELECT 1 FROM par WHERE par.image
 FROM items i""",
 )
 def parent_split(spark, d):
-    """Group boxes that two distinct local children explain; group boxes are three times as wide here."""
+    """Group boxes that two distinct local children explain; group boxes are a quarter wider here."""
     spans = mask_spans(spark, d)
     area = masks.mask_stats(spans).select("image_id", "id", "mask_area")
     items = detection_items(spark, d).join(area, ["image_id", "id"])
@@ -476,10 +476,10 @@ def parent_split(spark, d):
     local_spans = spans.join(local.select("image_id", "id"), ["image_id", "id"], "left_semi")
     kept = masks.containment_dedupe(local, local_spans).filter(F.col("duplicate_of").isNull())
     children = proposals.rank_in_group(kept, ["image_id"], ["y0", "x0", "id"], F.floor(F.col("y0") / 64))
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    w, h = (F.col("x1") - F.col("x0")) / 8, (F.col("y1") - F.col("y0")) / 8
     grown = {"x0": F.col("x0") - w, "y0": F.col("y0") - h, "x1": F.col("x1") + w, "y1": F.col("y1") + h}
     items = items.withColumns({k: F.when(F.col("is_group"), v).otherwise(F.col(k)) for k, v in grown.items()})
-    _, verdict = masks.split_parents(items, children, combined=0.22)
+    _, verdict = masks.split_parents(items, children)
     return verdict
 
 

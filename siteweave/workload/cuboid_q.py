@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, camera, quadmap
 from ..functions import geometry as G
 from ..operators import orientation as O
-from ..plans import cuboid, layout_fit
+from ..plans import centers, cuboid
 from . import recipes as R
 from .registry import query, with_
 
@@ -101,11 +101,12 @@ def quad_mapping(spark, d):
     with_(R.cte("qs", QUADS)) + MAP_SQL
     + """, ln AS (SELECT *, 'v' AS along, CAST(i AS DOUBLE)/4 AS station FROM k2, (SELECT unnest([1,2,3]) AS i) UNION ALL SELECT *, 'u', CAST(i AS DOUBLE)/4 FROM k2, (SELECT unnest(range(1,120)) AS i) WHERE i < least(120, ceil(ratio*4)) AND i/4.0 < ratio),
 ep AS (SELECT *, CASE WHEN along='v' THEN 0 ELSE station END AS u0, CASE WHEN along='v' THEN station ELSE 0 END AS v0, CASE WHEN along='v' THEN ratio ELSE station END AS u1, CASE WHEN along='v' THEN station ELSE 1 END AS v1 FROM ln)
-SELECT plan_id, id, along, station, round((a*u0+b*v0+c)/(g*u0+h*v0+1)+0.0000000017::DOUBLE,6) AS ix0, round((dd*u0+e*v0+f)/(g*u0+h*v0+1)+0.0000000017::DOUBLE,6) AS iy0, round((a*u1+b*v1+c)/(g*u1+h*v1+1)+0.0000000017::DOUBLE,6) AS ix1, round((dd*u1+e*v1+f)/(g*u1+h*v1+1)+0.0000000017::DOUBLE,6) AS iy1 FROM ep""",
+SELECT plan_id, id, along, station, CAST(floor((a*u0+b*v0+c)/(g*u0+h*v0+1)*1e9+0.5::DOUBLE) AS BIGINT) AS ix0, CAST(floor((dd*u0+e*v0+f)/(g*u0+h*v0+1)*1e9+0.5::DOUBLE) AS BIGINT) AS iy0, CAST(floor((a*u1+b*v1+c)/(g*u1+h*v1+1)*1e9+0.5::DOUBLE) AS BIGINT) AS ix1, CAST(floor((dd*u1+e*v1+f)/(g*u1+h*v1+1)*1e9+0.5::DOUBLE) AS BIGINT) AS iy1 FROM ep""",
 )
 def quad_grid_lines(spark, d):
+    """Ends of the grid lines in billionths; both sides round by the same arithmetic, so ties agree."""
     g = quadmap.grid_lines(mapped(spark, d), F.col("ratio"))
-    return g.select("plan_id", "id", "along", "station", *[F.round(F.col(c) + 1.7e-9, 6).alias(c) for c in ("ix0", "iy0", "ix1", "iy1")])
+    return g.select("plan_id", "id", "along", "station", *[F.floor(F.col(c) * 1e9 + 0.5).alias(c) for c in ("ix0", "iy0", "ix1", "iy1")])
 
 
 # ---- orientation ---------------------------------------------------------------------------------
@@ -222,27 +223,15 @@ def foot_lines(spark, d):
     with_(R.BUILDINGS, R.CORNERS)
     + ", m AS (SELECT plan_id, id, " + ", ".join(f"c{i}x, c{i}y" for i in range(4)) + ", (c0x+c1x+c2x+c3x)/4 AS mx, (c0y+c1y+c2y+c3y)/4 AS my FROM corners), v AS (SELECT plan_id, id, "
     + "+".join(f"(c{i}x-mx)**2" for i in range(4)) + " AS sxx, " + "+".join(f"(c{i}y-my)**2" for i in range(4)) + " AS syy, " + "+".join(f"(c{i}x-mx)*(c{i}y-my)" for i in range(4))
-    + " AS sxy FROM m), a AS (SELECT *, degrees(0.5::DOUBLE*atan2(2*sxy, sxx-syy)) AS an FROM v) SELECT plan_id, id, round(greatest(-12,least(12,CASE WHEN an>45 THEN an-90 WHEN an<-45 THEN an+90 ELSE an END)),2) AS yaw_deg FROM a WHERE abs(abs(an)-45)>1e-6",
+    + """ AS sxy FROM m), a AS (SELECT *, degrees(0.5::DOUBLE*atan2(round(2*sxy,6)+0.0::DOUBLE, round(sxx-syy,6)+0.0::DOUBLE)) AS an FROM v), f AS (SELECT *, CASE WHEN an>45 THEN an-90 WHEN an<-45 THEN an+90 ELSE an END AS fo FROM a)
+SELECT plan_id, id, round(greatest(-12,least(12,fo)),3) AS yaw_deg FROM f""",
 )
 def yaw_moments(spark, d):
-    """In-plane yaw of footprint outlines, away from the fold at ±45° where one ulp decides."""
+    """In-plane yaw of all footprint outlines."""
     from ..operators import spatial
 
     s = spatial.footprints(R.buildings(spark, d)).select("plan_id", "id", F.lit(0).alias("pos"), G.polygon_of(G.quad("c")).alias("poly"))
-    return _off_fold(cuboid.contour_yaw(s, ["plan_id", "id"]), s).withColumn("yaw_deg", F.round("yaw_deg", 2))
-
-
-def _off_fold(yaw, shapes):
-    p = F.col("poly")
-    mean = lambda c: F.aggregate(p, G.dlit(0), lambda a, v: a + v[c]) / 4
-    m = shapes.withColumns({"mx": mean("x"), "my": mean("y")})
-    tot = lambda f: F.aggregate(p, G.dlit(0), lambda a, v: a + f(v))
-    sxx = tot(lambda v: (v["x"] - F.col("mx")) * (v["x"] - F.col("mx")))
-    syy = tot(lambda v: (v["y"] - F.col("my")) * (v["y"] - F.col("my")))
-    sxy = tot(lambda v: (v["x"] - F.col("mx")) * (v["y"] - F.col("my")))
-    an = F.degrees(0.5 * F.atan2(2 * sxy, sxx - syy))
-    keep = m.withColumn("an", an).filter(F.abs(F.abs("an") - 45) > 1e-6).select("plan_id", "id")
-    return yaw.join(keep, ["plan_id", "id"], "left_semi")
+    return cuboid.contour_yaw(s, ["plan_id", "id"])
 
 
 def observed(spark, d):
@@ -414,13 +403,13 @@ def far_to_near(spark, d):
     return cuboid.far_to_near(cuboid.solve(observed(spark, d))).select("scene_id", "id", F.round("view_depth", 6).alias("view_depth"))
 
 
-# ---- searches (no SQL: order-dependent or raster scoring; tested against brute force) --------------------
+# ---- centres to choose from ----------------------------------------------------------------------------
 
 
 def fit_inputs(spark, d):
     from .spatial_q import boundaries
 
-    b = R.buildings(spark, d).withColumn("pos", F.col("id"))
+    b = R.buildings(spark, d)
     b = b.withColumns({"w": F.col("w") / 3, "d": F.col("d") / 3, "cx": F.col("cx") * 0.8 + 80, "cy": F.col("cy") * 0.8 + 80})
     # the zone whose quadrant holds the centre
     zone = F.concat(F.lit("Z"), (F.when(F.col("cx") > 490, 1).otherwise(0) + F.when(F.col("cy") > 490, 2).otherwise(0)).cast("string"))
@@ -432,31 +421,23 @@ def fit_inputs(spark, d):
     with_(R.BUILDINGS, R.ZONES, R.PLAN_NATION, R.PLAN_ZONES)
     + """, b0 AS (SELECT * REPLACE (w/3 AS w, d/3 AS d, cx*0.8::DOUBLE+80 AS cx, cy*0.8::DOUBLE+80 AS cy) FROM buildings),
 b1 AS (SELECT * REPLACE ('Z'||((CASE WHEN cx>490 THEN 1 ELSE 0 END)+(CASE WHEN cy>490 THEN 2 ELSE 0 END)) AS zone_id) FROM b0),
-op AS (SELECT plan_id, id, zone_id, w, d, clock, CAST(dx*dx+dy*dy AS DOUBLE) AS distance, cx+dx AS cx, cy+dy AS cy FROM b1, (SELECT unnest(range(-6,7,2)) AS dx), (SELECT unnest(range(-6,7,2)) AS dy) WHERE dx*dx+dy*dy<=36),
-co AS (SELECT *, """ + R.sql_corners() + """ FROM op)
-SELECT co.plan_id, id, distance, cx AS ox, cy AS oy FROM co JOIN plan_zones z ON z.plan_id=co.plan_id AND z.zone_id=co.zone_id WHERE """
-    + " AND ".join(f"{R.sql_contains(f'c{i}x', f'c{i}y', R.sql_poly('z', 4))} AND {R.sql_contains(f'c{i}x', f'c{i}y', [('20::DOUBLE', '20::DOUBLE'), ('980::DOUBLE', '30::DOUBLE'), ('970::DOUBLE', '980::DOUBLE'), ('10::DOUBLE', '960::DOUBLE')])}" for i in range(4)),
+b2 AS (SELECT *, """ + R.sql_corners() + """ FROM b1),
+sh AS (SELECT CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(dx*dx+dy*dy AS DOUBLE) AS distance, row_number() OVER (ORDER BY dx*dx+dy*dy, dx, dy) AS nr
+  FROM (SELECT unnest(range(-40,41,2)) AS dx), (SELECT unnest(range(-40,41,2)) AS dy) WHERE dx*dx+dy*dy<=1600),
+op AS (SELECT b2.plan_id, id, nr, distance, cx+dx AS ox, cy+dy AS oy FROM b2 JOIN plan_zones z ON z.plan_id=b2.plan_id AND z.zone_id=b2.zone_id, sh WHERE """
+    + " AND ".join(
+        f"{R.sql_contains(f'(c{i}x+dx)', f'(c{i}y+dy)', R.sql_poly('z', 4))} AND {R.sql_contains(f'(c{i}x+dx)', f'(c{i}y+dy)', [('20::DOUBLE', '20::DOUBLE'), ('980::DOUBLE', '30::DOUBLE'), ('970::DOUBLE', '980::DOUBLE'), ('10::DOUBLE', '960::DOUBLE')])}"
+        for i in range(4)
+    )
+    + """), rk AS (SELECT *, row_number() OVER (PARTITION BY plan_id, id ORDER BY nr) AS rank FROM op)
+SELECT plan_id, id, count(*) AS options, max(CASE WHEN rank=1 THEN ox END) AS nearest_x, max(CASE WHEN rank=1 THEN oy END) AS nearest_y, max(distance) AS farthest,
+  CAST(sum(rank*distance) AS DOUBLE) AS ranked FROM rk GROUP BY 1,2""",
 )
 def feasible_centers(spark, d):
-    return layout_fit.feasible_centers(*fit_inputs(spark, d), max_shift=6)
-
-
-@query("layout_fit")
-def layout_fit_query(spark, d):
-    return layout_fit.fit(*fit_inputs(spark, d), max_shift=6)
-
-
-@query("uniform_shrink")
-def uniform_shrink(spark, d):
-    shapes = cuboid.house_shapes(cuboid.solve(observed(spark, d)))
-    return layout_fit.uniform_shrink(shapes, ponds(spark, d))
-
-
-@query("ratio_sweep")
-def ratio_sweep(spark, d):
-    f = cuboid.foot_lines(R.derive(spark, d, ITEMS), parts(spark, d), ["scene_id", "id"])
-    outline = F.expr(
-        """array(array(named_struct('x',x0,'y',y0+(y1-y0)/3), named_struct('x',(x0+x1)/2,'y',y0), named_struct('x',x1,'y',y0+(y1-y0)/3), named_struct('x',x1,'y',y1), named_struct('x',x0,'y',y1)))"""
-    )
-    items = f.withColumn("polygons", outline).join(R.derive(spark, d, CAMERA), "scene_id")
-    return layout_fit.ratio_sweep(items)
+    """All feasible centres of every building in one row: how many, the nearest, the farthest, and a sum that holds every rank."""
+    o = centers.feasible_centers(*fit_inputs(spark, d))
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
+    return o.groupBy("plan_id", "id").agg(
+        F.count(F.lit(1)).alias("options"), first("ox").alias("nearest_x"), first("oy").alias("nearest_y"),
+        F.max("distance").alias("farthest"), F.sum(F.col("rank") * F.col("distance")).alias("ranked"),
+    )

@@ -13,9 +13,11 @@ from . import recipes as R
 from .boxes import TILES_SQL
 from .registry import query, with_
 
-GATED = """, ext AS (SELECT *, regexp_extract(regexp_replace(trim(answer),'<think>.*?</think>','','gis'),'\\{.*\\}',0,'s') AS body FROM runs),
+GATED = """, ext AS (SELECT *, regexp_extract(regexp_replace(trim(answer),'<think>.*?</think>','','gis'),'\\{.*\\}',0,'s') AS body,
+  regexp_replace(answer,'^\\s+|\\s+$','','g') AS plain FROM runs),
+fen AS (SELECT *, CASE WHEN regexp_matches(plain,'^```[^\\n]*\\n(.*\\n)?[ \\t]*```$','s') THEN regexp_extract(plain,'^```[^\\n]*\\n(.*\\n)?[ \\t]*```$',1,'s') ELSE plain END AS whole FROM ext),
 gated AS (SELECT *, CASE WHEN finish_reason<>'stop' THEN 'truncated' WHEN NOT (model_returned=model_requested OR starts_with(model_returned, model_requested||'-')) THEN 'wrong_model'
-  WHEN NOT (body<>'' AND json_valid(body)) THEN 'not_json' WHEN issues>0 THEN 'invalid' END AS refused FROM ext)"""
+  WHEN NOT (starts_with(ltrim(whole),'{') AND json_valid(whole)) THEN 'not_json' WHEN issues>0 THEN 'invalid' END AS refused FROM fen)"""
 
 
 @query("response_gate", with_(R.RUNS) + GATED + " SELECT run_id, image_id, stage, label, refused FROM gated")
@@ -34,15 +36,14 @@ def extracted_answers(spark, d):
 
 @query(
     "array_answers",
-    "SELECT conv_id, turn, CASE WHEN role='assistant' THEN '['||turn||', '||conv_id||']' ELSE '' END AS body FROM conversations",
+    """SELECT conv_id, turn, CASE WHEN role='assistant' THEN to_json([text, CAST(turn AS VARCHAR)])::VARCHAR
+  WHEN contains(text,'[') AND contains(substr(text, strpos(text,'[')),']') THEN regexp_extract(text,'\\[.*\\]',0,'s') ELSE '' END AS body FROM conversations""",
 )
 def array_answers(spark, d):
-    """Turns of the answering side carry a fenced array after prose; other roles give none."""
+    """Turns of the answering side as a fenced array after a reasoning block; other roles as they are."""
     c = R.table(spark, d, "conversations")
-    text = F.when(
-        F.col("role") == "assistant",
-        F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>```JSON\n["), F.col("turn"), F.lit(", "), F.col("conv_id"), F.lit("]\n```")),
-    ).otherwise(F.lit("no answer"))
+    listed = F.to_json(F.array("text", F.col("turn").cast("string")))
+    text = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>why</think>```JSON\n"), listed, F.lit("\n```"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", A.outer_array(text).alias("body"))
 
 
@@ -440,11 +441,12 @@ def stream_intake(spark, d):
 @query(
     "stream_tally",
     with_(R.RUNS) + GATED
-    + " SELECT strftime(date_trunc('day', ts),'%Y-%m-%d') AS day, coalesce(refused,'accepted') AS reason, count(*) AS n FROM gated WHERE date_trunc('day',ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1,2",
+    + """ SELECT strftime(date_trunc('day', ts),'%Y-%m-%d') AS day, coalesce(refused,'accepted') AS reason, count(*) AS n,
+  date_trunc('day',ts) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS open FROM gated GROUP BY 1,2,4""",
 )
 def stream_tally(spark, d):
-    """Daily tally of closed windows."""
+    """Daily tally, windows that may still grow marked."""
     sink, state = scratch_path(spark, "tally"), scratch_path(spark, "tally-state")
-    live.rejection_windows(_run_stream(spark, d), sink, state)
-    t = spark.read.schema("window_start timestamp, reason string, n bigint").parquet(sink)
-    return t.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "reason", "n")
+    live.tally_rejections(_run_stream(spark, d), sink, state)
+    t = live.rejection_windows(spark, sink)
+    return t.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "reason", "n", "open")

@@ -480,10 +480,11 @@ DETAILS = f"""select doc_id, case when k%67=0 then concat('X', k) else concat('B
 
 @query(
     "detail_issues",
-    with_(R.cte("de", DETAILS), R.cte("ib", HYP_PRIOR))
+    with_(R.cte("de", DETAILS), R.cte("ib", HYP_PRIOR), "ms AS (SELECT * REPLACE ('M'||id AS id, x1-x0-150 AS x1) FROM de WHERE appearance_kind='unclear')")
     + ", keepers AS (SELECT doc_id, id FROM de WHERE status IN ('keep','uncertain'))\n"
     + union(
         R.sql_issue("detail_geometry", f"de WHERE NOT ({R.sql_box_ok()} AND {R.sql_point('ax', 'ay')} AND {R.sql_quad_ok()} AND {R.SQL_RATIO_OK})"),
+        R.sql_issue("detail_geometry", f"ms WHERE NOT ({R.sql_box_ok()} AND {R.sql_point('ax', 'ay')} AND {R.sql_quad_ok()} AND {R.SQL_RATIO_OK})"),
         R.sql_issue("detail_verdict", "de WHERE status='drop'"),
         R.sql_issue("missing_foundation_trace", "de WHERE length(trim(foundation_trace))=0"),
         R.sql_issue("missing_bbox_reason", "de WHERE bbox_reason IS NULL"),
@@ -497,8 +498,10 @@ DETAILS = f"""select doc_id, case when k%67=0 then concat('X', k) else concat('B
     ),
 )
 def detail_issues(spark, d):
+    """Missing ones come from the unclear decisions, with boxes that are partly inside out."""
     dec = R.derive(spark, d, DETAILS)
-    return rules.detail_issues(dec, dec.limit(0), R.derive(spark, d, HYP_PRIOR))
+    missing = dec.filter("appearance_kind = 'unclear'").withColumns({"id": F.concat(F.lit("M"), "id"), "x1": F.col("x1") - F.col("x0") - 150})
+    return rules.detail_issues(dec, missing, R.derive(spark, d, HYP_PRIOR))
 
 
 ASSIGN = """select o_custkey as doc_id, concat(l_orderkey, '-', l_linenumber) as source_id, case when l_returnflag='R' then null when l_suppkey%9=0 then 'B?' else concat('B', l_orderkey) end as target

@@ -52,6 +52,23 @@ FINDINGS = f"""findings AS (
 GEO = (R.BUILDINGS, R.CORNERS, R.ZONES, R.WATERS, R.PLAN_NATION, R.PLAN_ZONES, R.PLAN_WATERS, ZC, FINDINGS)
 
 
+# small buildings in the zone of their quadrant: plans that can pass every geometric check
+CALM = "buildings AS (SELECT * REPLACE ('Z'||((CASE WHEN cx>490 THEN 1 ELSE 0 END)+(CASE WHEN cy>490 THEN 2 ELSE 0 END)) AS zone_id) FROM (SELECT * REPLACE (w/20 AS w, d/20 AS d, cx*0.8::DOUBLE+80 AS cx, cy*0.8::DOUBLE+80 AS cy) FROM ("
+CALM_BUILDINGS = CALM + R.BUILDINGS.removeprefix("buildings AS (").removesuffix(")") + ")))"
+CALM_GEO = (CALM_BUILDINGS, *GEO[1:])
+
+
+def calm_buildings(spark, d):
+    b = R.buildings(spark, d)
+    b = b.withColumns({"w": F.col("w") / 20, "d": F.col("d") / 20, "cx": F.col("cx") * 0.8 + 80, "cy": F.col("cy") * 0.8 + 80})
+    zone = F.when(F.col("cx") > 490, 1).otherwise(0) + F.when(F.col("cy") > 490, 2).otherwise(0)
+    return b.withColumn("zone_id", F.concat(F.lit("Z"), zone.cast("string")))
+
+
+def calm_findings(spark, d):
+    return spatial.geometry_checks(calm_buildings(spark, d), R.plan_zones(spark, d), R.plan_waters(spark, d), boundaries(spark, d))
+
+
 def boundaries(spark, d):
     b = "array(named_struct('x',20D,'y',20D),named_struct('x',980D,'y',30D),named_struct('x',970D,'y',980D),named_struct('x',10D,'y',960D))"
     return R.plan_nation(spark, d).select("plan_id", F.expr(b).alias("poly"))

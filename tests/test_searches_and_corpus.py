@@ -3,83 +3,42 @@
 import math
 import re
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siteweave.operators import corpus
-from siteweave.plans import layout_fit
-from siteweave.session import scratch_path
+from siteweave.operators import corpus, intake
+from siteweave.plans import centers, revision
+from siteweave.session import drop_stages, scratch_path, shared_folder
 from siteweave.sources import readers, sinks
 from siteweave.streaming import intake as live
 
 SQUARE = "array(named_struct('x',0D,'y',0D),named_struct('x',300D,'y',0D),named_struct('x',300D,'y',300D),named_struct('x',0D,'y',300D))"
 
 
-def plan(rows, spark):
-    b = rows("plan_id int, id int, pos int, cx double, cy double, w double, d double, clock double, zone_id string",
-             (1, 1, 1, 60.0, 60.0, 40.0, 20.0, 0.0, "Z"), (1, 2, 2, 75.0, 66.0, 40.0, 20.0, 1.0, "Z"), (1, 3, 3, 150.0, 150.0, 30.0, 30.0, 3.0, "Z"),
-             (1, 4, 4, 165.0, 140.0, 30.0, 20.0, 6.0, "Z"), (1, 5, 5, 152.0, 149.0, 100.0, 90.0, 0.0, "Z"), (2, 1, 1, 100.0, 100.0, 20.0, 20.0, 0.0, "Z"))
+def test_centres_equal_brute_force(rows, spark):
+    b = rows("plan_id int, id int, cx double, cy double, w double, d double, clock double, zone_id string",
+             (1, 1, 60.0, 60.0, 40.0, 20.0, 0.5, "Z"), (1, 2, 150.0, 150.0, 290.0, 280.0, 0.0, "Z"), (1, 3, 150.0, 150.0, 400.0, 10.0, 3.0, "Z"), (2, 1, 290.0, 20.0, 20.0, 20.0, 1.0, "Z"))
     z = spark.sql(f"select plan_id, 'Z' as zone_id, {SQUARE} as poly from values (1),(2) as t(plan_id)")
-    return b, z, z.select("plan_id", "poly")
-
-
-def test_fit_moves_only_centres_and_reports_the_rest(rows, spark):
-    b, z, e = plan(rows, spark)
-    got = {(r.plan_id, r.id): r for r in layout_fit.fit(b, z, e, 10).collect()}
-    assert len(got) == 6 and (got[2, 1].ox, got[2, 1].oy, got[2, 1].unresolved) == (100.0, 100.0, False)
-    home = {(r.plan_id, r.id): (r.cx, r.cy) for r in b.collect()}
-    for k, r in got.items():
-        assert math.hypot(r.ox - home[k][0], r.oy - home[k][1]) <= 10
-        if r.unresolved:
-            assert (r.ox, r.oy) == home[k]
-    assert any(r.unresolved for r in got.values())
-
-
-def test_wavefront_equals_grouped_fit(rows, spark):
-    b, z, e = plan(rows, spark)
-    one = sorted(tuple(r) for r in layout_fit.fit(b, z, e, 6).collect())
-    two = sorted(tuple(r) for r in layout_fit.fit(b, z, e, 6, group_limit=0).collect())
-    assert one == two
-
-
-def test_bad_shift_is_refused(rows, spark):
+    got = {}
+    for r in centers.feasible_centers(b, z, z.select("plan_id", "poly")).collect():
+        got.setdefault((r.plan_id, r.id), []).append((r["rank"], r.distance, r.ox, r.oy))
+    for r in b.collect():
+        want = []
+        for dx in range(-40, 41, 2):
+            for dy in range(-40, 41, 2):
+                a = math.pi * r.clock / 6
+                corners = [(r.cx + dx - u * r.w / 2 * math.cos(a) + v * r.d / 2 * math.sin(a), r.cy + dy - u * r.w / 2 * math.sin(a) - v * r.d / 2 * math.cos(a)) for u, v in ((-1, 1), (1, 1), (1, -1), (-1, -1))]
+                if dx * dx + dy * dy <= 1600 and all(0 <= x < 300 and 0 <= y < 300 for x, y in corners):
+                    want.append((float(dx * dx + dy * dy), r.cx + dx, r.cy + dy))
+        found = sorted(got.get((r.plan_id, r.id), []))
+        assert [k for k, *_ in found] == list(range(1, len(want) + 1))
+        assert [tuple(x) for _, *x in found] == sorted(want)
+
+
+def test_bad_shift_is_refused():
     with pytest.raises(ValueError):
-        layout_fit.feasible_centers(*plan(rows, spark), max_shift=7)
-
-
-def test_shrink_keeps_ratio_and_separates(rows, spark):
-    s = "scene_id int, id string, pos int, cx double, cy double, length double, depth double, yaw_deg double, centre_py double, x0 double, y0 double, x1 double, y1 double"
-    shapes = rows(s, (1, "a", 1, 0.0, 0.0, 3.0, 1.0, 10.0, 5.0, -1.6, -0.8, 1.6, 0.8), (1, "b", 2, 0.5, 0.3, 3.0, 1.0, -20.0, 4.0, -1.1, -0.7, 2.1, 1.3), (1, "c", 3, 50.0, 0.0, 3.0, 1.0, 0.0, 1.0, 48.5, -0.5, 51.5, 0.5))
-    water = spark.sql("select 1 as scene_id, array(named_struct('x',49D,'y',-1D),named_struct('x',52D,'y',-1D),named_struct('x',52D,'y',0.2D),named_struct('x',49D,'y',0.2D)) as poly")
-    got = {r.id: r for r in layout_fit.uniform_shrink(shapes, water).collect()}
-    assert all(abs(r.length / r.depth - 3) < 1e-9 for r in got.values())
-    h = {k: [r.cx, r.cy, r.length, r.depth, math.cos(math.radians(y)), math.sin(math.radians(y))] for (k, r), y in zip(sorted(got.items()), (10, -20, 0))}
-    assert not layout_fit._meet(h["a"], h["b"], layout_fit.CLEARANCE)
-    assert got["c"].cx == 50.0 and got["c"].cy > 0.5 and got["c"].length == 3.0
-
-
-def test_ratio_sweep_finds_its_own_silhouette():
-    def raster(ratio):
-        faces = []
-        long, deep = np.array([150.0, 0.0]), (3.0 / ratio) * 40.0 * np.array([0.8, 0.6])
-        c = np.array([220.0, 300.0])
-        p = lambda u, v, t: c + u * long + v * deep + np.array([0.0, -60.0 * t])
-        faces.append([p(-0.5, -0.5, 0), p(0.5, -0.5, 0), p(0.5, -0.5, 1), p(-0.5, -0.5, 1)])
-        faces.append([p(-0.5, 0.5, 0), p(-0.5, -0.5, 0), p(-0.5, -0.5, 1), p(-0.5, 0.5, 1)])
-        faces.append([p(-0.5, -0.5, 1), p(0.5, -0.5, 1), p(0.5, 0.5, 1), p(-0.5, 0.5, 1)])
-        return faces
-
-    scores, seen = layout_fit.sweep_one((130, 180, 320, 340), raster(2.0), (220, 300), 150.0, 60.0, (1.0, 0.0), (0.8, 0.6), 40.0, 3.0, 20.0, 1000, 1000)
-    assert seen and layout_fit.RATIOS[int(np.argmax(scores))] == 2.0 and scores.max() > 0.999
-    assert layout_fit.pick_ratio(scores, seen, 0.8)[1] and not layout_fit.pick_ratio(scores, seen, 0.2)[1]
-    assert layout_fit.pick_ratio(np.full(13, 0.4), True, 0.9)[0] == 3.0
-
-
-def test_fill_is_pixel_centre_even_odd():
-    m = layout_fit.fill_even_odd([np.array([[1.0, 1.0], [4.0, 1.0], [4.0, 3.0], [1.0, 3.0]])], 6, 5)
-    assert m.sum() == 6 and m[1:3, 1:4].all()
+        centers.grid_shifts(7)
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -107,6 +66,64 @@ def test_leaks_and_links(rows):
     assert [(r.file, r.target) for r in corpus.broken_links(f, f).collect()] == [("a/x.md", "gone.md")]
 
 
+def test_links_resolve_at_any_depth(rows):
+    down, up = "a/b/c/d/e/f", "../../../../../.."
+    f = rows("file string, text string, size long", ("x.md", f"[l]({down}/{up}/y.md) [m](.hid/../y.md) [n](./a//../y.md) [o](../y.md)", 1), ("y.md", "", 1))
+    assert [(r.file, r.target) for r in corpus.broken_links(f, f).collect()] == [("x.md", "../y.md")]
+
+
+def test_gate_takes_one_object_and_one_fence(rows):
+    answers = ['{"a":1}', '```json\n{"a":1}\n```', '```\n{"a":1}\n``` ', 'Sure: {"a":1}', '{"a":1} done', "[1]", '```{"a":1}```', "", None]
+    runs = rows("run_id int, answer string", *enumerate(answers)).selectExpr("*", "'stop' as finish_reason", "'m' as model_requested", "'m' as model_returned", "0 as issues")
+    assert [r.refused for r in intake.gate(runs).orderBy("run_id").collect()] == [None] * 3 + ["not_json"] * 6
+
+
+def test_fingerprint_counts_rows_and_keeps_values_apart(rows):
+    def of(*data):
+        return revision.fingerprint(rows("k int, a string, b string", *((1, *r) for r in data)), ["k"], ["a", "b"]).first()[1]
+
+    a, b, c = ("x", "1"), ("y", "2"), ("z", None)
+    assert of(a, a, c) != of(b, b, c) and of(a, b) == of(b, a) and of(a) != of(a, a)
+    assert of(("x|1", "")) != of(("x", "1|")) and of(("~", None)) != of((None, "~")) and of(("x", None)) != of(("x", "~"))
+
+
+def test_repeated_claims_survive_unless_merged(rows):
+    claims = rows("plan_id int, source_id string, owner string", (1, "s", "A"), (1, "s", "A"), (1, "t", "B"), (1, "t", "C"), (1, "u", "D"), (1, "u", "D"))
+    removed = rows("plan_id int, id string, target string", (1, "B", "C"), (1, "D", None))
+    out = sorted((r.source_id, str(r.owner)) for r in revision.move_ownership(claims, removed).collect())
+    assert out == [("s", "A"), ("s", "A"), ("t", "C"), ("u", "None"), ("u", "None")]
+
+
+def test_files_are_numbered_by_path_in_nested_folders(rows):
+    paths = ["a/z.jpg", "a/b/c.jpg", "a/b.jpg", "b.jpg", "a/b/d/e.jpg", "A/x.jpg"]
+    got = readers.number_files(rows("path string, n int", *((p, 1) for p in paths))).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.id)] == sorted(paths) and sorted(r.id for r in got) == list(range(1, 7))
+
+
+def test_tally_is_whole_over_any_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    for day in (3, 1, 2):
+        part = spark.range(10).selectExpr(
+            "cast(id as int) as run_id", f"timestamp'2024-01-0{day} 00:00:00' + make_interval(0,0,0,0,cast(id as int)) as ts",
+            "'stop' as finish_reason", "'m' as model_requested", "'m' as model_returned", "0 as issues", "case when id % 2 = 0 then '{}' else 'no' end as answer",
+        )
+        part.coalesce(1).write.mode("append").parquet(str(src))
+    sink, state = scratch_path(spark, "tally"), scratch_path(spark, "tally-state")
+    live.tally_rejections(live.answer_stream(spark, str(src), part.schema, max_files=1), sink, state)
+    out = sorted((r.window_start.day, r.reason, r.n, r.open) for r in live.rejection_windows(spark, sink).collect())
+    assert out == [(d, reason, 5, d == 3) for d in (1, 2, 3) for reason in ("accepted", "not_json")]
+
+
+def test_stages_are_below_the_shared_folder_and_can_be_dropped(spark, tmp_path):
+    import os
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert path.startswith(shared_folder(spark)) and os.path.isdir(local)
+    assert drop_stages(spark) >= 1 and not os.path.exists(local)
+
+
 def test_background_boxes_stay_inside_and_clear(rows):
     im = rows("image_id int, width double, height double", (1, 1000.0, 800.0), (2, 640.0, 480.0))
     bg = corpus.background_boxes(im)
@@ -167,7 +184,7 @@ def test_stream_accepts_once_over_several_batches(spark, tmp_path):
 def test_every_query_is_registered_once_and_whole():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 150
-    assert {n for n in q if n not in o} == {"layout_fit", "uniform_shrink", "ratio_sweep"}
+    assert all(n in o for n in q if not n.startswith("op") and n != "pipeline")
     assert all(re.fullmatch(r"[a-z][a-z0-9_]+", n) for n in q)
 
 
