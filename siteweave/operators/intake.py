@@ -21,6 +21,7 @@ STAGE_ORDER = (
 )
 ANCHOR_ALIAS = ("partial_visible", "visible_partial")
 ROLE_ALIAS = ("visible_ground_line", "ground_edge")
+ORIENTATION_STAGE = "automatic_building_orientation_inference"
 CATEGORY_ALIAS = ("tree_group", "tree")
 
 
@@ -74,6 +75,42 @@ def load_prior(runs: DataFrame, normalized: DataFrame, validated: DataFrame) ->
     ).drop("_n", "_v")
 
 
+def refused_priors(priors: DataFrame, runs: DataFrame) -> DataFrame:
+    """Prior runs that no stage may build on: ``run_id, reason``.
+
+    ``priors`` as from :func:`load_prior`; ``runs``: run_id, finish_reason, issues
+    (left in the document that stands for it), model_requested, model_returned.
+    """
+    j = priors.select("run_id", "stale").join(runs, "run_id", "left")
+    reason = (
+        F.when(F.col("stale"), "stale_validation")
+        .when(~F.coalesce(F.col("finish_reason") == "stop", F.lit(False)), "incomplete")
+        .when(F.coalesce(F.col("issues") > 0, F.lit(True)), "invalid")
+        .when(~model_matches(F.col("model_requested"), F.col("model_returned")), "wrong_model")
+    )
+    return j.select("run_id", reason.alias("reason")).filter("reason is not null")
+
+
+def stale_orientations(cached: DataFrame, images: DataFrame, detections: DataFrame) -> DataFrame:
+    """Cached orientations that may not be used: ``image_id, reason``.
+
+    ``cached``: image_id, stage, width, height, image_sha256, detection_sha256;
+    ``images``: image_id, width, height, sha256; ``detections``: image_id, sha256.
+    A cache is bound to its image and to the detections it was made from.
+    """
+    j = cached.join(
+        images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("sha256").alias("_image")), "image_id", "left"
+    ).join(detections.select("image_id", F.col("sha256").alias("_detection")), "image_id", "left")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    reason = (
+        F.when(~F.coalesce(F.col("stage") == ORIENTATION_STAGE, F.lit(False)), "stage")
+        .when(~(same("width", "_w") & same("height", "_h")), "image_size")
+        .when(~same("image_sha256", "_image"), "image_changed")
+        .when(~same("detection_sha256", "_detection"), "detections_changed")
+    )
+    return j.select("image_id", reason.alias("reason")).filter("reason is not null")
+
+
 def stage_violations(runs: DataFrame) -> DataFrame:
     """Runs whose prior run has the wrong stage: run_id, stage, prior_stage."""
     spark = runs.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ def load_evidence(
     return judged.filter("reason is null").select(*columns), judged.filter("reason is not null").select(*columns, "reason")
 
 
+def selection_issues(selected: DataFrame, known: DataFrame, keys: Sequence[str] = ("plan_id",)) -> DataFrame:
+    """``keys, id, rule``: ids chosen more than once, and ids that do not exist.
+
+    A choice with an issue must not be worked on; nothing is dropped in silence.
+    """
+    keys = list(keys)
+    ids = selected.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = ids.filter("_n > 1").select(*keys, "id", F.lit("repeated_selection").alias("rule"))
+    unknown = ids.join(known.select(*keys, "id"), [*keys, "id"], "left_anti")
+    return repeated.unionByName(unknown.select(*keys, "id", F.lit("unknown_selection").alias("rule")))
+
+
 def box_moved(audited: DataFrame, known: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Audited boxes that differ from the plan's box by more than the tolerance."""
     k = known.select("plan_id", "id", *[F.col("s" + c).alias("_" + c) for c in G.BOX])
