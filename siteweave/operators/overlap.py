@@ -1,10 +1,13 @@
 """Pairs of overlapping boxes inside one image, without per-image hot spots.
 
 The image id is the equi key. An image whose box count passes ``limit`` is cut
-into a grid of cells; a cell that is still too full is salted. Each pair is
-produced in exactly one place: the cell that holds the lower-left corner of the
-intersection, and the salt of its left box. Images of ordinary size keep a
-single cell and are joined on the image id alone.
+into grids of doubling cell size. A box lies in the few cells of the grid whose
+cells are as large as itself, and looks for larger boxes in the coarser grids,
+so that a box as large as the image is not copied into every cell. A cell that
+is still too full is salted. Each pair is produced in exactly one place: the
+grid of its larger box, the cell that holds the lower-left corner of the
+intersection, and the salt of its smaller box. Images of ordinary size are
+joined on the image id alone.
 """
 
 from __future__ import annotations
@@ -18,55 +21,46 @@ from ..functions.geometry import BOX, box
 from ..session import cut
 
 PAIR_LIMIT = 4096
-MAX_DIVISIONS = 64
 
 
 def hot_images(boxes: DataFrame, keys: Sequence[str], limit: int, bounds: Sequence[str] = BOX) -> DataFrame:
-    """Images beyond ``limit`` boxes with the cell edge ``_step`` of their grid; at most rows/limit rows."""
+    """Images beyond ``limit`` boxes with the cell edge ``_step`` of their finest grid and the level ``_top`` of
+    their coarsest; at most rows/limit rows."""
     x0, y0, x1, y1 = (F.col(c) for c in bounds)
-    divisions = F.least(F.lit(float(MAX_DIVISIONS)), F.ceil(F.sqrt(F.col("_n") / limit)) + 1)
+    divisions = F.ceil(F.sqrt(F.col("_n") / limit)) + 1
     return (
         boxes.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.max(F.greatest(x1, y1)).alias("_top"),
+            F.max(F.greatest(x1, y1)).alias("_high"),
             F.min(F.least(x0, y0)).alias("_low"),
         )
-        .filter((F.col("_n") > limit) & (F.col("_top") > F.col("_low")))
-        .select(*keys, ((F.col("_top") - F.col("_low")) / divisions).alias("_step"))
+        .filter((F.col("_n") > limit) & (F.col("_high") > F.col("_low")))
+        .select(*keys, ((F.col("_high") - F.col("_low")) / divisions).alias("_step"), F.ceil(F.log2(divisions)).cast("int").alias("_top"))
     )
 
 
-def spread(
-    boxes: DataFrame, hot: DataFrame, keys: Sequence[str], limit: int = PAIR_LIMIT, bounds: Sequence[str] = BOX
+def gridded(
+    boxes: DataFrame, hot: DataFrame, keys: Sequence[str], upward: bool, bounds: Sequence[str] = BOX
 ) -> DataFrame:
-    """One row per (box, cell); adds ``_step``, ``_cx``, ``_cy`` and ``_salts``.
+    """One row per (box, cell): adds ``_step``, the box's own level ``_own``, the level ``_lv`` and cell ``_cx, _cy``.
 
-    ``_step`` is null and the cell is (0, 0) for ordinary images; ``_salts`` is
-    the number of salts of the cell. Whether the lookup tables are broadcast is
-    left to the size-based rule of the engine.
+    A box has the cells of its own level only, or with ``upward`` also those of all coarser ones. In ordinary
+    images ``_step`` is null and everything lies in cell (0, 0) of level 0. Whether the lookup table is broadcast
+    is left to the size-based rule of the engine.
     """
-    keys = list(keys)
     x0, y0, x1, y1 = (F.col(c) for c in bounds)
+    size = F.greatest(x1 - x0, y1 - y0)
+    level = F.when(size > F.col("_step"), F.least(F.ceil(F.log2(size / F.col("_step"))).cast("int"), F.col("_top"))).otherwise(F.lit(0))
+    out = boxes.join(hot, list(keys), "left").withColumn("_own", level)
+    top = F.greatest(F.coalesce("_top", F.lit(0)), F.col("_own")) if upward else F.col("_own")
+    out = out.withColumn("_lv", F.explode(F.sequence("_own", top)))
 
     def cell(v: Column) -> Column:
-        return F.coalesce(F.floor(v / F.col("_step")), F.lit(0)).cast("int")
+        return F.coalesce(F.floor(v / (F.col("_step") * F.pow(F.lit(2.0), F.col("_lv")))), F.lit(0)).cast("int")
 
-    gridded = boxes.join(hot, keys, "left")
-    gridded = gridded.withColumn("_cx", F.explode(F.sequence(cell(x0), cell(x1))))
-    gridded = gridded.withColumn("_cy", F.explode(F.sequence(cell(y0), cell(y1))))
-    full = (
-        gridded.filter(F.col("_step").isNotNull())
-        .groupBy(*keys, "_cx", "_cy")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .filter(F.col("_m") > limit)
-        .select(*keys, "_cx", "_cy", F.ceil(F.col("_m") / limit).cast("int").alias("_s"))
-    )
-    return (
-        gridded.join(full, [*keys, "_cx", "_cy"], "left")
-        .withColumn("_salts", F.coalesce(F.col("_s"), F.lit(1)))
-        .drop("_s")
-    )
+    out = out.withColumn("_cx", F.explode(F.sequence(cell(x0), cell(x1))))
+    return out.withColumn("_cy", F.explode(F.sequence(cell(y0), cell(y1)))).drop("_top")
 
 
 def box_pairs(
@@ -84,7 +78,8 @@ def box_pairs(
     unique per key on either side. ``condition`` is a residual on the aliases.
 
     One aggregate over the key and box columns looks for images beyond ``limit``.
-    Without any, the plan is a plain hash or merge join on the keys.
+    Without any, the plan is a plain hash or merge join on the keys. Else ``a`` and
+    ``b`` are structs, which are read by the same names.
     """
     keys = list(keys)
     self_join = right is None
@@ -93,7 +88,7 @@ def box_pairs(
         sides = sides.withColumn("_side", F.lit(0)).unionByName(
             right.select(*keys, "id", *bounds).withColumn("_side", F.lit(1))
         )
-    hot = hot_images(sides, keys, limit, bounds)
+    hot = cut(hot_images(sides, keys, limit, bounds))
     ba = tuple(F.col(f"a.{c}") for c in bounds)
     bb = tuple(F.col(f"b.{c}") for c in bounds)
     rest = (F.least(ba[2], bb[2]) > F.greatest(ba[0], bb[0])) & (F.least(ba[3], bb[3]) > F.greatest(ba[1], bb[1]))
@@ -101,27 +96,38 @@ def box_pairs(
         rest = rest & (F.col("a.id") < F.col("b.id"))
     if condition is not None:
         rest = rest & condition
-    on_keys = keys
-    lhs, rhs = left, left if self_join else right
-    if not hot.isEmpty():
-        hot = cut(hot)
-        if self_join:
-            lhs = rhs = spread(left, hot, keys, limit, bounds)
-        else:
-            # one grid and one salt count for both sides
-            grid = spread(sides, hot, keys, limit, bounds).drop(*bounds)
-            lhs = left.join(grid.filter("_side = 0").drop("_side"), [*keys, "id"])
-            rhs = right.join(grid.filter("_side = 1").drop("_side"), [*keys, "id"])
-        lhs = lhs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int"))
-        rhs = rhs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-        step = F.col("a._step")
-        home = (F.floor(F.greatest(ba[0], bb[0]) / step) == F.col("a._cx")) & (
-            F.floor(F.greatest(ba[1], bb[1]) / step) == F.col("a._cy")
-        )
-        rest = rest & (step.isNull() | home)
-        on_keys = [*keys, "_cx", "_cy", "_salt"]
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on_keys]
-    return lhs.alias("a").join(rhs.alias("b"), [*on, rest])
+    right = left if self_join else right
+    if hot.isEmpty():
+        return left.alias("a").join(right.alias("b"), [*(F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys), rest])
+
+    cell = [*keys, "_lv", "_cx", "_cy"]
+    rising = gridded(sides, hot, keys, True, bounds)
+    full = (
+        rising.filter(F.col("_step").isNotNull())
+        .groupBy(*cell)
+        .agg(F.count(F.lit(1)).alias("_m"))
+        .filter(F.col("_m") > limit)
+        .select(*cell, F.ceil(F.col("_m") / limit).cast("int").alias("_salts"))
+    )
+    full = cut(full)
+
+    def small(df: DataFrame) -> DataFrame:
+        """Every box in its own and all coarser grids, in one salt of a full cell."""
+        out = gridded(df, hot, keys, True, bounds).join(full, cell, "left")
+        return out.withColumn("_salt", F.pmod(F.xxhash64("id"), F.coalesce("_salts", F.lit(1))).cast("int"))
+
+    def large(df: DataFrame) -> DataFrame:
+        """Every box in its own grid, in all salts of a full cell."""
+        out = gridded(df, hot, keys, False, bounds).join(full, cell, "left")
+        return out.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+
+    edge = F.col("a._step") * F.pow(F.lit(2.0), F.col("a._lv"))
+    home = (F.floor(F.greatest(ba[0], bb[0]) / edge) == F.col("a._cx")) & (F.floor(F.greatest(ba[1], bb[1]) / edge) == F.col("a._cy"))
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*cell, "_salt"]] + [rest, F.col("a._step").isNull() | home]
+    one = small(left).alias("a").join(large(right).alias("b"), [*on, F.col("a._own") <= F.col("b._own")])
+    two = large(left).alias("a").join(small(right).alias("b"), [*on, F.col("b._own") < F.col("a._own")])
+    sides_of = lambda df: df.select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    return sides_of(one).unionByName(sides_of(two))
 
 
 def overlapping_pairs(

@@ -50,6 +50,20 @@ def test_two_sided_pairs(spark, rows, limit):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("limit", [10_000, 6])
+def test_pairs_with_boxes_as_large_as_the_image(rows, limit):
+    data = make(120, images=3, seed=9) + [(0, 900 + k, -5.0 * k, 0.0, 360.0, 350.0 + k, 0.5) for k in range(12)] + [(0, 950, 7.0, 7.0, 7.5, 7.5, 0.1)]
+    got = overlap.overlapping_pairs(rows(SCHEMA, *data), G.iou(*overlap.ab()), 0.0001, limit=limit).collect()
+    assert len(got) == len({(r.id_a, r.id_b) for r in got})
+    assert {(r.id_a, r.id_b) for r in got} == pairs_of(data, 0.0001)
+
+
+def test_a_large_box_lies_in_few_cells(rows):
+    hot = overlap.hot_images(rows(SCHEMA, *make(400, images=1)), ["image_id"], 5)
+    big = rows(SCHEMA, (0, 1, 0.0, 0.0, 360.0, 360.0, 0.0))
+    assert overlap.gridded(big, hot, ["image_id"], True).count() <= 9
+
+
 def brute_nms(data, t):
     kept = []
     for x in sorted(data, key=lambda r: (-r[6], r[1])):
