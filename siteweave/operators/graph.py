@@ -19,7 +19,7 @@ def components(
     """``keys, id, component`` for every end of an edge; the label is the smallest id.
 
     Images with up to ``group_limit`` edges merge their node sets inside the JVM;
-    the others go through label propagation over the whole cluster.
+    the others contract stars over the whole cluster.
     """
     keys = list(keys)
     edges = edges.select(*keys, "id_a", "id_b")
@@ -49,33 +49,34 @@ def merged_sets(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def propagated_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Labels shrink by the smallest neighbour label and by pointer jumping (the
-    label of the label), so that long chains settle in logarithmic rounds. Every
-    round writes its labels to the checkpoint folder.
+    """Smallest id that can be reached, for every end of an edge, by contracting stars.
+
+    Every round ties each node's larger neighbours to its smallest one, then each
+    node and its smaller neighbours to the smallest of them, until nothing
+    changes: long chains settle in logarithmic rounds, and a giant component ends
+    as a star whose rows are keyed by their own ids, not by its label. Every round
+    writes its edges to the shared folder; minima are combined before they are
+    shuffled.
     """
     keys = list(keys)
-    both = edges.select(*keys, F.col("id_a").alias("u"), F.col("id_b").alias("v"))
-    both = cut(both.unionByName(both.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(
-        both.groupBy(*keys, F.col("u").alias("id"))
-        .agg(F.min("v").alias("near"))
-        .select(*keys, "id", F.least("id", "near").alias("component"))
-    )
+    u, v = F.col("u"), F.col("v")
+    ends = edges.select(*keys, F.col("id_a").alias("id")).unionByName(edges.select(*keys, F.col("id_b").alias("id"))).distinct()
+    stars = edges.select(*keys, F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
+    stars, state = cut(stars.filter(u != v).distinct()), None
     while True:
-        via = (
-            both.join(labels.withColumnRenamed("id", "v"), [*keys, "v"])
-            .groupBy(*keys, F.col("u").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        hop = labels.select(*keys, F.col("id").alias("component"), F.col("component").alias("far"))
-        nxt = cut(
-            labels.join(via, [*keys, "id"])
-            .join(hop, [*keys, "component"])
-            .select(*keys, "id", F.col("component").alias("old"), F.least("component", "near", "far").alias("component"))
-        )
-        labels = nxt.select(*keys, "id", "component")
-        if nxt.filter(F.col("component") != F.col("old")).isEmpty():
-            return labels
+        both = stars.unionByName(stars.select(*keys, v.alias("u"), u.alias("v")))
+        least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter(v > u).join(least, [*keys, "u"]).select(*keys, v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct()
+        down = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(down, [*keys, "u"]).select(*keys, v.alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(down.select(*keys, "u", F.col("m").alias("v")))
+        stars = cut(small.filter(u != v).distinct())
+        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    roots = stars.select(*keys, u.alias("id"), v.alias("component"))
+    return ends.join(roots, [*keys, "id"], "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def component_groups(boxes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:

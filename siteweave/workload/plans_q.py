@@ -185,7 +185,8 @@ def apply_identity(spark, d):
 @query(
     "identity_ownership",
     with_(EVC, R.cte("cl", CL)) + ID_SQL
-    + "SELECT DISTINCT cl.plan_id, source_id, CASE WHEN m.id IS NOT NULL THEN m.target ELSE owner END AS owner FROM cl LEFT JOIN moves m ON m.plan_id=cl.plan_id AND m.id=cl.owner",
+    + ", mv AS (SELECT cl.plan_id, source_id, CASE WHEN m.id IS NOT NULL THEN m.target ELSE owner END AS owner FROM cl LEFT JOIN moves m ON m.plan_id=cl.plan_id AND m.id=cl.owner), tg AS (SELECT DISTINCT plan_id, target FROM moves WHERE target IS NOT NULL) "
+    + "SELECT DISTINCT mv.* FROM mv JOIN tg ON tg.plan_id=mv.plan_id AND tg.target=mv.owner UNION ALL SELECT mv.* FROM mv WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.plan_id=mv.plan_id AND tg.target=mv.owner)",
 )
 def identity_ownership(spark, d):
     return _identity(spark, d)[1]
