@@ -11,7 +11,7 @@ from ..plans import evidence as E
 from ..plans import publication as P
 from ..plans import revision as V
 from . import recipes as R
-from .registry import query, with_
+from .registry import ORACLES, query, with_
 from .rulesets import CHANGES as CHANGE_ROWS  # noqa: F401
 from .rulesets import GC_ALT, GC_DEC
 from .spatial_q import CALM_GEO, FINDINGS, GEO, calm_findings, findings
@@ -476,27 +476,37 @@ def review_context(spark, d):
 
 # ---- replay, orders, small checks --------------------------------------------------------------------
 
-NOW = "select c_custkey as plan_id, concat('h', case when c_acctbal < 0 then -1 else c_custkey end) as sha256 from {customer}"
+# what a plan holds now: one building moved in every tenth plan since its hash was recorded
+SHIFTED = "CASE WHEN plan_id%10=0 AND id%2=0 THEN 1 ELSE 0 END"
+PRINT_SQL = """SELECT plan_id, sha256(count(*)::VARCHAR||':'||CAST(sum(CAST('0x'||substr(s,1,12) AS BIGINT)) AS VARCHAR)||':'||CAST(sum(CAST('0x'||substr(s,53,12) AS BIGINT)) AS VARCHAR)) AS sha256
+  FROM (SELECT plan_id, sha256('{"id":"'||id||'","cx":"'||CAST(CAST(cx AS BIGINT) + MOVE AS VARCHAR)||'","zone_id":"'||zone_id||'"}') AS s FROM buildings) GROUP BY 1"""
 
 
 @query(
     "plan_replay",
-    GATE_SQL + ", " + R.cte("nw", NOW) + ", " + R.cte("cl", CL)
+    GATE_SQL + ", rec AS (" + PRINT_SQL.replace("MOVE", "0") + "), nw AS (" + PRINT_SQL.replace("MOVE", SHIFTED) + "), ti AS (SELECT doc_id, count(*) AS n FROM (" + ORACLES["terrain_issues"] + ") GROUP BY 1), " + R.cte("cl", CL)
     + """, so AS (SELECT plan_id, count(*) AS sources, count(*) FILTER (n>1) AS repeated FROM (SELECT plan_id, source_id, count(*) AS n FROM cl GROUP BY 1,2) GROUP BY 1),
 rp AS (SELECT plan_id, count(*) AS regions, count(*) FILTER (grouped) AS grouped FROM buildings GROUP BY 1)
-SELECT gt.plan_id, regions, grouped, schema_issues, coalesce(sources,0) AS sources, coalesce(repeated,0) AS repeated, major_findings AS major, nw.sha256='h'||gt.plan_id AS unchanged,
-  nw.sha256='h'||gt.plan_id AND schema_issues=0 AND coalesce(repeated,0)=0 AND major_findings=0 AS passed FROM gt JOIN rp USING (plan_id) JOIN nw USING (plan_id) LEFT JOIN so USING (plan_id)""",
+SELECT gt.plan_id, regions, grouped, coalesce(ti.n,0) AS schema_issues, coalesce(sources,0) AS sources, coalesce(repeated,0) AS repeated, major_findings AS major, nw.sha256=rec.sha256 AS unchanged,
+  nw.sha256=rec.sha256 AND coalesce(ti.n,0)=0 AND coalesce(repeated,0)=0 AND major_findings=0 AS passed FROM gt JOIN rp USING (plan_id) JOIN rec USING (plan_id) JOIN nw USING (plan_id) LEFT JOIN so USING (plan_id) LEFT JOIN ti ON ti.doc_id=gt.plan_id::VARCHAR""",
 )
 def plan_replay(spark, d):
+    """Stored plans run again: terrain rules, geometry, accounting, and the hash of the rows against the one on record."""
     from ..operators.summary import plan_report
     from ..plans.replay import replay
+    from .rulesets import terrain_issues
     from .spatial_q import PEND, TERRAIN, TREES
 
-    report = plan_report(
-        R.buildings(spark, d), R.derive(spark, d, TERRAIN), R.derive(spark, d, TREES), R.derive(spark, d, PEND), findings(spark, d)
-    )
+    b = R.buildings(spark, d)
+    report = plan_report(b, R.derive(spark, d, TERRAIN), R.derive(spark, d, TREES), R.derive(spark, d, PEND), findings(spark, d))
+
+    def hashed(shift):
+        rows = b.select("plan_id", "id", (F.col("cx").cast("long") + shift).alias("cx"), "zone_id")
+        return V.fingerprint(rows, ["plan_id"], ["id", "cx", "zone_id"]).withColumnRenamed("content_sha256", "sha256")
+
+    moved = F.when((F.col("plan_id") % 10 == 0) & (F.col("id") % 2 == 0), 1).otherwise(0)
     out = replay(
-        report.select("plan_id", "regions", "grouped", "major"), R.derive(spark, d, ISS), R.derive(spark, d, CL), R.derive(spark, d, PLANS), R.derive(spark, d, NOW)
+        report.select("plan_id", "regions", "grouped", "major"), terrain_issues(spark, d), R.derive(spark, d, CL), hashed(F.lit(0)), hashed(moved)
     )
     return out.select("plan_id", "regions", "grouped", "schema_issues", "sources", "repeated", "major", "unchanged", "passed")
 
