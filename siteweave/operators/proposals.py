@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.geometry import BOX, box, dlit
+from ..session import cut
 
 # fixed values: name, left, up, right, down as shares of the box
 CONTEXT_VARIANTS = (
@@ -134,35 +135,37 @@ def structure_reason(
     ).when((aspect > awning_aspect) & (fill < awning_fill), F.lit("shallow_awning_or_canopy"))
 
 
-def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], band: Column, name: str = "rank"
-) -> DataFrame:
-    """``row_number`` within ``keys`` that never sorts a whole hot group in one task.
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Running ``name`` from 0 over the whole table in ``order``: sorted ranges, each numbered where it lies.
 
-    ``band`` is a coarse, monotone function of the first order column. Rows are
-    ranked inside (keys, band); the bands' running totals give the offset, so
-    that one task sorts at most one band.
+    The written numbers hold the range in the upper bits and the row in the lower 33; a range adds the count of
+    those before it (one row a range). No task sorts more than its range, however the rows are keyed.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    row = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return ordered.withColumn("_part", part).join(counts, "_part").withColumn(name, row).drop("_part", "_at", "_before")
+
+
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """Rank from 1 within ``keys`` that never sorts a hot group in one task.
+
+    Rows are numbered over the whole table by key and order; a group's first number is taken off.
     """
     keys = list(keys)
-    banded = df.withColumn("_band", band)
-    before = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        banded.groupBy(*keys, "_band")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*keys, "_band", "_offset")
-    )
-    inner = W.partitionBy(*keys, "_band").orderBy(*order)
-    return (
-        banded.join(offsets, [*keys, "_band"])
-        .withColumn(name, F.row_number().over(inner).cast("long") + F.col("_offset"))
-        .drop("_band", "_offset")
-    )
+    rows = cut(numbered(df, [*keys, *order], "_row"))
+    first = rows.groupBy(*keys).agg(F.min("_row").alias("_first"))
+    return rows.join(first, keys).withColumn(name, F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
 
 
-def renumber(items: DataFrame, keys: Sequence[str] = ("image_id",), band: float = 16) -> DataFrame:
+def renumber(items: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Names ``House_01…`` by top edge, then left edge."""
-    ranked = rank_in_group(items, keys, ["y0", "x0", "id"], F.floor(F.col("y0") / band), "_rank")
+    ranked = rank_in_group(items, keys, ["y0", "x0", "id"], "_rank")
     return ranked.withColumn("house", F.format_string("House_%02d", F.col("_rank"))).drop("_rank")
 
 

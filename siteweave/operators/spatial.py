@@ -128,51 +128,64 @@ def geometry_checks(
     return pairs.unionByName(zone_checks(shapes, zones, boundaries)).unionByName(wet)
 
 
-def nearest_in_plan(points: DataFrame, anchors: DataFrame, slab: float = 50.0) -> DataFrame:
+def nearest_in_plan(points: DataFrame, anchors: DataFrame, per_cell: float = 4.0, coarse: int = 16) -> DataFrame:
     """Nearest anchor of the same plan for each point: ``plan_id, id, nearest, distance``.
 
-    ``points``/``anchors``: plan_id, id, ax, ay. First the anchors of the point's
-    own and the eight neighbouring grid squares are tried, so that a plan with a
-    great many anchors is not paired with itself. A hit within one square edge
-    is final; the other points fall back to all anchors of their plan, reduced
-    to one per occupied square first.
+    ``points``/``anchors``: plan_id, id, ax, ay. The grid of a plan follows its
+    density: about ``per_cell`` anchors a square, so that a plan with a great many
+    anchors is not paired with itself. First a point meets the anchors of its own
+    and the eight neighbouring squares; a hit within one square edge is final. The
+    others, far from every anchor, rank the occupied ones of squares ``coarse``
+    times as wide by the nearest and farthest point of each and meet only anchors
+    of those that can hold the nearest.
     """
-    p = points.select("plan_id", "id", F.col("ax").alias("px"), F.col("ay").alias("py"))
-    p = p.withColumns({"_gx": F.floor(F.col("px") / slab), "_gy": F.floor(F.col("py") / slab)})
     a = anchors.select("plan_id", F.col("id").alias("nearest"), "ax", "ay")
-    a = a.withColumns({"_gx": F.floor(F.col("ax") / slab), "_gy": F.floor(F.col("ay") / slab)})
+    extent = F.greatest(F.max("ax") - F.min("ax"), F.max("ay") - F.min("ay"), G.dlit(1e-6))
+    edges = a.groupBy("plan_id").agg((extent / F.ceil(F.sqrt(F.count(F.lit(1)) / per_cell))).alias("_edge"))
+    square = lambda v, edge: F.floor(v / edge)
+    wide = F.col("_edge") * coarse
+    p = points.select("plan_id", "id", F.col("ax").alias("px"), F.col("ay").alias("py")).join(edges, "plan_id")
+    p = p.withColumns({"_gx": square(F.col("px"), F.col("_edge")), "_gy": square(F.col("py"), F.col("_edge"))})
+    a = a.join(edges, "plan_id").withColumns(
+        {
+            "_gx": square(F.col("ax"), F.col("_edge")), "_gy": square(F.col("ay"), F.col("_edge")),
+            "_hx": square(F.col("ax"), wide), "_hy": square(F.col("ay"), wide),
+        }
+    )
     distance = F.hypot(F.col("ax") - F.col("px"), F.col("ay") - F.col("py"))
     best = F.min_by(F.struct("nearest", distance.alias("distance")), F.struct(distance.alias("d"), F.col("nearest").alias("n")))
     around = F.expr("explode(array(-1L, 0L, 1L))")
     probe = p.withColumn("_dx", around).withColumn("_dy", around)
     probe = probe.withColumns({"_gx": F.col("_gx") + F.col("_dx"), "_gy": F.col("_gy") + F.col("_dy")})
     close = (
-        probe.join(a, ["plan_id", "_gx", "_gy"])
+        probe.join(a.drop("_edge", "_hx", "_hy"), ["plan_id", "_gx", "_gy"])
         .groupBy("plan_id", "id")
-        .agg(best.alias("_b"))
-        .select("plan_id", "id", "_b.*")
-        .filter(F.col("distance") <= slab)
+        .agg(best.alias("_b"), F.first("_edge").alias("_edge"))
+        .select("plan_id", "id", "_b.*", "_edge")
+        .filter(F.col("distance") <= F.col("_edge"))
+        .drop("_edge")
     )
     rest = p.join(close.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
-    # squares whose nearest possible point is farther than the farthest point of another square drop out
-    squares = a.groupBy("plan_id", "_gx", "_gy").agg(F.count(F.lit(1)).alias("_n"))
-    sx, sy = F.col("s._gx") * slab, F.col("s._gy") * slab
+    squares = a.groupBy("plan_id", "_hx", "_hy").agg(F.count(F.lit(1)).alias("_n"))
+    side = F.col("r._edge") * coarse
+    sx, sy = F.col("s._hx") * side, F.col("s._hy") * side
     low = F.hypot(
-        F.greatest(sx - F.col("px"), F.col("px") - sx - slab, G.dlit(0)),
-        F.greatest(sy - F.col("py"), F.col("py") - sy - slab, G.dlit(0)),
+        F.greatest(sx - F.col("px"), F.col("px") - sx - side, G.dlit(0)),
+        F.greatest(sy - F.col("py"), F.col("py") - sy - side, G.dlit(0)),
     )
     high = F.hypot(
-        F.greatest(F.abs(sx - F.col("px")), F.abs(sx + slab - F.col("px"))),
-        F.greatest(F.abs(sy - F.col("py")), F.abs(sy + slab - F.col("py"))),
+        F.greatest(F.abs(sx - F.col("px")), F.abs(sx + side - F.col("px"))),
+        F.greatest(F.abs(sy - F.col("py")), F.abs(sy + side - F.col("py"))),
     )
     ranked = rest.alias("r").join(squares.alias("s"), "plan_id").select(
-        "plan_id", "id", "px", "py", F.col("s._gx").alias("_gx"), F.col("s._gy").alias("_gy"), low.alias("_low"), high.alias("_high")
+        "plan_id", "id", "px", "py", F.col("s._hx").alias("_hx"), F.col("s._hy").alias("_hy"), low.alias("_low"), high.alias("_high")
     )
     reach = ranked.groupBy("plan_id", "id").agg(F.min("_high").alias("_reach"))
+    # a square's edge may be one rounding error off the distance to an anchor on it
     far = (
         ranked.join(reach, ["plan_id", "id"])
-        .filter(F.col("_low") <= F.col("_reach"))
-        .join(a, ["plan_id", "_gx", "_gy"])
+        .filter(F.col("_low") <= F.col("_reach") * (1 + 1e-12))
+        .join(a.drop("_edge", "_gx", "_gy"), ["plan_id", "_hx", "_hy"])
         .groupBy("plan_id", "id")
         .agg(best.alias("_b"))
         .select("plan_id", "id", "_b.*")

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.proposals import rank_in_group
+
 OBSERVED = tuple(["sx0", "sy0", "sx1", "sy1", "ax", "ay"] + [f"q{i}{a}" for i in range(4) for a in "xy"])
 CARRIED = ("identity_audit", "reported_anchor", "anchor_derivation", "grouped", "unit_count_range")
 
@@ -58,13 +60,18 @@ def move_ownership(claims: DataFrame, removed: DataFrame) -> DataFrame:
     return flagged.filter("_merged").drop("_merged").distinct().unionByName(flagged.filter("_merged is null").drop("_merged"))
 
 
-def merged_sources(claims: DataFrame) -> DataFrame:
-    """Sorted unique source list per owner, for the written document."""
-    return (
-        claims.filter(F.col("owner").isNotNull())
-        .groupBy("plan_id", "owner")
-        .agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"))
-    )
+def merged_sources(claims: DataFrame, part_size: int = 1000) -> DataFrame:
+    """Sorted unique sources per owner for the written document: ``plan_id, owner, part, parts, source_ids``.
+
+    A list comes in parts of at most ``part_size`` in order, so that an owner onto whom everything was merged does
+    not meet in one row.
+    """
+    owned = claims.filter(F.col("owner").isNotNull()).select("plan_id", "owner", "source_id").distinct()
+    place = F.floor((F.col("rank") - 1) / part_size).cast("int")
+    ranked = rank_in_group(owned, ["plan_id", "owner"], ["source_id"]).withColumn("part", place)
+    lists = ranked.groupBy("plan_id", "owner", "part").agg(F.sort_array(F.collect_list("source_id")).alias("source_ids"))
+    sizes = ranked.groupBy("plan_id", "owner").agg((F.max("part") + 1).alias("parts"))
+    return lists.join(sizes, ["plan_id", "owner"]).select("plan_id", "owner", "part", "parts", "source_ids")
 
 
 def apply_elements(old: DataFrame, upserts: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:

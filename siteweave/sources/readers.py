@@ -6,10 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..operators.proposals import numbered
 
 
 def image_catalogue(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
@@ -19,19 +18,8 @@ def image_catalogue(spark: SparkSession, root: str, pattern: str = "*.jpg") -> D
 
 
 def number_files(files: DataFrame) -> DataFrame:
-    """Running ``id`` (from 1) in path order.
-
-    Paths are dealt into ranges, numbered where they lie, and each range adds the
-    count of those before it: folders, nested or full, play no part.
-    """
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the written numbers hold the range in the upper bits and the row in the lower 33
-    ordered = cut(files.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    row = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return ordered.withColumn("_part", part).join(counts, "_part").withColumn("id", row).drop("_part", "_at", "_before")
+    """Running ``id`` (from 1) in path order; folders, nested or full, play no part."""
+    return numbered(files, ["path"], "_row").withColumn("id", F.col("_row") + 1).drop("_row")
 
 
 def json_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

@@ -53,12 +53,14 @@ def ownership_after_changes(spark, d):
 @query(
     "merged_source_lists",
     with_(*EDITS_SQL)
-    + """SELECT plan_id, owner, string_agg(source_id, ',' ORDER BY source_id) AS source_ids, count(*) AS n FROM (SELECT DISTINCT cl.plan_id, source_id, CASE WHEN rm.id IS NOT NULL THEN merge_into ELSE owner END AS owner FROM cl LEFT JOIN rm ON rm.plan_id=cl.plan_id AND rm.id=cl.owner)
-WHERE owner IS NOT NULL GROUP BY 1,2""",
+    + """, ls AS (SELECT *, CAST((row_number() OVER (PARTITION BY plan_id, owner ORDER BY source_id) - 1) // 3 AS INTEGER) AS part FROM
+  (SELECT DISTINCT cl.plan_id, source_id, CASE WHEN rm.id IS NOT NULL THEN merge_into ELSE owner END AS owner FROM cl LEFT JOIN rm ON rm.plan_id=cl.plan_id AND rm.id=cl.owner) WHERE owner IS NOT NULL)
+SELECT plan_id, owner, part, max(max(part)) OVER (PARTITION BY plan_id, owner) + 1 AS parts, string_agg(source_id, ',' ORDER BY source_id) AS source_ids, count(*) AS n FROM ls GROUP BY 1,2,3""",
 )
 def merged_source_lists(spark, d):
-    m = V.merged_sources(revised(spark, d)[2][1])
-    return m.select("plan_id", "owner", F.concat_ws(",", "source_ids").alias("source_ids"), F.size("source_ids").cast("long").alias("n"))
+    """Source lists in parts of three."""
+    m = V.merged_sources(revised(spark, d)[2][1], part_size=3)
+    return m.select("plan_id", "owner", "part", "parts", F.concat_ws(",", "source_ids").alias("source_ids"), F.size("source_ids").cast("long").alias("n"))
 
 
 @query(

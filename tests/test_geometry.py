@@ -146,3 +146,16 @@ def test_nearest_matches_brute_force(spark, rows):
     got = {(r.plan_id, r.id): r.nearest for r in spatial.nearest_in_plan(rows(schema, *pts), rows(schema, *anc)).collect()}
     for p, i, x, y in pts:
         assert got[p, i] == min((math.hypot(a[2] - x, a[3] - y), a[1]) for a in anc if a[0] == p)[1]
+
+
+def test_nearest_of_far_points_from_a_dense_plan(rows):
+    rnd = random.Random(11)
+    anc = [(1, k, rnd.gauss(500, 3), rnd.gauss(500, 3)) for k in range(400)] + [(1, 900 + k, 40.0 * k, 0.0) for k in range(20)] + [(2, 1, 5.0, 5.0)]
+    pts = [(1, k, rnd.uniform(-2000, 3000), rnd.uniform(-2000, 3000)) for k in range(60)] + [(1, 100 + k, rnd.gauss(500, 4), rnd.gauss(500, 4)) for k in range(60)] + [(2, 1, 900.0, 0.0), (3, 1, 0.0, 0.0)]
+    schema = "plan_id int, id int, ax double, ay double"
+    got = {(r.plan_id, r.id): (r.nearest, r.distance) for r in spatial.nearest_in_plan(rows(schema, *pts), rows(schema, *anc)).collect()}
+    for plan, i, x, y in pts:
+        own = sorted((math.hypot(a[2] - x, a[3] - y), a[1]) for a in anc if a[0] == plan)
+        assert ((plan, i) in got) == bool(own)
+        if own:
+            assert got[plan, i][0] == own[0][1] and abs(got[plan, i][1] - own[0][0]) < 1e-9
