@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,8 +138,6 @@ def test_circular_difference(spark):
 
 
 def test_nearest_matches_brute_force(spark, rows):
-    import random
-
     rnd = random.Random(3)
     pts = [(p, i, rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for p in (1, 2) for i in range(40)]
     anc = [(p, i, rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for p in (1, 2) for i in range(25)]
