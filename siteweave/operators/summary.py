@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,24 +94,23 @@ def batch_status(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def plan_report(
     buildings: DataFrame, terrain: DataFrame, trees: DataFrame, pending: DataFrame, findings: DataFrame
 ) -> DataFrame:
-    """Counts by kind, grouped regions, pending candidates, tree groups and roots, findings by severity."""
-    b = buildings.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("regions"),
-        F.count_if(F.col("category") == "house").alias("houses"),
-        F.count_if(F.col("grouped")).alias("grouped"),
-    )
-    t = terrain.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("terrain"), F.count_if(F.col("category") == "water").alias("waters")
-    )
-    r = trees.groupBy("plan_id").agg(F.count(F.lit(1)).alias("tree_groups"), F.sum("roots").alias("tree_roots"))
-    p = pending.groupBy("plan_id").agg(F.count(F.lit(1)).alias("pending"))
-    f = findings.groupBy("plan_id").agg(
-        F.count_if(F.col("severity") == "major").alias("major"), F.count_if(F.col("severity") == "minor").alias("minor")
-    )
-    out = b
-    for part in (t, r, p, f):
-        out = out.join(part, "plan_id", "left")
-    return out.fillna(0)
+    """Counts by kind, grouped regions, pending candidates, tree groups and roots, findings by severity.
+
+    Every row of every table adds its marks to its plan in one aggregate over their union. Plans without
+    buildings have no report.
+    """
+    one, flag = F.lit(1), lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    tables = [
+        (buildings, {"regions": one, "houses": flag(F.col("category") == "house"), "grouped": flag(F.col("grouped"))}),
+        (terrain, {"terrain": one, "waters": flag(F.col("category") == "water")}),
+        (trees, {"tree_groups": one, "tree_roots": F.coalesce(F.col("roots"), F.lit(0))}),
+        (pending, {"pending": one}),
+        (findings, {"major": flag(F.col("severity") == "major"), "minor": flag(F.col("severity") == "minor")}),
+    ]
+    names = [n for _, marks in tables for n in marks]
+    rows = [df.select("plan_id", *(marks.get(n, F.lit(0)).alias(n) for n in names)) for df, marks in tables]
+    union = reduce(lambda a, b: a.unionByName(b), rows)
+    return union.groupBy("plan_id").agg(*(F.sum(n).alias(n) for n in names)).filter("regions > 0")
 
 
 def distinct_sorted(rows: DataFrame, keys: Sequence[str], value: str | Column, name: str) -> DataFrame:
