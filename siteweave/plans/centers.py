@@ -15,24 +15,32 @@ from ..functions import geometry as G
 SLICE = 256
 
 
-def grid_shifts(max_shift: int = 40, step: int = 2) -> np.ndarray:
-    """Shifts (n, 2) of a square grid inside a disc: by distance, then by centre."""
+def grid_axis(max_shift: int = 40, step: int = 2) -> np.ndarray:
     if not 0 <= max_shift <= 50 or max_shift % 2:
         raise ValueError("max_shift is even and between 0 and 50")
-    axis = np.arange(-max_shift, max_shift + 1, step, dtype=float)
-    x, y = (a.ravel() for a in np.meshgrid(axis, axis, indexing="ij"))
-    inside = x * x + y * y <= max_shift * max_shift
-    x, y = x[inside], y[inside]
-    order = np.lexsort((y, x, x * x + y * y))
-    return np.stack([x[order], y[order]], axis=1)
+    return np.arange(-max_shift, max_shift + 1, step, dtype=float)
 
 
-def inside_edges(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Even-odd test, half-open in y, of points (rows, n) in outlines (rows, edges, 4) padded with flat edges."""
-    odd = np.zeros(x.shape, dtype=bool)
+def ranked_shifts(axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x and in y) of the shifts of a square grid inside its disc: by distance, then by centre."""
+    at_x, at_y = (a.ravel() for a in np.meshgrid(*2 * [np.arange(len(axis))], indexing="ij"))
+    distance = axis[at_x] ** 2 + axis[at_y] ** 2
+    order = np.lexsort((axis[at_y], axis[at_x], distance))
+    order = order[distance[order] <= axis[-1] ** 2]
+    return at_x[order], at_y[order]
+
+
+def inside_grid(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Even-odd test, half-open in y, of the points (rows, nx) × (rows, ny) in outlines (rows, edges, 4).
+
+    Where a row of the grid crosses an edge depends on y alone, so it is worked out once for all x. Outlines are
+    padded with flat edges, which nothing crosses.
+    """
+    odd = np.zeros((*x.shape, y.shape[1]), dtype=bool)
     for ax, ay, bx, by in (edges[:, k].T[:, :, None] for k in range(edges.shape[1])):
         rise = np.where(by == ay, 1.0, by - ay)
-        odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / rise + ax)
+        crossing = np.where((ay > y) != (by > y), (bx - ax) * (y - ay) / rise + ax, -np.inf)
+        odd ^= x[:, :, None] < crossing[:, None, :]
     return odd
 
 
@@ -55,7 +63,8 @@ def feasible_centers(
     buildings at once and in rank order, so that no shuffle or sort follows. (The same test as a filter over an
     array of shifts is evaluated element by element and took over a hundred times as long.)
     """
-    shifts = grid_shifts(max_shift, step)
+    axis = grid_axis(max_shift, step)
+    at_x, at_y = ranked_shifts(axis)
     base = G.with_rect_corners(buildings.select("plan_id", "id", "cx", "cy", "w", "d", "clock", "zone_id"))
     base = base.join(zones.select("plan_id", "zone_id", F.col("poly").alias("_zone")), ["plan_id", "zone_id"])
     base = base.join(boundaries.select("plan_id", F.col("poly").alias("_edge")), "plan_id")
@@ -66,16 +75,18 @@ def feasible_centers(
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 outlines = [_edges(part.column(c)) for c in ("_zone", "_edge")]
-                fits = np.ones((part.num_rows, len(shifts)), dtype=bool)
+                fits = np.ones((part.num_rows, len(axis), len(axis)), dtype=bool)
                 for k in range(4):
-                    x, y = (np.asarray(part.column(f"c{k}{axis}"))[:, None] + shifts[:, i] for i, axis in enumerate("xy"))
+                    x, y = (np.asarray(part.column(f"c{k}{c}"))[:, None] + axis for c in "xy")
                     for edges in outlines:
-                        fits &= inside_edges(x, y, edges)
+                        fits &= inside_grid(x, y, edges)
+                fits = fits[:, at_x, at_y]
                 row, shift = np.nonzero(fits)
                 rank = np.cumsum(fits, axis=1)[row, shift]
                 at = pa.array(row)
-                centre = [np.asarray(part.column(c))[row] + shifts[shift, i] for i, c in enumerate(("cx", "cy"))]
-                distance = (shifts[shift] ** 2).sum(axis=1)
+                moved = axis[at_x[shift]], axis[at_y[shift]]
+                centre = [np.asarray(part.column(c))[row] + by for c, by in zip(("cx", "cy"), moved, strict=True)]
+                distance = moved[0] ** 2 + moved[1] ** 2
                 columns = [part.column("plan_id").take(at), part.column("id").take(at), pa.array(rank.astype(np.int32))]
                 columns += [pa.array(c) for c in (distance, *centre)]
                 yield pa.RecordBatch.from_arrays(columns, names=["plan_id", "id", "rank", "distance", "ox", "oy"])

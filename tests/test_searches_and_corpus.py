@@ -38,7 +38,7 @@ def test_centres_equal_brute_force(rows, spark):
 
 def test_bad_shift_is_refused():
     with pytest.raises(ValueError):
-        centers.grid_shifts(7)
+        centers.grid_axis(7)
 
 
 @pytest.mark.parametrize("parts", [1, 5])
