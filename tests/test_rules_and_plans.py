@@ -64,9 +64,10 @@ def test_detail_matrix(spark):
 def test_gate_and_strict_json(rows):
     r = rows("run_id int, finish_reason string, model_requested string, model_returned string, issues int, answer string",
              (1, "stop", "m-1", "m-1", 0, '```json\n{"a":1}\n```'), (2, "length", "m-1", "m-1", 0, "{}"), (3, "stop", "m-1", "m-10", 0, "{}"),
-             (4, "stop", "m-1", "m-1-2024", 0, "text {broken"), (5, "stop", "m-1", "m-1-2024", 2, '<think>{}</think>{"b":2}'))
+             (4, "stop", "m-1", "m-1-2024", 0, "text {broken"), (5, "stop", "m-1", "m-1-2024", 2, '{"b":2}'),
+             (6, "stop", "m-1", "m-1-2024", 2, '<think>{}</think>{"b":2}'))
     got = {x.run_id: x.refused for x in intake.gate(r).select("run_id", "refused").collect()}
-    assert got == {1: None, 2: "truncated", 3: "wrong_model", 4: "not_json", 5: "invalid"}
+    assert got == {1: None, 2: "truncated", 3: "wrong_model", 4: "not_json", 5: "invalid", 6: "not_json"}
 
 
 def test_decode_path_needs_numbers(rows):
