@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import as_bytes, free_name, map_batches, slices
+from .common import as_bytes, free_name, map_batches, parallel, slices
 from .shingles import mix, shingle_sets
 
 #: Buckets of the frequency table that orders n-grams, and of the table of wanted texts. Their size bounds what is broadcast.
@@ -29,6 +29,12 @@ PARTS = 8
 #: Parts of a whole set, a byte each, for the pairs that are left.
 FINE_PARTS = 256
 
+#: Sets of one part of a component, and their bytes; the pairs of two parts are counted at once.
+PART_SETS, PART_BYTES = 512, 16 << 20
+
+#: N-grams whose presence in the sets of two parts is multiplied at once.
+COLUMNS = 1 << 12
+
 
 @dataclass(frozen=True)
 class Overlap:
@@ -325,6 +331,93 @@ def link_sets(documents: DataFrame, *, size: int = 4, percent: int = 85, hot: in
     return rows, links.unionByName(more), roots
 
 
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``x`` has in common with each of ``y``."""
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    of_x, of_y = (np.repeat(np.arange(len(s)), [len(g) for g in s]) for s in (x, y))
+    shared = np.intersect1d(flat_x, flat_y)
+    total = np.zeros((len(x), len(y)), dtype=np.int64)
+    for start in range(0, len(shared), COLUMNS):
+        own = shared[start : start + COLUMNS]
+        sides = []
+        for flat, of, count in ((flat_x, of_x, len(x)), (flat_y, of_y, len(y))):
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            hit = own[at] == flat
+            side = np.zeros((count, len(own)), dtype=np.float32)
+            side[of[hit], at[hit]] = 1
+            sides.append(side)
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def paired_parts(sets: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, i, j, part, cid, grams``: the sets of parts ``i`` and ``j`` of each component, for all i <= j.
+
+    The number of parts follows from the count and the bytes of a component's
+    sets, so that no (root, i, j) grows with the component.
+    """
+    members = rows.filter("n > 0").select("cid", "n").dropDuplicates(["cid"]).join(roots, "cid")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_SETS), F.ceil(8 * F.sum("n") / PART_BYTES)).cast("int")
+    large = members.groupBy("root").agg(parts.alias("parts")).filter("parts > 1")
+    members = members.join(large, "root", "left").select("cid", "root", F.coalesce("parts", F.lit(1)).alias("parts"))
+    dealt = sets.dropDuplicates(["cid"]).join(members, "cid").withColumn("part", F.pmod("cid", F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", "grams")
+    return parallel(dealt, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+
+def links_within(parts: DataFrame, rule: Overlap, pairs: bool = False) -> DataFrame:
+    """All links of the sets in ``paired_parts``: ``cid, n_links``, or the pairs ``a, b`` themselves, each once."""
+
+    def linked(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        sides = [[h for h in held if h[0] == part] for part in dict.fromkeys(key[1:])]
+        x, y = sides[0], sides[-1]
+        cids, sizes = ([np.array([v(h) for h in s], dtype=np.int64) for s in (x, y)] for v in (lambda h: h[1], lambda h: len(h[2])))
+        linked = np.zeros((len(x), len(y)), dtype=bool)
+        if x and y:
+            common = common_counts([h[2] for h in x], [h[2] for h in y])
+            linked = 100 * common >= rule.percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+        if len(sides) == 1:
+            linked = np.triu(linked, 1)
+        if pairs:
+            at = np.nonzero(linked)
+            a, b = cids[0][at[0]], cids[1][at[1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        found = [linked.sum(axis=1), linked.sum(axis=0)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (cids, found)], names=["cid", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
+            values = zip(*(batch.column(c).to_pylist() for c in ("part", "cid", "grams")), strict=True)
+            for now, (part, cid, grams) in zip(keys, values, strict=True):
+                if now != key and held:
+                    yield linked(key, held)
+                    held = []
+                key = now
+                held.append((part, cid, np.frombuffer(grams, dtype=np.uint64)))
+        if held:
+            yield linked(key, held)
+
+    if pairs:
+        return map_batches(parts, run, "a long, b long")
+    return map_batches(parts, run, "cid long, found long").groupBy("cid").agg(F.sum("found").alias("n_links"))
+
+
+def every_link(documents: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame], *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
+    """Every link between different sets, given what ``link_sets`` found: ``cid, n_links``, or with ``pairs`` the links ``a, b``.
+
+    No two linked sets are in different components, so the sets of a component
+    are compared with one another and with no others. The work grows with the
+    square of a component's size, as its links may; counts need a row for each
+    set and pair of parts only.
+    """
+    rows, _, roots = found
+    sets = sets_of(keyed(documents, id_col, text_col), roots.select("cid"), rows, size)
+    return links_within(paired_parts(sets, rows, roots), Overlap(percent), pairs)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
 
@@ -335,9 +428,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **kw) -> Da
     Two documents link when ``100 * intersection >= percent * union`` of their
     sets of distinct ``size``-word shingles (A-Z lowered, words between white
     space). ``component_id`` is the smallest id reachable by links, ``class_id``
-    the same for equal sets, and ``n_links`` counts the verified links of the
-    class to others: a spanning set, as pairs inside one component are not all
-    verified, while no two linked sets end in different components.
+    the same for equal sets, and ``n_links`` counts all links of the class to
+    other classes.
 
     How: the n-grams of each set are ordered by how many sets have them (counts of
     all documents, by hash bucket), rarest first. A linked pair shares an n-gram
@@ -356,23 +448,22 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **kw) -> Da
     text. Only id and text are read. An empty table gives no rows. ``row_key``
     hashes id and text.
     """
-    rows, links, roots = link_sets(documents, id_col=id_col, **kw)
-    degree = _counted(links)
-    full = rows.filter("n > 0").join(roots, "cid", "left").join(degree, "cid", "left")
-    full = full.withColumn("root", F.coalesce("root", "cid"))
+    found = link_sets(documents, id_col=id_col, **kw)
+    degree = cut(every_link(documents, found, id_col=id_col, **{k: v for k, v in kw.items() if k != "hot"}))
+    tied = _tied(found[0], found[2]).join(degree.withColumnRenamed("cid", "class_id"), "class_id", "left")
+    columns = ["_id", "row_key", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id"]
+    return tied.select(*columns).withColumnRenamed("_id", id_col)
+
+
+def _tied(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``_id, row_key, n_shingles, class_id, component_id`` for every document."""
+    full = rows.filter("n > 0").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = full.groupBy("root").agg(F.min("_id").alias("component_id"))
-    tied = full.join(least, "root", "left").select(
-        "_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id"
-    )
+    tied = full.join(least, "root", "left").select("_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "component_id")
     empty = rows.filter("n = 0").select(
-        "_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")
+        "_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("_id").alias("component_id")
     )
-    return tied.unionByName(empty).withColumnRenamed("_id", id_col)
-
-
-def _counted(links: DataFrame) -> DataFrame:
-    ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid")))
-    return ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    return tied.unionByName(empty)
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -381,7 +472,8 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Documents without words stay, as do those without id that only others without id resemble. A row leaves by
     id and text; of rows with equal id and text one stays.
     """
-    found = cut(near_duplicates(documents, id_col=id_col, text_col=text_col, **kw))
+    rows, _, roots = link_sets(documents, id_col=id_col, text_col=text_col, **kw)
+    found = cut(_tied(rows, roots).withColumnRenamed("_id", id_col))
     own, key = F.col(id_col).eqNullSafe(F.col("component_id")), free_name(documents, "_row_key")
     with_key = documents.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
     gone = cut(found.filter(~own).select(F.col("row_key").alias(key)).distinct())

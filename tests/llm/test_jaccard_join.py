@@ -108,6 +108,29 @@ def test_one_group_of_copies_makes_no_quadratic_output(docs):
     assert roots.select("root").distinct().count() == 1
 
 
+@pytest.mark.parametrize("part", [J.PART_SETS, 20])
+def test_every_link_is_counted(docs, monkeypatch, part):
+    monkeypatch.setattr(J, "PART_SETS", part)
+    monkeypatch.setattr(J, "COLUMNS", 100)
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        w = list(base)
+        w[rng.randrange(150)] = f"own{k}"
+        texts.append(" ".join(w))
+    texts += [*near_copies(3), texts[7], texts[9].upper(), "", None]
+    table = docs(*texts)
+    sets = [frozenset(shingles(t)) for t in texts]
+    classes = {s for s in sets if s}
+    degree = {s: sum(s != t and 100 * len(s & t) >= 85 * len(s | t) for t in classes) for s in classes}
+    rows = by_id(J.near_duplicates(table), "doc_id")
+    assert [rows[k]["n_links"] for k in range(len(texts))] == [degree.get(s, 0) for s in sets]
+    assert {degree[s] for s in sets[:301]} == {300}
+    pairs = [tuple(r) for r in J.every_link(table, J.link_sets(table), pairs=True).collect()]
+    assert len(pairs) == len(set(pairs)) == sum(degree.values()) // 2 > 45_000
+
+
 def test_keep_one_keeps_columns_and_one_of_each(docs, clashing):
     text = "a b c d e f g h"
     rows = [(5, text), (2, text), (2, text), (9, "x y z"), (None, text), (11, None), (12, ""), (12, "")]
