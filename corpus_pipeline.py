@@ -20,8 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates."""
-    return jaccard_join.keep_one(docs)
+    """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
