@@ -162,11 +162,12 @@ def identify_languages(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id, text_hash, lang_pred, score, languages, shares`` of every whole text; a map.
+    """``id, text_hash, lang_pred, score, languages, shares, readable`` of every whole text; a map.
 
     ``lang_pred`` is the language with the largest proportion in the selected set
     and ``score`` that proportion. A null text, a text without a letter, and any
-    text under a model without languages is ``und`` with score 0. Repeated
+    text under a model without languages is ``und`` with score 0; ``readable``
+    tells a text with a letter from the others, whatever the model. Repeated
     documents are predicted each, ties go to the language first by name. Only id
     and text are read. An empty table gives no rows.
     """
@@ -177,10 +178,11 @@ def identify_languages(
         learnt = sent.value
         for part in slices(batches, limit=step):
             texts = part.column("text").to_pylist()
-            readable = [bool(learnt.languages) and t is not None and any(map(str.isalpha, t)) for t in texts]
-            known = [t for t, ok in zip(texts, readable, strict=True) if ok]
+            readable = [t is not None and any(map(str.isalpha, t)) for t in texts]
+            told = [ok and bool(learnt.languages) for ok in readable]
+            known = [t for t, ok in zip(texts, told, strict=True) if ok]
             sets = iter(language_sets(learnt, known, rounds, penalty) if known else [])
-            rows = [next(sets) if ok else [] for ok in readable]
+            rows = [next(sets) if ok else [] for ok in told]
             names = [[learnt.languages[k] for k, _ in r] for r in rows]
             shares = [[min(1.0, share) for _, share in r] for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -191,14 +193,15 @@ def identify_languages(
                     pa.array([s[0] if s else 0.0 for s in shares], pa.float64()),
                     pa.array(names, pa.list_(pa.string())),
                     pa.array(shares, pa.list_(pa.float64())),
+                    pa.array(readable, pa.bool_()),
                 ],
-                names=["_id", "text_hash", "lang_pred", "score", "languages", "shares"],
+                names=["_id", "text_hash", "lang_pred", "score", "languages", "shares", "readable"],
             )
 
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("*", F.xxhash64("text").alias("text_hash"))
     kind = texts.schema["_id"].dataType.simpleString()
-    more = "text_hash long, lang_pred string, score double, languages array<string>, shares array<double>"
+    more = "text_hash long, lang_pred string, score double, languages array<string>, shares array<double>, readable boolean"
     return map_batches(texts, run, f"_id {kind}, {more}").withColumnRenamed("_id", id_col)
 
 
@@ -216,9 +219,9 @@ def learn_and_identify(documents: DataFrame, **kw) -> DataFrame:
 def drop_unknown(documents: DataFrame, **kw) -> DataFrame:
     """Documents without those whose language stays unknown (no text, or no letter in it), all columns kept.
 
-    Decisions are written once as slim rows; a row leaves by id and text.
+    A model that has learnt no language rejects nothing else. Decisions are written once as slim rows; a row leaves by id and text.
     """
-    found = learn_and_identify(documents, **kw).filter(F.col("lang_pred") == UNKNOWN)
+    found = learn_and_identify(documents, **kw).filter(~F.col("readable"))
     gone = cut(found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
     same = documents["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(documents["text"].cast("string")) == gone["_hash"])
     return documents.join(gone, same, "left_anti")

@@ -60,6 +60,11 @@ def test_without_labels_or_rows(docs):
     assert L.learn_and_identify(plain.filter("false")).count() == 0
 
 
+def test_drop_unknown_without_labels_keeps_clean_rows(docs):
+    kept = L.drop_unknown(docs("some text", None, "12 3", "é", "", lang=None))
+    assert sorted(r["text"] for r in kept.collect()) == ["some text", "é"]
+
+
 def test_words_of_texts():
     g = L.grams(["ab  c", "éx", "A1B"])
     assert list(g.words) == [2, 1, 2] and len(g.word_starts) == 5
