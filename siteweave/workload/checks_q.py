@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus, intake
+from ..operators.proposals import numbered
 from ..plans import evidence
 from ..session import scratch_path
 from ..sources import readers, sinks
@@ -59,9 +60,18 @@ def stale_orientations(spark, d):
 # ---- documents written as text and read back ---------------------------------------------------------
 
 
-def _documents(df, path):
-    """One JSON document per folder ``part=...``: columns part, value."""
-    df.repartition("part").write.partitionBy("part").text(path)
+#: Entries that one written document holds at most.
+ENTRIES = 10_000
+
+
+def _documents(rows, order, before, after, path):
+    """JSON documents in folders ``part=.../chunk=...``, of at most ``ENTRIES`` rows each: columns part, entry.
+
+    Rows are numbered over the whole table, so that a hot part, or one without name, comes in as many documents as it needs.
+    """
+    dealt = numbered(rows, ["part", order], "_row").withColumn("chunk", F.floor(F.col("_row") / ENTRIES).cast("bigint"))
+    value = F.concat(F.lit(before), F.array_join(F.collect_list("entry"), ","), F.lit(after)).alias("value")
+    dealt.groupBy("part", "chunk").agg(value).repartition("part", "chunk").write.partitionBy("part", "chunk").text(path)
 
 
 @query(
@@ -69,13 +79,12 @@ def _documents(df, path):
     "SELECT user_id%25 AS part, event_type AS stage, count(*) AS jobs, count(*) FILTER (event_id%9=0) AS failed FROM events GROUP BY 1,2",
 )
 def manifest_reader(spark, d):
-    """Survey manifests, one file for each of 25 users' groups, read as whole documents."""
+    """Survey manifests of 25 users' groups, in files of bounded size that are read as whole documents."""
     path = scratch_path(spark, "manifests")
     e = R.table(spark, d, "events")
     code = F.when(F.col("event_id") % 9 == 0, F.lit(2)).otherwise(F.lit(0))
     job = F.to_json(F.struct(F.col("event_type").alias("stage"), F.lit("whole").alias("label"), code.alias("exit_code"), F.col("event_id").cast("string").alias("run")))
-    docs = e.groupBy((F.col("user_id") % 25).alias("part")).agg(F.concat(F.lit('{"jobs":['), F.array_join(F.collect_list(job), ","), F.lit("]}")).alias("value"))
-    _documents(docs, path)
+    _documents(e.select((F.col("user_id") % 25).alias("part"), "event_id", job.alias("entry")), "event_id", '{"jobs":[', "]}", path)
     jobs = readers.manifest_jobs(readers.json_documents(spark, path, "*.txt"))
     part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
     return jobs.groupBy(part.alias("part"), "stage").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("exit_code") != 0).alias("failed"))
@@ -94,7 +103,7 @@ def _priors(spark, d):
     # the mixed array of an occlusion has no type of its own, so it is put in as text
     rows = c.withColumn("body", F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"occlusion":'), pair, F.lit("}")))
     entry = F.concat(F.lit('"S'), F.col("scene_id").cast("string"), F.lit('":'), F.col("body"))
-    _documents(rows.groupBy("part").agg(F.concat(F.lit('{"scenes":{'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("value")), path)
+    _documents(rows.select("part", "scene_id", entry.alias("entry")), "scene_id", '{"scenes":{', "}}", path)
     return readers.scene_priors(readers.json_documents(spark, path, "*.txt"))
 
 
