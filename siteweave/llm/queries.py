@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hilbert_shards, jaccard_join, language_id, license_scan, packing, token_counts, topk_search, url_filter
+from . import (
+    chat_format,
+    decontaminate,
+    hilbert_shards,
+    jaccard_join,
+    language_id,
+    lexical_search,
+    license_scan,
+    mixing,
+    packing,
+    token_counts,
+    topk_search,
+    url_filter,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +101,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_lexical_search", lexical_search.search_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_source_mixing", mixing.mixing_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix_documents(table(spark, sf_dir, "documents")))

@@ -1,0 +1,39 @@
+"""Running totals over any number of rows, without a window over all of them."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..session import cut
+
+#: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
+ROW_BITS = 33
+
+
+def running_total(df: DataFrame, order: Sequence[str | Column], value: str | Column, group: Sequence[str], into: str) -> DataFrame:
+    """Adds ``into``: the sum of ``value`` over the rows of the same ``group`` that come before a row in ``order``.
+
+    ``order`` starts with the columns of ``group`` (none: one total over all rows).
+    Rows are range-partitioned by ``order`` and written once; sums run inside each
+    partition, and the totals of the partitions before are added, one row a
+    partition and group. A group that holds most rows is spread over partitions.
+    Rows equal in ``order`` stand in any order among themselves.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ordered = cut(ordered.withColumn("_value", value if isinstance(value, Column) else F.col(value)))
+    ordered = ordered.withColumn("_part", F.shiftright("_at", ROW_BITS))
+    totals = ordered.groupBy("_part", *group).agg(F.sum("_value").alias("_sum"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    here = W.partitionBy("_part", *group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    summed = ordered.withColumn("_here", F.coalesce(F.sum("_value").over(here), F.lit(0)))
+    same = F.lit(True)
+    for c in ("_part", *group):
+        same = same & summed[c].eqNullSafe(totals[c])
+    kept = [summed[c] for c in df.columns]
+    return summed.join(totals, same).select(*kept, (summed["_here"] + totals["_before"]).cast("long").alias(into))
