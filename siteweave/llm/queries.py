@@ -17,6 +17,7 @@ from . import (
     license_scan,
     mixing,
     packing,
+    spelling,
     token_counts,
     topk_search,
     url_filter,
@@ -111,3 +112,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_source_mixing", mixing.mixing_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix_documents(table(spark, sf_dir, "documents")))
+
+
+@query("op12_spelling_variants", spelling.variants_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), misspell=97))
