@@ -112,12 +112,19 @@ def mixture(p: np.ndarray, of: np.ndarray, starts: np.ndarray, counts: np.ndarra
 
 
 def language_sets(model: LanguageModel, texts: list[str], rounds: int, penalty: float) -> list[list[tuple[int, float]]]:
-    """For each text (with at least one word) its languages and their proportions, largest first.
+    """For each text (with at least one word) its languages and their proportions, largest first."""
+    return fitted_sets(model, texts, rounds, penalty)[0]
+
+
+def fitted_sets(model: LanguageModel, texts: list[str], rounds: int, penalty: float) -> tuple[list[list[tuple[int, float]]], np.ndarray]:
+    """The sets of :func:`language_sets`, and how much likelier each text is under its set than without any language.
 
     Word likelihoods are products over the word's trigrams. All languages are
     fitted first; in the order of their proportions, sets of one, two, ... are
     fitted again, as long as another language raises the log-likelihood by more
-    than ``penalty * ln(words)``.
+    than ``penalty * ln(words)``. Without a language, all trigrams are equally
+    likely; that is preferred to the set (a number below 0) only where it is likelier
+    by more than the penalty as well.
     """
     g = grams(texts)
     counts = g.words
@@ -150,7 +157,11 @@ def language_sets(model: LanguageModel, texts: list[str], rounds: int, penalty:
         open_texts = open_texts[better]
         if not len(open_texts):
             break
-    return result
+    trigrams = np.diff(np.append(g.word_starts, len(g.buckets)))
+    none = -BUCKET_BITS * np.log(2) * np.add.reduceat(trigrams, starts)
+    fit = so_far + np.add.reduceat(top[:, 0].astype(np.float64), starts)
+    more = np.array([len(r) - 2 for r in result])  # languages beyond the first, less the penalty of none
+    return result, fit - penalty * np.log(counts + 1) * more - none
 
 
 def identify_languages(
@@ -162,12 +173,14 @@ def identify_languages(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id, text_hash, lang_pred, score, languages, shares, readable`` of every whole text; a map.
+    """``id, text_hash, lang_pred, score, languages, shares, known`` of every whole text; a map.
 
     ``lang_pred`` is the language with the largest proportion in the selected set
     and ``score`` that proportion. A null text, a text without a letter, and any
-    text under a model without languages is ``und`` with score 0; ``readable``
-    tells a text with a letter from the others, whatever the model. Repeated
+    text under a model without languages is ``und`` with score 0. ``known`` is false
+    for texts without a letter and for those that are likelier without any language
+    than under the selected set; a model without languages knows every text with a
+    letter. Repeated
     documents are predicted each, ties go to the language first by name. Only id
     and text are read. An empty table gives no rows.
     """
@@ -181,8 +194,10 @@ def identify_languages(
             readable = [t is not None and any(map(str.isalpha, t)) for t in texts]
             told = [ok and bool(learnt.languages) for ok in readable]
             known = [t for t, ok in zip(texts, told, strict=True) if ok]
-            sets = iter(language_sets(learnt, known, rounds, penalty) if known else [])
+            found, margin = fitted_sets(learnt, known, rounds, penalty) if known else ([], np.empty(0))
+            sets, better = iter(found), iter((margin >= 0).tolist())
             rows = [next(sets) if ok else [] for ok in told]
+            explained = [next(better) if ok else can_read for ok, can_read in zip(told, readable, strict=True)]
             names = [[learnt.languages[k] for k, _ in r] for r in rows]
             shares = [[min(1.0, share) for _, share in r] for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -193,15 +208,15 @@ def identify_languages(
                     pa.array([s[0] if s else 0.0 for s in shares], pa.float64()),
                     pa.array(names, pa.list_(pa.string())),
                     pa.array(shares, pa.list_(pa.float64())),
-                    pa.array(readable, pa.bool_()),
+                    pa.array(explained, pa.bool_()),
                 ],
-                names=["_id", "text_hash", "lang_pred", "score", "languages", "shares", "readable"],
+                names=["_id", "text_hash", "lang_pred", "score", "languages", "shares", "known"],
             )
 
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("*", F.xxhash64("text").alias("text_hash"))
     kind = texts.schema["_id"].dataType.simpleString()
-    more = "text_hash long, lang_pred string, score double, languages array<string>, shares array<double>, readable boolean"
+    more = "text_hash long, lang_pred string, score double, languages array<string>, shares array<double>, known boolean"
     return map_batches(texts, run, f"_id {kind}, {more}").withColumnRenamed("_id", id_col)
 
 
@@ -217,11 +232,14 @@ def learn_and_identify(documents: DataFrame, **kw) -> DataFrame:
 
 
 def drop_unknown(documents: DataFrame, **kw) -> DataFrame:
-    """Documents without those whose language stays unknown (no text, or no letter in it), all columns kept.
+    """Documents without those in which no learnt language is found, all columns kept.
 
-    A model that has learnt no language rejects nothing else. Decisions are written once as slim rows; a row leaves by id and text.
+    These are texts that are null or have no letter, and texts that the inference
+    finds likelier without any language than under the best set of languages, such
+    as runs of random letters. A model that has learnt no language rejects only the
+    former. Decisions are written once as slim rows; a row leaves by id and text.
     """
-    found = learn_and_identify(documents, **kw).filter(~F.col("readable"))
+    found = learn_and_identify(documents, **kw).filter(~F.col("known"))
     gone = cut(found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
     same = documents["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(documents["text"].cast("string")) == gone["_hash"])
     return documents.join(gone, same, "left_anti")

@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +11,7 @@ from .conftest import by_id
 
 
 def test_held_out_accuracy(spark, small):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = spark.read.parquet(f"{Path(small).parent}/sf0.01/documents.parquet")
     found = by_id(L.learn_and_identify(d), "doc_id")
     truth = {r["doc_id"]: r["lang"] for r in d.select("doc_id", "lang").collect()}
     assert {k for k, r in found.items() if r["held_out"]} == {k for k in truth if zlib.crc32(str(k).encode()) % 4 == 2}
@@ -18,14 +21,14 @@ def test_held_out_accuracy(spark, small):
 
 
 @pytest.fixture(scope="module")
-def model(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def model(spark, small):
+    d = spark.read.parquet(f"{Path(small).parent}/sf0.01/documents.parquet")
     return L.fit_languages(d.select("lang", "text"))
 
 
 @pytest.fixture(scope="module")
-def samples(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def samples(spark, small):
+    d = spark.read.parquet(f"{Path(small).parent}/sf0.01/documents.parquet")
     rows = sorted(d.filter("length(text) > 2000").collect(), key=lambda r: r["doc_id"])
     return {lang: [r["text"] for r in rows if r["lang"] == lang] for lang in ("de", "en", "es", "fr")}
 
@@ -65,6 +68,57 @@ def test_drop_unknown_without_labels_keeps_clean_rows(docs):
     assert sorted(r["text"] for r in kept.collect()) == ["some text", "é"]
 
 
+def noise(rng, words=40):
+    return " ".join("".join(rng.choice("qxzjkvwpyßøþ") for _ in range(rng.randrange(4, 12))) for _ in range(words))
+
+
+def test_texts_without_a_language_are_not_known(docs, model, samples):
+    """Random letters are likelier without a language; clean texts, short ones, mixtures and quotes of noise are not."""
+    rng = random.Random(10)
+    clean = [t for own in samples.values() for t in own[:5]] + [samples["en"][0][:40], samples["de"][0][:9], samples["fr"][0] + samples["es"][0], samples["en"][1] + noise(rng)]
+    junk = [noise(rng) for _ in range(20)] + [noise(rng, 4_000), noise(rng, 3)]
+    found = by_id(L.identify_languages(docs(*clean, *junk, None, "1 2"), model), "doc_id")
+    assert [found[k]["known"] for k in sorted(found)] == [True] * len(clean) + [False] * (len(junk) + 2)
+    assert all(found[len(clean) + k]["lang_pred"] != "und" for k in range(len(junk)))
+
+
+def brute_mixture(model, text, rounds, penalty):
+    """The largest proportions and the margin over no language, word by word in plain floats."""
+    g = L.grams([text])
+    ends = [*g.word_starts[1:], len(g.buckets)]
+    words = [[math.fsum(float(row[b]) for b in g.buckets[a:z]) for row in model.log_p] for a, z in zip(g.word_starts, ends, strict=True)]
+    tops = [max(w) for w in words]
+    p = [[math.exp(max(x - t, -60.0)) for x in w] for w, t in zip(words, tops, strict=True)]
+
+    def fit(langs):
+        shares = [1 / len(langs)] * len(langs)
+        for _ in range(rounds):
+            parts = [[w[k] * s for k, s in zip(langs, shares, strict=True)] for w in p]
+            shares = [math.fsum(x[j] / sum(x) for x in parts) / len(p) for j in range(len(langs))]
+        return shares, math.fsum(math.log(sum(w[k] * s for k, s in zip(langs, shares, strict=True))) for w in p)
+
+    every, _ = fit(range(len(model.languages)))
+    order = sorted(range(len(every)), key=lambda k: (-every[k], k))
+    best, ll = {order[0]: 1.0}, fit(order[:1])[1]
+    for size in range(2, len(order) + 1):
+        shares, more = fit(order[:size])
+        if more - ll <= penalty * math.log(len(p) + 1):
+            break
+        best, ll = dict(zip(order[:size], shares, strict=True)), more
+    none = -len(g.buckets) * math.log(1 << L.BUCKET_BITS)
+    return best, ll + math.fsum(tops) - penalty * math.log(len(p) + 1) * (len(best) - 2) - none
+
+
+def test_mixtures_equal_brute_force(model, samples):
+    rng = random.Random(2)
+    texts = [own[0][:600] for own in samples.values()] + [samples["en"][0][:500] + " " + samples["de"][0][:500] + " " + samples["fr"][0][:300], noise(rng), "é", "a b c"]
+    sets, margins = L.fitted_sets(model, texts, 8, 2.0)
+    for text, found, margin in zip(texts, sets, margins, strict=True):
+        best, expected = brute_mixture(model, text, 8, 2.0)
+        assert dict(found) == pytest.approx(best, abs=2e-3), text[:40]
+        assert margin == pytest.approx(expected, rel=1e-3, abs=0.05)
+
+
 def test_words_of_texts():
     g = L.grams(["ab  c", "éx", "A1B"])
     assert list(g.words) == [2, 1, 2] and len(g.word_starts) == 5
