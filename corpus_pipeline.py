@@ -15,7 +15,7 @@ from siteweave.session import scratch_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: without text or without a letter."""
+    """Rejects documents in which the inference finds no language: without a letter, or likelier without any language."""
     return language_id.drop_unknown(docs)
 
 
