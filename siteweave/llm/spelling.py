@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,11 +109,19 @@ def one_edit(short: str, long: str) -> bool:
     return short[at:] == long[at + 1 :] if len(long) > len(short) else short[at + 1 :] == long[at + 1 :]
 
 
-def steps(node: dict, count: int, surplus: int, deficit: int) -> Iterator[tuple]:
-    """Children of a node that a word with ``count`` in its group may enter, with the budget that is left."""
-    for child, s, d in ((count, surplus, deficit), (count + 1, surplus - 1, deficit), (count - 1, surplus, deficit - 1)):
-        if s >= 0 and d >= 0 and child in node:
-            yield node[child], s, d
+def descend(node: dict, count: int, level: int, surplus: int, deficit: int, push: Callable[[tuple], None]) -> None:
+    """Pushes the children of a node that a word with ``count`` in its group may enter, with the budget that is left."""
+    child = node.get(count)
+    if child is not None:
+        push((child, level + 1, surplus, deficit))
+    if surplus:
+        child = node.get(count + 1)
+        if child is not None:
+            push((child, level + 1, surplus - 1, deficit))
+    if deficit:
+        child = node.get(count - 1)
+        if child is not None:
+            push((child, level + 1, surplus, deficit - 1))
 
 
 class Leaf:
@@ -132,12 +140,13 @@ class Leaf:
             self.heads.setdefault(row[1][: self.half], []).append(row)
             self.tails.setdefault(row[1][self.half :], []).append(row)
 
-    def near(self, word: str) -> Iterator[tuple]:
+    def near(self, word: str) -> list[tuple]:
+        if not 0 <= self.length - len(word) <= 1:
+            return []
         head, tail = halves(word, self.length)
-        yield from self.heads.get(head, ())
-        for row in self.tails.get(tail, ()):
-            if row[1][: self.half] != head:
-                yield row
+        found = self.heads.get(head, [])
+        others = self.tails.get(tail)
+        return found + [row for row in others if row[1][: self.half] != head] if others else found
 
 
 def halves(word: str, length: int) -> tuple[str, str]:
@@ -158,19 +167,21 @@ def grow(rows: list[tuple], depth: int):
     return {count: grow(part, depth + 1) for count, part in children.items()}
 
 
-def search(trie, depth: int, vector: Sequence[int], word: str, surplus: int = 1, deficit: int = 1) -> Iterator[tuple]:
+def search(trie, depth: int, vector: Sequence[int], word: str, surplus: int = 1, deficit: int = 1) -> list[tuple]:
     """Words one edit from ``word`` that are one longer, or as long and later in code-point order: depth first, verified at the leaves."""
-    stack = [(trie, depth, surplus, deficit)]
+    found, size, stack = [], len(word), [(trie, depth, surplus, deficit)]
+    pop, push = stack.pop, stack.append
     while stack:
-        node, level, s, d = stack.pop()
-        if isinstance(node, dict):
-            stack.extend((child, level + 1, *left) for child, *left in steps(node, vector[level], s, d))
+        node, level, s, d = pop()
+        if type(node) is dict:
+            descend(node, vector[level], level, s, d, push)
             continue
-        for row in node if isinstance(node, list) else node.near(word) if 0 <= node.length - len(word) <= 1 else ():
+        for row in node if type(node) is list else node.near(word):
             other = row[1]
-            longer = len(other) - len(word)
+            longer = len(other) - size
             if (longer == 1 or longer == 0 and other > word) and one_edit(word, other):
-                yield row
+                found.append(row)
+    return found
 
 
 def top_nodes(words: DataFrame, vectors: Vectors, part_words: int) -> tuple[dict, set[int]]:
@@ -238,8 +249,8 @@ def near_words(words: DataFrame, *, groups: Sequence[str] = GROUPS, part_words:
                 stack = [(tree, 0, 1, 1)]
                 while stack:
                     node, level, s, d = stack.pop()
-                    if isinstance(node, dict):
-                        stack.extend((child, level + 1, *left) for child, *left in steps(node, vector[level], s, d))
+                    if type(node) is dict:
+                        descend(node, vector[level], level, s, d, stack.append)
                         continue
                     visitor = not s == d == 1
                     if node not in split:
