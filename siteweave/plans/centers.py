@@ -2,55 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut
 
-#: Buildings whose shifts are tested together.
-SLICE = 256
+#: Edges of an outline that one generated expression tests.
+WRITTEN_OUT = 12
 
 
-def grid_axis(max_shift: int = 40, step: int = 2) -> np.ndarray:
+def grid_axis(max_shift: int = 40, step: int = 2) -> list[int]:
     if not 0 <= max_shift <= 50 or max_shift % 2:
         raise ValueError("max_shift is even and between 0 and 50")
-    return np.arange(-max_shift, max_shift + 1, step, dtype=float)
+    axis = list(range(-max_shift, max_shift + 1, step))
+    if len(axis) > 63:
+        raise ValueError("a row of the grid has more shifts than a long has bits")
+    return axis
 
 
-def ranked_shifts(axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranked_shifts(axis: list[int]) -> list[tuple[int, int]]:
     """Places (in x and in y) of the shifts of a square grid inside its disc: by distance, then by centre."""
-    at_x, at_y = (a.ravel() for a in np.meshgrid(*2 * [np.arange(len(axis))], indexing="ij"))
-    distance = axis[at_x] ** 2 + axis[at_y] ** 2
-    order = np.lexsort((axis[at_y], axis[at_x], distance))
-    order = order[distance[order] <= axis[-1] ** 2]
-    return at_x[order], at_y[order]
+    inside = [(x * x + y * y, x, y, i, k) for i, x in enumerate(axis) for k, y in enumerate(axis) if x * x + y * y <= axis[-1] ** 2]
+    return [(i, k) for _, _, _, i, k in sorted(inside)]
 
 
-def inside_grid(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Even-odd test, half-open in y, of the points (rows, nx) × (rows, ny) in outlines (rows, edges, 4).
+def sloping_edges(poly: Column) -> Column:
+    """Edges of a closed outline that a horizontal line can cross, as ``ARRAY<STRUCT<ax, ay, bx, by>>``."""
+    flat = F.transform(G.polygon_edges(poly), lambda e: F.struct(e["a"]["x"].alias("ax"), e["a"]["y"].alias("ay"), e["b"]["x"].alias("bx"), e["b"]["y"].alias("by")))
+    return F.filter(flat, lambda e: e["ay"] != e["by"])
 
-    Where a row of the grid crosses an edge depends on y alone, so it is worked out once for all x. Outlines are
-    padded with flat edges, which nothing crosses.
-    """
-    odd = np.zeros((*x.shape, y.shape[1]), dtype=bool)
-    for ax, ay, bx, by in (edges[:, k].T[:, :, None] for k in range(edges.shape[1])):
-        rise = np.where(by == ay, 1.0, by - ay)
-        crossing = np.where((ay > y) != (by > y), (bx - ax) * (y - ay) / rise + ax, -np.inf)
-        odd ^= x[:, :, None] < crossing[:, None, :]
-    return odd
 
+def scan_lines(lines: DataFrame, axis: list[int], step: int, edges: int) -> DataFrame:
+    """Adds ``mask``: bit i says that the i-th shift of row ``r`` puts corner ``c`` inside the ``outline`` of ``e0``, ``e1``, ...
 
-def _edges(outlines: pa.Array) -> np.ndarray:
-    rings = outlines.to_pylist()
-    out = np.zeros((len(rings), max(map(len, rings)), 4))
-    for row, ring in enumerate(rings):
-        points = [(p["x"], p["y"]) for p in ring]
-        out[row, : len(ring)] = [(*a, *b) for a, b in zip(points, points[1:] + points[:1], strict=True)]
-    return out
+    An edge that the scan line crosses holds the shifts left of the crossing, which
+    are the first bits; even-odd, the shifts inside are the exclusive or of those
+    runs. The division finds the end of a run up to one place, the comparison of the
+    point test settles it. Edges are written out one by one, step by step, which
+    keeps the test in generated code and works nothing out twice.
+    """
+    n, first = len(axis), axis[0]
+    place = lambda k: F.col("x") + (F.lit(first) + F.lit(step) * k).cast("double")
+    own = range(edges)
+    e = [{c: F.col(f"e{k}_{c}") for c in ("ax", "ay", "bx", "by")} for k in own]
+    at = lambda k: (e[k]["bx"] - e[k]["ax"]) * (F.col("y") - e[k]["ay"]) / (e[k]["by"] - e[k]["ay"]) + e[k]["ax"]
+    crossed = lambda k: (e[k]["ay"] > F.col("y")) != (e[k]["by"] > F.col("y"))
+    lines = lines.withColumns({f"at{k}": F.when(crossed(k), at(k)) for k in own})
+    guess = lambda k: F.ceil((F.col(f"at{k}") - F.col("x") - G.dlit(first)) / G.dlit(step))
+    lines = lines.withColumns({f"end{k}": F.least(F.greatest(guess(k), F.lit(0)), F.lit(n)).cast("int") for k in own})
+    less = lambda k, end: place(end) < F.col(f"at{k}")
+    settled = lambda k, end: end + F.when((end < n) & less(k, end), 1).when((end > 0) & ~less(k, end - 1), -1).otherwise(0)
+    run = lambda k: F.when(F.col(f"at{k}").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), settled(k, F.col(f"end{k}"))) - 1).otherwise(0)
+    return lines.withColumn("mask", reduce(Column.bitwiseXOR, [run(k) for k in own], F.lit(0).cast("long")))
+
+
+def row_masks(base: DataFrame, axis: list[int], step: int) -> DataFrame:
+    """``no, plan_id, id, cx, cy, masks``: a long for each grid row, whose bits are the shifts that keep all ``corners`` inside all ``outlines``.
+
+    The scan lines of all corners and outlines are intersected. Buildings are dealt
+    out by their number first, so that the partial results of a building meet where
+    they are made. Outlines of more than ``WRITTEN_OUT`` edges are scanned in parts
+    of that many.
+    """
+    building = ["no", "plan_id", "id", "cx", "cy"]
+    edges = base.agg(F.max(F.array_max(F.transform("outlines", F.size)))).first()[0] or 0
+    lines = base.repartition("no").select(*building, "corners", F.posexplode("outlines").alias("outline", "o"))
+    if edges > WRITTEN_OUT:
+        parts = F.sequence(F.lit(1), F.greatest(F.size("o"), F.lit(1)), F.lit(WRITTEN_OUT))
+        lines = lines.withColumn("o", F.explode(F.transform(parts, lambda p: F.slice("o", p, WRITTEN_OUT))))
+    written = range(min(edges, WRITTEN_OUT))
+    lines = lines.select(*building, "outline", "corners", *(F.get("o", F.lit(k))[c].alias(f"e{k}_{c}") for k in written for c in ("ax", "ay", "bx", "by")))
+    lines = lines.select("*", F.posexplode("corners").alias("corner", "c")).drop("corners").withColumn("x", F.col("c.x"))
+    lines = lines.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(len(axis) - 1))))
+    lines = lines.withColumn("y", F.col("c.y") + (F.lit(axis[0]) + F.lit(step) * F.col("r")).cast("double")).drop("c")
+    lines = scan_lines(lines, axis, step, len(written)).select(*building, "outline", "corner", "r", "mask")
+    if edges > WRITTEN_OUT:
+        lines = lines.groupBy(*building, "outline", "corner", "r").agg(F.bit_xor("mask").alias("mask"))
+    rows = lines.groupBy(*building, "r").agg(F.bit_and("mask").alias("mask"))
+    each = F.sort_array(F.collect_list(F.struct("r", "mask")))
+    return rows.groupBy(*building).agg(F.transform(each, lambda x: x["mask"]).alias("masks"))
 
 
 def feasible_centers(
@@ -59,37 +92,26 @@ def feasible_centers(
     """``plan_id, id, rank, distance`` (squared), ``ox, oy`` (the centre): every grid shift inside the disc
     that keeps all four corners in zone and boundary, ranked by distance, then centre.
 
-    A building meets its zone and boundary in a join; the shifts are tried in a map, all corners of a slice of
-    buildings at once and in rank order, so that no shuffle or sort follows. (The same test as a filter over an
-    array of shifts is evaluated element by element and took over a hundred times as long.)
+    Edges are made once an outline; a building meets its zone and boundary in a join and gets its runs of allowed
+    shifts by :func:`row_masks`. Ranks are the places of the allowed ones in the list of all shifts, so that no
+    sort follows. All of it runs in the JVM.
     """
     axis = grid_axis(max_shift, step)
-    at_x, at_y = ranked_shifts(axis)
+    codes = [k << 6 | i for i, k in ranked_shifts(axis)]
+    edged = lambda df, *keys: df.filter(F.size("poly") > 2).select(*keys, sloping_edges(F.col("poly")).alias("_edges"))
     base = G.with_rect_corners(buildings.select("plan_id", "id", "cx", "cy", "w", "d", "clock", "zone_id"))
-    base = base.join(zones.select("plan_id", "zone_id", F.col("poly").alias("_zone")), ["plan_id", "zone_id"])
-    base = base.join(boundaries.select("plan_id", F.col("poly").alias("_edge")), "plan_id")
-    base = base.filter("size(_zone) > 2 and size(_edge) > 2").drop("w", "d", "clock", "zone_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                outlines = [_edges(part.column(c)) for c in ("_zone", "_edge")]
-                fits = np.ones((part.num_rows, len(axis), len(axis)), dtype=bool)
-                for k in range(4):
-                    x, y = (np.asarray(part.column(f"c{k}{c}"))[:, None] + axis for c in "xy")
-                    for edges in outlines:
-                        fits &= inside_grid(x, y, edges)
-                fits = fits[:, at_x, at_y]
-                row, shift = np.nonzero(fits)
-                rank = np.cumsum(fits, axis=1)[row, shift]
-                at = pa.array(row)
-                moved = axis[at_x[shift]], axis[at_y[shift]]
-                centre = [np.asarray(part.column(c))[row] + by for c, by in zip(("cx", "cy"), moved, strict=True)]
-                distance = moved[0] ** 2 + moved[1] ** 2
-                columns = [part.column("plan_id").take(at), part.column("id").take(at), pa.array(rank.astype(np.int32))]
-                columns += [pa.array(c) for c in (distance, *centre)]
-                yield pa.RecordBatch.from_arrays(columns, names=["plan_id", "id", "rank", "distance", "ox", "oy"])
-
-    plan, ident = (buildings.schema[c].dataType.simpleString() for c in ("plan_id", "id"))
-    return base.mapInArrow(run, f"plan_id {plan}, id {ident}, rank int, distance double, ox double, oy double")
+    base = base.join(edged(zones, "plan_id", "zone_id").withColumnRenamed("_edges", "_zone"), ["plan_id", "zone_id"])
+    base = base.join(edged(boundaries, "plan_id").withColumnRenamed("_edges", "_edge"), "plan_id")
+    outlines, corners = F.array("_zone", "_edge").alias("outlines"), G.polygon_of(G.quad("c")).alias("corners")
+    base = cut(base.select("plan_id", "id", "cx", "cy", outlines, corners)).withColumn("no", F.monotonically_increasing_id())
+    masked = row_masks(base, axis, step)
+    listed = f"array({', '.join(map(str, codes))})"
+    allowed = F.expr(f"filter({listed}, s -> (shiftright(masks[shiftright(s, 6)], s & 63) & 1L) = 1L)")
+    # a generator keeps the masks from being worked out again for every shift
+    shifts = masked.select("plan_id", "id", "cx", "cy", F.explode(F.array("masks")).alias("masks"))
+    shifts = shifts.select("plan_id", "id", "cx", "cy", F.posexplode(allowed).alias("pos", "code"))
+    by = lambda place: (F.lit(axis[0]) + F.lit(step) * place).cast("double")
+    dx, dy = by(F.col("code").bitwiseAND(63)), by(F.shiftright("code", 6))
+    return shifts.select(
+        "plan_id", "id", (F.col("pos") + 1).alias("rank"), (dx * dx + dy * dy).alias("distance"), (F.col("cx") + dx).alias("ox"), (F.col("cy") + dy).alias("oy")
+    )

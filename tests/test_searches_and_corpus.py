@@ -36,6 +36,32 @@ def test_centres_equal_brute_force(rows, spark):
         assert [tuple(x) for _, *x in found] == sorted(want)
 
 
+@pytest.mark.parametrize("written", [12, 3])
+def test_centres_in_outlines_of_many_edges(spark, rows, monkeypatch, written):
+    """Outlines with notches, more edges than one expression tests, corners on edges; a row of no shifts and one of all."""
+    monkeypatch.setattr(centers, "WRITTEN_OUT", written)
+    star = [(150 + r * math.cos(k * math.pi / 13), 150 + r * math.sin(k * math.pi / 13)) for k, r in ((k, 140 if k % 2 else 90) for k in range(26))]
+    comb = [(0, 0), (300, 0), (300, 300), (200, 300), (200, 100), (180, 100), (180, 300), (100, 300), (100, 40), (90, 40), (90, 300), (0, 300)]
+    data = [(k, 130.0 + 5 * k, 140.0 + 3 * k, 8.0 + k, 6.0, k * 0.75) for k in range(9)] + [(20, 150.0, 60.0, 10.0, 10.0, 0.0), (21, 10.0, 280.0, 20.0, 20.0, 3.0), (22, 999.0, 999.0, 2.0, 2.0, 0.0)]
+    b = rows("id int, cx double, cy double, w double, d double, clock double", *data).selectExpr("1 as plan_id", "*", "'Z' as zone_id")
+    outline = lambda points: "array(" + ",".join(f"named_struct('x',{float(x)!r}D,'y',{float(y)!r}D)" for x, y in points) + ")"
+    found = {}
+    for r in centers.feasible_centers(b, spark.sql(f"select 1 as plan_id, 'Z' as zone_id, {outline(star)} as poly"), spark.sql(f"select 1 as plan_id, {outline(comb)} as poly"), 20).collect():
+        found.setdefault(r.id, []).append((r["rank"], r.distance, r.ox, r.oy))
+
+    def inside(x, y, ring):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+
+    for k, cx, cy, w, d, clock in data:
+        a, want = math.pi * clock / 6, []
+        for dx in range(-20, 21, 2):
+            for dy in range(-20, 21, 2):
+                corners = [(cx - u * w / 2 * math.cos(a) + v * d / 2 * math.sin(a) + dx, cy - u * w / 2 * math.sin(a) - v * d / 2 * math.cos(a) + dy) for u, v in ((-1, 1), (1, 1), (1, -1), (-1, -1))]
+                if dx * dx + dy * dy <= 400 and all(inside(x, y, ring) for x, y in corners for ring in (star, comb)):
+                    want.append((float(dx * dx + dy * dy), cx + dx, cy + dy))
+        assert sorted(found.get(k, [])) == [(n, *x) for n, x in enumerate(sorted(want), 1)], k
+
+
 def test_bad_shift_is_refused():
     with pytest.raises(ValueError):
         centers.grid_axis(7)
