@@ -11,6 +11,7 @@ from siteweave.operators import corpus, intake
 from siteweave.plans import centers, revision
 from siteweave.session import drop_stages, scratch_path, shared_folder
 from siteweave.sources import readers, sinks
+from siteweave.streaming import answered
 from siteweave.streaming import intake as live
 
 SQUARE = "array(named_struct('x',0D,'y',0D),named_struct('x',300D,'y',0D),named_struct('x',300D,'y',300D),named_struct('x',0D,'y',300D))"
@@ -207,6 +208,36 @@ def test_stream_accepts_once_over_several_batches(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 2
 
 
+def test_keyed_stream_over_restarts_late_runs_and_lost_state(spark, tmp_path):
+    src, sink, state = str(tmp_path / "in"), scratch_path(spark, "sink"), scratch_path(spark, "state")
+
+    def put(*runs):
+        part = spark.createDataFrame(runs, "image_id int, run_id int, day int").selectExpr(
+            "image_id", "'s' as stage", "'l' as label", "run_id", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,day) as ts", "'stop' as finish_reason",
+            "'m' as model_requested", "if(run_id = 99, 'x', 'm') as model_returned", "0 as issues", "'{}' as answer",
+        )
+        part.coalesce(1).write.mode("append").parquet(src)
+        return part.schema
+
+    schema = put((1, 2, 1), (1, 1, 0), (2, 3, 0), (3, 99, 0))
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", None)
+
+    def go():
+        return answered.accept_keyed(live.answer_stream(spark, src, schema, max_files=1), sink, state, keep="10 days", check_ms=1)
+
+    assert go() == 2
+    put((1, 4, 2), (3, 5, 40))  # answered; first accepted run, which moves the horizon past the state of 1 and 2
+    put((4, 6, -5), (4, 8, -6))  # late and new: the earlier of the two
+    put((2, 7, 41))  # its state has gone: refused through the sink
+    assert go() <= 3
+    put((2, 9, 61), (1, 10, 90), (5, 11, 1), (3, 12, 41))
+    assert go() <= 4
+    assert go() >= 0, "nothing new"
+    got = {r.image_id: r.run_id for r in spark.read.parquet(sink).collect()}
+    assert got == {1: 1, 2: 3, 3: 5, 4: 8, 5: 11} and spark.read.parquet(sink).count() == 5
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", None) == before
+
+
 def test_every_query_is_registered_once_and_whole():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 150
