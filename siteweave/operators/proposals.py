@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.geometry import BOX, box, dlit
 from ..session import cut
+from .ranking import rank_in_group
 
 # fixed values: name, left, up, right, down as shares of the box
 CONTEXT_VARIANTS = (
@@ -152,17 +153,6 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFra
     return ordered.withColumn("_part", part).join(counts, "_part").withColumn(name, row).drop("_part", "_at", "_before")
 
 
-def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank") -> DataFrame:
-    """Rank from 1 within ``keys`` that never sorts a hot group in one task.
-
-    Rows are numbered over the whole table by key and order; a group's first number is taken off.
-    """
-    keys = list(keys)
-    rows = cut(numbered(df, [*keys, *order], "_row"))
-    first = rows.groupBy(*keys).agg(F.min("_row").alias("_first"))
-    return rows.join(first, keys).withColumn(name, F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
-
-
 def renumber(items: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Names ``House_01…`` by top edge, then left edge."""
     ranked = rank_in_group(items, keys, ["y0", "x0", "id"], "_rank")

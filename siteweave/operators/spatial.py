@@ -11,10 +11,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators.overlap import PAIR_LIMIT, box_pairs
+from ..session import cut
+from .overlap import PAIR_LIMIT, box_pairs
+from .ranking import running_total, spread_join
 
 CORNERS = [f"c{i}{a}" for i in range(4) for a in "xy"]
 
@@ -128,69 +131,83 @@ def geometry_checks(
     return pairs.unionByName(zone_checks(shapes, zones, boundaries)).unionByName(wet)
 
 
-def nearest_in_plan(points: DataFrame, anchors: DataFrame, per_cell: float = 4.0, coarse: int = 16) -> DataFrame:
-    """Nearest anchor of the same plan for each point: ``plan_id, id, nearest, distance``.
+def z_order(df: DataFrame, x: Column, y: Column, into: str) -> DataFrame:
+    """Adds ``into``: the Morton code of two whole numbers below 2**31, spread bit by bit in five steps."""
+    df = df.withColumns({"_bx": x.cast("long"), "_by": y.cast("long")})
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        df = df.withColumns({c: F.col(c).bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask)) for c in ("_bx", "_by")})
+    return df.withColumn(into, F.col("_bx").bitwiseOR(F.shiftleft("_by", 1))).drop("_bx", "_by")
 
-    ``points``/``anchors``: plan_id, id, ax, ay. The grid of a plan follows its
-    density: about ``per_cell`` anchors a square, so that a plan with a great many
-    anchors is not paired with itself. First a point meets the anchors of its own
-    and the eight neighbouring squares; a hit within one square edge is final. The
-    others, far from every anchor, rank the occupied ones of squares ``coarse``
-    times as wide by the nearest and farthest point of each and meet only anchors
-    of those that can hold the nearest.
+
+def on_curve(df: DataFrame) -> DataFrame:
+    """Adds ``_code, _fine``: the place of ``x, y`` on the Z-order curve over the frame ``_x, _y, _edge``.
+
+    62 bits an axis, more than a double has: one far anchor leaves the others apart.
     """
-    a = anchors.select("plan_id", F.col("id").alias("nearest"), "ax", "ay")
-    extent = F.greatest(F.max("ax") - F.min("ax"), F.max("ay") - F.min("ay"), G.dlit(1e-6))
-    edges = a.groupBy("plan_id").agg((extent / F.ceil(F.sqrt(F.count(F.lit(1)) / per_cell))).alias("_edge"))
-    square = lambda v, edge: F.floor(v / edge)
-    wide = F.col("_edge") * coarse
-    p = points.select("plan_id", "id", F.col("ax").alias("px"), F.col("ay").alias("py")).join(edges, "plan_id")
-    p = p.withColumns({"_gx": square(F.col("px"), F.col("_edge")), "_gy": square(F.col("py"), F.col("_edge"))})
-    a = a.join(edges, "plan_id").withColumns(
-        {
-            "_gx": square(F.col("ax"), F.col("_edge")), "_gy": square(F.col("ay"), F.col("_edge")),
-            "_hx": square(F.col("ax"), wide), "_hy": square(F.col("ay"), wide),
-        }
-    )
+    unit = lambda v, low: F.least(F.greatest((F.col(v) - F.col(low)) / F.col("_edge"), G.dlit(0)), G.dlit(2**31 - 1))
+    df = df.withColumns({"_ux": unit("x", "_x"), "_uy": unit("y", "_y")})
+    df = z_order(df, F.floor("_ux"), F.floor("_uy"), "_code")
+    rest = lambda u: F.floor((F.col(u) - F.floor(u)) * 2**31)
+    return z_order(df, rest("_ux"), rest("_uy"), "_fine").drop("_ux", "_uy", "_x", "_y", "_edge")
+
+
+def nearest_in_plan(points: DataFrame, anchors: DataFrame, leaf: int = 64, fanout: int = 16) -> DataFrame:
+    """Nearest anchor of the same plan for each point: ``plan_id, id, nearest, distance``; ties by smaller id.
+
+    ``points``/``anchors``: plan_id, id, ax, ay. A tree adapts to the anchors of each
+    plan: along a Z-order curve, runs of ``leaf`` anchors are leaves, runs of
+    ``fanout`` leaves nodes, and so on; each knows the box of its anchors. So leaves
+    are small where anchors are dense, and a far anchor makes no empty squares.
+
+    A point is placed on the same curve; the anchors of the leaf there give a first
+    bound. From the root down, a point goes on to the nodes whose box is not beyond
+    its bound, and the farthest point of a box lowers the bound, before it meets the
+    anchors of the leaves that are left. The bounds are exact, so nothing is missed.
+    Numbers on the curve come from sorted ranges; a plan, node or leaf with very many
+    points is dealt out over parts.
+    """
+    where = points.select("plan_id", F.col("id").alias("point"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(0).alias("one"))
+    there = anchors.select("plan_id", F.col("id").alias("nearest"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(1).alias("one"))
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), G.dlit(1e-6))
+    frames = cut(there.groupBy("plan_id").agg(F.min("x").alias("_x"), F.min("y").alias("_y"), (extent / (2**31 - 1)).alias("_edge"), F.count(F.lit(1)).alias("_n")))
+    both = where.unionByName(there, allowMissingColumns=True).join(frames, "plan_id")
+    placed = running_total(on_curve(both), ["plan_id", "_code", "_fine"], "one", ["plan_id"], "before")
+    own = F.expr(f"least(before, _n - 1) div {leaf}")
+    placed = cut(placed.select("plan_id", "point", "nearest", "x", "y", own.alias("node")))
+    held = placed.filter("nearest is not null").select("plan_id", "node", "nearest", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    asked = placed.filter("point is not null").select("plan_id", "point", F.col("x").alias("px"), F.col("y").alias("py"), "node")
+    asked = asked.withColumn("_row", F.monotonically_increasing_id())
+
     distance = F.hypot(F.col("ax") - F.col("px"), F.col("ay") - F.col("py"))
-    best = F.min_by(F.struct("nearest", distance.alias("distance")), F.struct(distance.alias("d"), F.col("nearest").alias("n")))
-    around = F.expr("explode(array(-1L, 0L, 1L))")
-    probe = p.withColumn("_dx", around).withColumn("_dy", around)
-    probe = probe.withColumns({"_gx": F.col("_gx") + F.col("_dx"), "_gy": F.col("_gy") + F.col("_dy")})
-    close = (
-        probe.join(a.drop("_edge", "_hx", "_hy"), ["plan_id", "_gx", "_gy"])
-        .groupBy("plan_id", "id")
-        .agg(best.alias("_b"), F.first("_edge").alias("_edge"))
-        .select("plan_id", "id", "_b.*", "_edge")
-        .filter(F.col("distance") <= F.col("_edge"))
-        .drop("_edge")
-    )
-    rest = p.join(close.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
-    squares = a.groupBy("plan_id", "_hx", "_hy").agg(F.count(F.lit(1)).alias("_n"))
-    side = F.col("r._edge") * coarse
-    sx, sy = F.col("s._hx") * side, F.col("s._hy") * side
-    low = F.hypot(
-        F.greatest(sx - F.col("px"), F.col("px") - sx - side, G.dlit(0)),
-        F.greatest(sy - F.col("py"), F.col("py") - sy - side, G.dlit(0)),
-    )
-    high = F.hypot(
-        F.greatest(F.abs(sx - F.col("px")), F.abs(sx + side - F.col("px"))),
-        F.greatest(F.abs(sy - F.col("py")), F.abs(sy + side - F.col("py"))),
-    )
-    ranked = rest.alias("r").join(squares.alias("s"), "plan_id").select(
-        "plan_id", "id", "px", "py", F.col("s._hx").alias("_hx"), F.col("s._hy").alias("_hy"), low.alias("_low"), high.alias("_high")
-    )
-    reach = ranked.groupBy("plan_id", "id").agg(F.min("_high").alias("_reach"))
-    # a square's edge may be one rounding error off the distance to an anchor on it
-    far = (
-        ranked.join(reach, ["plan_id", "id"])
-        .filter(F.col("_low") <= F.col("_reach") * (1 + 1e-12))
-        .join(a.drop("_edge", "_gx", "_gy"), ["plan_id", "_hx", "_hy"])
-        .groupBy("plan_id", "id")
-        .agg(best.alias("_b"))
-        .select("plan_id", "id", "_b.*")
-    )
-    return close.unionByName(far)
+    best = F.min(F.struct(distance.alias("distance"), "nearest")).alias("best")
+    point = ["plan_id", "point", "_row", "px", "py"]
+    first = spread_join(asked, held, ["plan_id", "node"]).groupBy(*point).agg(best)
+    most = -(-(frames.agg(F.max("_n")).first()[0] or 1) // leaf)
+    if most > 1:
+        boxes = held.groupBy("plan_id", "node").agg(*(f(f"a{c}").alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in "xy"))
+        levels = [cut(boxes)]
+        while most > 1:
+            up = levels[-1].withColumn("node", F.expr(f"node div {fanout}"))
+            levels.append(cut(up.groupBy("plan_id", "node").agg(*(f(f"{c}{k}").alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in "xy"))))
+            most = -(-most // fanout)
+        reached = cut(first.select(*point, F.col("best.distance").alias("bound"), F.lit(0).cast("long").alias("node")))
+        for children in reversed(levels[:-1]):
+            reached = cut(_next_level(reached, children, point, fanout))
+        first = spread_join(reached.drop("bound"), held, ["plan_id", "node"]).groupBy(*point).agg(best)
+    return first.select("plan_id", F.col("point").alias("id"), "best.nearest", "best.distance")
+
+
+def _next_level(reached: DataFrame, children: DataFrame, point: list[str], fanout: int) -> DataFrame:
+    """For each point the children of its nodes that can hold its nearest anchor."""
+    met = spread_join(reached, children.withColumnRenamed("node", "_child").withColumn("node", F.expr(f"_child div {fanout}")), ["plan_id", "node"])
+    px, py, zero = F.col("px"), F.col("py"), G.dlit(0)
+    low = F.hypot(F.greatest(F.col("x0") - px, px - F.col("x1"), zero), F.greatest(F.col("y0") - py, py - F.col("y1"), zero))
+    high = F.hypot(F.greatest(F.abs(F.col("x0") - px), F.abs(F.col("x1") - px)), F.greatest(F.abs(F.col("y0") - py), F.abs(F.col("y1") - py)))
+    # a box's edge may be one rounding error off the distance to an anchor on it
+    slack = 1 + 1e-12
+    met = met.withColumns({"_low": low, "_high": high}).filter(F.col("_low") <= F.col("bound") * slack)
+    bound = F.least("bound", F.min("_high").over(W.partitionBy(*point)))
+    return met.withColumn("bound", bound).filter(F.col("_low") <= F.col("bound") * slack).select(*point, "bound", F.col("_child").alias("node"))
 
 
 def content_bounds(parts: Sequence[DataFrame], margin: float = 24) -> DataFrame:

@@ -109,7 +109,9 @@ def feasible_centers(
     allowed = F.expr(f"filter({listed}, s -> (shiftright(masks[shiftright(s, 6)], s & 63) & 1L) = 1L)")
     # a generator keeps the masks from being worked out again for every shift
     shifts = masked.select("plan_id", "id", "cx", "cy", F.explode(F.array("masks")).alias("masks"))
-    shifts = shifts.select("plan_id", "id", "cx", "cy", F.posexplode(allowed).alias("pos", "code"))
+    # made before it is exploded, so that the many rows come out of generated code
+    shifts = shifts.select("plan_id", "id", "cx", "cy", allowed.alias("allowed"))
+    shifts = shifts.select("plan_id", "id", "cx", "cy", F.posexplode("allowed").alias("pos", "code"))
     by = lambda place: (F.lit(axis[0]) + F.lit(step) * place).cast("double")
     dx, dy = by(F.col("code").bitwiseAND(63)), by(F.shiftright("code", 6))
     return shifts.select(

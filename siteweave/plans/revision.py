@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.proposals import rank_in_group
+from ..operators.ranking import rank_in_group
 
 OBSERVED = tuple(["sx0", "sy0", "sx1", "sy1", "ax", "ay"] + [f"q{i}{a}" for i in range(4) for a in "xy"])
 CARRIED = ("identity_audit", "reported_anchor", "anchor_derivation", "grouped", "unit_count_range")

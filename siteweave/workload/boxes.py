@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords
 from ..functions import geometry as G
-from ..operators import graph, masks, overlap, proposals, suppress, tiles
+from ..operators import graph, masks, overlap, proposals, ranking, suppress, tiles
 from . import recipes as R
 from .registry import query, with_
 
@@ -475,7 +475,7 @@ def parent_split(spark, d):
     local = items.filter("NOT is_group AND classifier_score >= 0.3")
     local_spans = spans.join(local.select("image_id", "id"), ["image_id", "id"], "left_semi")
     kept = masks.containment_dedupe(local, local_spans).filter(F.col("duplicate_of").isNull())
-    children = proposals.rank_in_group(kept, ["image_id"], ["y0", "x0", "id"])
+    children = ranking.rank_in_group(kept, ["image_id"], ["y0", "x0", "id"])
     w, h = (F.col("x1") - F.col("x0")) / 8, (F.col("y1") - F.col("y0")) / 8
     grown = {"x0": F.col("x0") - w, "y0": F.col("y0") - h, "x1": F.col("x1") + w, "y1": F.col("y1") + h}
     items = items.withColumns({k: F.when(F.col("is_group"), v).otherwise(F.col(k)) for k, v in grown.items()})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus, intake
 from ..operators.proposals import numbered
 from ..plans import evidence
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources import readers, sinks
 from . import recipes as R
 from .intake_q import CHECKED, NORMED, PRIOR_RUN
@@ -159,13 +159,16 @@ def label_reader(spark, d):
     return rows.groupBy(F.col("image_id").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("cx"))
 
 
-@query("selection_sink", with_(R.IMAGES) + "SELECT image_id, row_number() OVER (ORDER BY path) AS id, sha256 FROM images WHERE image_id%3=0")
+URGENT = "select distinct o_custkey as image_id from {orders} where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"
+
+
+@query("selection_sink", with_(R.IMAGES, R.cte("urgent", URGENT)) + "SELECT image_id, id, sha256 FROM (SELECT image_id, row_number() OVER (ORDER BY path) AS id, sha256 FROM images) JOIN urgent USING (image_id)")
 def selection_sink(spark, d):
-    """Chosen catalogue rows written with their hash, and read back."""
+    """The whole catalogue numbered; the images of urgent orders chosen by number, written with their hash, and read back."""
     path = scratch_path(spark, "selection")
-    chosen = R.images(spark, d).filter("image_id % 3 = 0")
-    numbered = readers.number_files(chosen.select("image_id", "path", "sha256"))
-    sinks.select_entries(numbered.select("id", "sha256"), numbered.select("id", "image_id"), path)
+    catalogue = cut(readers.number_files(R.images(spark, d).select("image_id", "path", "sha256")))
+    choices = R.derive(spark, d, URGENT).join(catalogue, "image_id").select("id", "image_id")
+    sinks.select_entries(catalogue.select("id", "sha256"), choices, path)
     return spark.read.parquet(path).select("image_id", "id", "sha256")
 
 

@@ -158,3 +158,28 @@ def test_nearest_of_far_points_from_a_dense_plan(rows):
         assert ((plan, i) in got) == bool(own)
         if own:
             assert got[plan, i][0] == own[0][1] and abs(got[plan, i][1] - own[0][0]) < 1e-9
+
+
+def test_nearest_with_one_outlier_and_a_dense_cluster(spark, rows, monkeypatch):
+    """A third of all rows in one plan, one anchor far off, equal points and equal anchors; pairs stay in proportion to the rows."""
+    rnd = random.Random(7)
+    anc = [(1, k, rnd.gauss(0, 1), rnd.gauss(0, 1)) for k in range(3_000)] + [(1, 5_000, 1e7, 1e7)] + [(1, 6_000 + k, 0.25, 0.25) for k in range(40)]
+    anc += [(2 + k % 50, k, rnd.random(), rnd.random()) for k in range(200)]
+    pts = [(1, k, rnd.gauss(0, 2), rnd.gauss(0, 2)) for k in range(1_500)] + [(1, 2_000 + k, 9e6, 8e6) for k in range(50)] + [(1, 3_000 + k, 0.25, 0.25) for k in range(300)]
+    pts += [(2 + k % 50, 9_000 + k, rnd.random(), rnd.random()) for k in range(300)]
+    pairs, plain = [], spatial.spread_join
+
+    def counted(big, small, keys, limit=1 << 16):
+        out = plain(big, small, keys, 100)  # so that hot nodes are dealt out
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "spread_join", counted)
+    schema = "plan_id int, id int, ax double, ay double"
+    found = spatial.nearest_in_plan(rows(schema, *pts), rows(schema, *anc), leaf=16)
+    got = {(r.plan_id, r.id): (r.nearest, r.distance) for r in found.collect()}
+    assert len(got) == len(pts) and sum(pairs) < 150 * len(pts)
+    for plan, i, x, y in pts:
+        d, k = min((math.hypot(a[2] - x, a[3] - y), a[1]) for a in anc if a[0] == plan)
+        assert got[plan, i][0] == k and abs(got[plan, i][1] - d) <= 1e-9 * max(1, d)
+    assert spatial.nearest_in_plan(rows(schema, (1, 1, 0.0, 0.0)), rows(schema)).count() == 0
