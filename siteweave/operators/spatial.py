@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut
+from .cover import inside_polygons
 from .overlap import PAIR_LIMIT, box_pairs
 from .ranking import running_total, spread_join
 
@@ -50,16 +51,6 @@ def collisions(
     )
 
 
-def outline_box(poly: str = "poly") -> list[Column]:
-    """``_x0, _y0, _x1, _y1`` of an outline: what lies outside needs no look at its edges."""
-    axis = lambda c: F.transform(poly, lambda p: p[c])
-    return [f(axis(c)).alias(f"_{c}{k}") for k, f in ((0, F.array_min), (1, F.array_max)) for c in "xy"]
-
-
-def in_outline_box(x: Column, y: Column) -> Column:
-    return (x >= F.col("_x0")) & (x <= F.col("_x1")) & (y >= F.col("_y0")) & (y <= F.col("_y1"))
-
-
 def corner_inside(edges: Column, corners: str = "c") -> list[Column]:
     return [G.contains_edges(x, y, edges) for x, y in G.quad(corners)]
 
@@ -92,26 +83,17 @@ def zone_checks(shapes: DataFrame, zones: DataFrame, boundaries: DataFrame | Non
     return out.unionByName(edge)
 
 
-def water_hits(buildings: DataFrame, waters: DataFrame) -> DataFrame:
+def water_hits(buildings: DataFrame, waters: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     """Building centres inside a water area: ``plan_id, id, water_id``."""
-    w = waters.select(F.col("plan_id").alias("_plan"), "water_id", G.polygon_edges(F.col("poly")).alias("_edges"), *outline_box())
-    near = (F.col("plan_id") == F.col("_plan")) & in_outline_box(F.col("cx"), F.col("cy"))
-    return (
-        buildings.select("plan_id", "id", "cx", "cy")
-        .join(w, near)
-        .filter(G.contains_edges(F.col("cx"), F.col("cy"), F.col("_edges")))
-        .select("plan_id", "id", "water_id")
-    )
+    centres = buildings.select("plan_id", "id", "cx", "cy")
+    return inside_polygons(centres, waters.select("plan_id", "water_id", "poly"), [("cx", "cy")], limit=limit).select("plan_id", "id", "water_id")
 
 
-def footprint_in_water(shapes: DataFrame, waters: DataFrame) -> DataFrame:
+def footprint_in_water(shapes: DataFrame, waters: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     """Footprints with any corner inside a water area."""
-    w = waters.select(F.col("plan_id").alias("_plan"), "water_id", G.polygon_edges(F.col("poly")).alias("_edges"), *outline_box())
-    corners = G.quad("c")
-    near = reduce(lambda s, p: s | in_outline_box(*p), corners, F.lit(False))
-    wet = reduce(lambda s, p: s | (in_outline_box(*p) & G.contains_edges(*p, F.col("_edges"))), corners, F.lit(False))
-    slim = shapes.select("plan_id", "id", *CORNERS)
-    return slim.join(w, (F.col("plan_id") == F.col("_plan")) & near).filter(wet).select("plan_id", "id", "water_id")
+    corners = [(f"c{i}x", f"c{i}y") for i in range(4)]
+    found = inside_polygons(shapes.select("plan_id", "id", *CORNERS), waters.select("plan_id", "water_id", "poly"), corners, limit=limit)
+    return found.select("plan_id", "id", "water_id")
 
 
 def geometry_checks(

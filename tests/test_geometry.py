@@ -183,3 +183,31 @@ def test_nearest_with_one_outlier_and_a_dense_cluster(spark, rows, monkeypatch):
         d, k = min((math.hypot(a[2] - x, a[3] - y), a[1]) for a in anc if a[0] == plan)
         assert got[plan, i][0] == k and abs(got[plan, i][1] - d) <= 1e-9 * max(1, d)
     assert spatial.nearest_in_plan(rows(schema, (1, 1, 0.0, 0.0)), rows(schema)).count() == 0
+
+
+def _inside(x, y, ring):
+    return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+
+def test_points_in_polygons_of_a_hot_plan_equal_brute_force(spark, rows):
+    """One plan holds most points and polygons: tiny and huge ones, notches, points on edges and corners."""
+    rnd = random.Random(17)
+    rings = []
+    for k in range(60):
+        cx, cy, r = rnd.uniform(-500, 500), rnd.uniform(-500, 500), rnd.choice([0.5, 3, 40, 300])
+        n = rnd.choice([3, 4, 9])
+        rings.append((1 if k < 50 else 2, f"w{k}", [(cx + r * rnd.uniform(0.3, 1) * math.cos(6.283 * j / n), cy + r * rnd.uniform(0.3, 1) * math.sin(6.283 * j / n)) for j in range(n)]))
+    rings += [(1, "square", [(0.0, 0.0), (64.0, 0.0), (64.0, 64.0), (0.0, 64.0)]), (1, "line", [(0.0, 0.0), (9.0, 0.0)]), (1, "flat", [(0.0, 5.0), (9.0, 5.0), (4.0, 5.0)]), (3, "alone", [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)])]
+    pts = [(1 if k < 500 else 2, k, rnd.uniform(-500, 500), rnd.uniform(-500, 500)) for k in range(600)]
+    pts += [(1, 1_000 + k, float(x), float(y)) for k, (x, y) in enumerate((x, y) for x in (0, 16, 32, 64) for y in (0, 16, 40, 64))]
+    pts += [(1, 2_000 + k, *ring[k % len(ring)]) for k, (p, _, ring) in enumerate(rings) if p == 1]
+    b = rows("plan_id int, id int, cx double, cy double", *pts)
+    waters = spark.createDataFrame([(p, n, [{"x": x, "y": y} for x, y in ring]) for p, n, ring in rings], "plan_id int, water_id string, poly array<struct<x:double,y:double>>")
+    want = sorted((p, i, n) for p, i, x, y in pts for q, n, ring in rings if p == q and len(ring) > 2 and _inside(x, y, ring))
+    for limit in (10**6, 100, 1):
+        assert sorted(tuple(r) for r in spatial.water_hits(b, waters, limit).collect()) == want, limit
+    quads = [(p, i, *(v for u, w in ((-5, -5), (5, -5), (5, 5), (-5, 5)) for v in (x + u, y + w))) for p, i, x, y in pts]
+    shapes = rows("plan_id int, id int, " + ", ".join(f"c{i}{a} double" for i in range(4) for a in "xy"), *quads)
+    wet = sorted((q[0], q[1], n) for q in quads for p, n, ring in rings if p == q[0] and len(ring) > 2 and any(_inside(q[2 + 2 * i], q[3 + 2 * i], ring) for i in range(4)))
+    for limit in (10**6, 100):
+        assert sorted(tuple(r) for r in spatial.footprint_in_water(shapes, waters, limit).collect()) == wet, limit
