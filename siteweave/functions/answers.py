@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: what must not leave the house, by check name
@@ -35,18 +35,20 @@ def strip_fence(text: Column) -> Column:
     return F.when(plain.rlike(FENCED), F.regexp_extract(plain, FENCED, 1)).otherwise(plain)
 
 
-def parse_strict(text: Column) -> Column:
-    """The answer as VARIANT where it is one JSON object, at most in a fence; null for anything around it.
+def with_strict_json(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Adds ``into``: the answer as VARIANT where it is one JSON object, at most in a fence; null for anything around it.
 
-    The parser stops after the first value, so the text is also read as a member
-    of an array and of an object: whatever follows it breaks one of the two.
+    The parser stops after the first value, so the text is read as an array's
+    content: a second member is text behind the object. Only a text with a closing
+    bracket could end that array early; it is read as an object's member as well.
     """
-    body = strip_fence(text)
-    value = F.try_parse_json(body)
-    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"a":'), body, F.lit("}")))
-    alone = F.startswith(F.ltrim(body), F.lit("{")) & named.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
-    return F.when(alone & listed.isNotNull(), value)
+    body, listed = "_body", "_listed"
+    df = df.withColumn(body, strip_fence(F.col(text)))
+    object_like = F.startswith(F.ltrim(body), F.lit("{"))
+    df = df.withColumn(listed, F.when(object_like, F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit("]")))))
+    named = F.try_parse_json(F.concat(F.lit('{"a":'), F.col(body), F.lit("}")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & (~F.contains(body, F.lit("]")) | named.isNotNull())
+    return df.withColumn(into, F.when(F.col(listed).isNotNull() & alone, F.try_variant_get(listed, "$[0]", "variant"))).drop(body, listed)
 
 
 def outer_object(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.answers import model_matches, parse_strict
+from ..functions.answers import model_matches, with_strict_json
 from .ranking import latest
 
 # fixed values: each stage needs exactly one prior stage
@@ -37,7 +37,7 @@ def gate(runs: DataFrame) -> DataFrame:
         .when(F.col("parsed").isNull(), "not_json")
         .when(F.col("issues") > 0, "invalid")
     )
-    return runs.withColumn("parsed", parse_strict(F.col("answer"))).withColumn("refused", reason)
+    return with_strict_json(runs, "answer", "parsed").withColumn("refused", reason)
 
 
 def latest_accepted(gated: DataFrame, keys: Sequence[str] = ("image_id", "stage", "label")) -> DataFrame:
@@ -158,27 +158,6 @@ def decode_path(text: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), raw)
 
 
-def normalize_envelope(docs: DataFrame) -> DataFrame:
-    """Plan answers with metadata filled in, kept only where the whole result then passes.
-
-    ``docs``: doc_id, requested_stage, stage, anchor_status, issues_after (issues
-    left once normalised). Adds ``changes`` (how many were applied).
-    """
-    fill = F.col("stage").isNull()
-    alias = (F.col("requested_stage") == "plan_buildings") & (F.col("anchor_status") == ANCHOR_ALIAS[0])
-    wanted = fill.cast("int") + F.coalesce(alias, F.lit(False)).cast("int")
-    use = (wanted > 0) & (F.col("issues_after") == 0)
-    return docs.withColumns(
-        {
-            "stage": F.when(use & fill, F.col("requested_stage")).otherwise(F.col("stage")),
-            "anchor_status": F.when(use & F.coalesce(alias, F.lit(False)), F.lit(ANCHOR_ALIAS[1])).otherwise(
-                F.col("anchor_status")
-            ),
-            "changes": F.when(use, wanted).otherwise(F.lit(0)),
-        }
-    )
-
-
 def normalization_report(gated: DataFrame, changes: DataFrame, issues: DataFrame, warnings: DataFrame) -> DataFrame:
     """One row per accepted run: changes, issues after them, warnings."""
     out = gated.filter(F.col("refused").isNull()).select("run_id")

@@ -94,11 +94,6 @@ def gate(plans: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.filter("draft_issues is null").drop("draft_issues"), joined.filter("draft_issues is not null")
 
 
-def repair_accounting(assignments: DataFrame) -> DataFrame:
-    """Ownership rebuilt from scratch: one claim per assignment."""
-    return assignments.select("plan_id", "source_id", F.col("target").alias("owner"))
-
-
 def lock_violations(locks: DataFrame, buildings: DataFrame) -> DataFrame:
     """Locked observations a layout edit moved: ``plan_id, id, fields`` (how many)."""
     now = buildings.select("plan_id", "id", *OBSERVED)

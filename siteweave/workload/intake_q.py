@@ -156,19 +156,6 @@ def normalized_roles(spark, d):
     return s.select("doc_id", "id", F.explode(intake.normalize_roles(F.col("segs"))).alias("s")).select("doc_id", "id", "s.*")
 
 
-ENV = "select o_orderkey as doc_id, 'plan_buildings' as requested_stage, case when o_orderkey%3=0 then cast(null as string) else 'plan_buildings' end as stage, case when o_orderkey%4=0 then 'partial_visible' else 'inferred' end as anchor_status, o_orderkey%5 % 2 as issues_after from {orders}"
-
-
-@query(
-    "normalized_envelope",
-    with_(R.cte("e", ENV))
-    + """, w AS (SELECT *, (stage IS NULL)::INT + (anchor_status='partial_visible')::INT AS n FROM e) SELECT doc_id, CASE WHEN n>0 AND issues_after=0 AND stage IS NULL THEN requested_stage ELSE stage END AS stage,
-  CASE WHEN n>0 AND issues_after=0 AND anchor_status='partial_visible' THEN 'visible_partial' ELSE anchor_status END AS anchor_status, CASE WHEN issues_after=0 THEN n ELSE 0 END AS changes FROM w""",
-)
-def normalized_envelope(spark, d):
-    return intake.normalize_envelope(R.derive(spark, d, ENV)).select("doc_id", "stage", "anchor_status", "changes")
-
-
 @query(
     "normalization_report",
     with_(R.RUNS) + GATED

@@ -43,8 +43,10 @@ def apply_changes(spark, d):
 @query(
     "ownership_after_changes",
     with_(*EDITS_SQL)
-    + ", mv AS (SELECT cl.plan_id, source_id, CASE WHEN rm.id IS NOT NULL THEN merge_into ELSE owner END AS owner FROM cl LEFT JOIN rm ON rm.plan_id=cl.plan_id AND rm.id=cl.owner), tg AS (SELECT DISTINCT plan_id, merge_into FROM rm WHERE merge_into IS NOT NULL) "
-    + "SELECT DISTINCT mv.* FROM mv JOIN tg ON tg.plan_id=mv.plan_id AND tg.merge_into=mv.owner UNION ALL SELECT mv.* FROM mv WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.plan_id=mv.plan_id AND tg.merge_into=mv.owner)",
+    + ", mv AS MATERIALIZED (SELECT cl.plan_id, source_id, CASE WHEN rm.id IS NOT NULL THEN merge_into ELSE owner END AS owner FROM cl LEFT JOIN rm ON rm.plan_id=cl.plan_id AND rm.id=cl.owner), "
+    + "tg AS MATERIALIZED (SELECT DISTINCT plan_id, merge_into FROM rm WHERE merge_into IS NOT NULL), "
+    + "mk AS MATERIALIZED (SELECT mv.*, tg.merge_into IS NOT NULL AS target FROM mv LEFT JOIN tg ON tg.plan_id=mv.plan_id AND tg.merge_into=mv.owner) "
+    + "SELECT DISTINCT plan_id, source_id, owner FROM mk WHERE target UNION ALL SELECT plan_id, source_id, owner FROM mk WHERE NOT target",
 )
 def ownership_after_changes(spark, d):
     return revised(spark, d)[2][1]
@@ -459,14 +461,6 @@ def draft_routing(spark, d):
     )
 
 
-@query(
-    "repaired_ownership",
-    with_(R.cte("cl", CL)) + "SELECT plan_id, source_id, owner FROM cl",
-)
-def repaired_ownership(spark, d):
-    return V.repair_accounting(R.derive(spark, d, CL).withColumnRenamed("owner", "target"))
-
-
 @query(
     "review_context",
     with_(BL, R.cte("cl", CL))

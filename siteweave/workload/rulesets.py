@@ -575,19 +575,3 @@ UNION ALL SELECT doc_id, id, 'ratio', round(w/d,9) FROM bl WHERE d>0 AND w/d NOT
 def shape_diagnostics(spark, d):
     b = R.derive(spark, d, R.BUILDING_TEXT_ROWS).withColumn("corners", F.expr("3 + k % 3"))
     return rules.shape_diagnostics(b).withColumn("actual", F.round("actual", 9))
-
-
-@query(
-    "revalidation_change",
-    with_(R.cte("bl", R.BUILDING_TEXT_ROWS))
-    + f""", old AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, id, 'plan_size' AS rule FROM bl WHERE NOT (w>0 AND w<150 AND d>0 AND d<150)),
-new AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, id, 'plan_size' AS rule FROM bl WHERE NOT (w>0 AND w<500 AND d>0 AND d<500)
-  UNION ALL SELECT CAST(doc_id AS VARCHAR), id, 'plan_or_ratio' FROM bl WHERE NOT ({R.sql_point("cx", "cy")} AND {R.SQL_RATIO_OK}))
-SELECT doc_id, id AS entity_id, rule, bool_or(w) AS was, bool_or(n) AS now FROM (SELECT *, TRUE AS w, FALSE AS n FROM old UNION ALL SELECT *, FALSE, TRUE FROM new) GROUP BY 1,2,3""",
-)
-def revalidation_change(spark, d):
-    """Issues stored under a stricter former size rule against the present rules."""
-    b = R.derive(spark, d, R.BUILDING_TEXT_ROWS)
-    was = {"plan_size": rules.bad((F.col("w") > 0) & (F.col("w") < 150) & (F.col("d") > 0) & (F.col("d") < 150))}
-    now = {k: v for k, v in rules.building_rules().items() if k in ("plan_size", "plan_or_ratio")}
-    return rules.issue_change(rules.row_issues(b, was), rules.row_issues(b, now))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siteweave.functions.answers import with_strict_json
 from siteweave.operators import intake, rules
 from siteweave.plans import cuboid, evidence, publication, revision
 
@@ -70,6 +71,15 @@ def test_gate_and_strict_json(rows):
     assert got == {1: None, 2: "truncated", 3: "wrong_model", 4: "not_json", 5: "invalid", 6: "not_json"}
 
 
+def test_text_around_an_object_is_refused_whatever_it_closes(rows):
+    good = ['{"a":1}', ' \n{"a":[1,{"b":"]"}]} ', '```json\n{"a":"],["}\n```', "{}"]
+    bad = ['{"a":1} tail', '{"a":1},{"b":2}', '{"a":1}],[2', '{"a":1}],"b":[', "[1]", '{"a":1} null', '{"a":1},null', '{"a":1', "1", "null", "", '{"a":1}}', '{"a":1}]']
+    df = rows("n int, answer string", *enumerate(good + bad), (99, None))
+    got = {r.n for r in with_strict_json(df, "answer", "doc").filter("doc is not null").collect()}
+    assert got == set(range(len(good)))
+    assert with_strict_json(df, "answer", "doc").filter("n = 1").selectExpr("variant_get(doc, '$.a[1].b', 'string') as b").first().b == "]"
+
+
 def test_decode_path_needs_numbers(rows):
     df = rows("t string", ("[[1,2],[3,4.5]]",), ("[[1,2]]",), ("[[true,2],[3,4]]",), ("[[1,2],[3,1004]]",), ("nope",))
     assert [r[0] is not None for r in df.select(intake.decode_path(F.col("t"))).collect()] == [True, False, False, False, False]
