@@ -83,23 +83,27 @@ NOTICES = (
 
 
 class RareWordIndex:
-    """Template postings by word, and each template's rarest words as its anchors."""
+    """Template postings by the rarest words of the key phrases, without which a template is not verified."""
 
-    def __init__(self, templates: Sequence[Template], idf: Mapping[bytes, float], anchors: int = 3):
+    def __init__(self, templates: Sequence[Template], idf: Mapping[bytes, float], anchors: int = 2):
         self.templates = templates
         self.words = [t.text.encode().split() for t in templates]
         unseen = max(idf.values(), default=0.0) + 1.0
         weight = lambda w: idf.get(w, unseen)
         self.weights = [[weight(w) for w in words] for words in self.words]
-        self.totals = [sum(w) or 1.0 for w in self.weights]
-        self.keys = [[self._place(words, k.encode().split()) for k in t.keys] for t, words in zip(templates, self.words, strict=True)]
-        #: rare word -> (template, place of the word in it)
+        self.totals = [math.fsum(w) for w in self.weights]
+        self.keys = [[(0, len(words))] if t.base else [self._place(words, k.encode().split()) for k in t.keys] for t, words in zip(templates, self.words, strict=True)]
+        #: rare word -> (template, place of the word in it); and how many words each template is entered by
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = [0] * len(templates)
         for t, words in enumerate(self.words):
-            rarest = sorted(range(len(words)), key=lambda i: (-weight(words[i]), i))
-            for i in rarest[: 1 if templates[t].base else anchors]:
-                self.postings[words[i]].append((t, i))
-        self.rare = frozenset(self.postings)
+            for first, last in self.keys[t]:
+                rarest = sorted(range(first, last), key=lambda i: (-weight(words[i]), i))
+                for i in rarest[:anchors]:
+                    self.postings[words[i]].append((t, i))
+                    self.needed[t] += 1
+        #: the index's words, rarest first
+        self.rare = {w: -weight(w) for w in sorted(self.postings, key=lambda w: (-weight(w), w))}
 
     @staticmethod
     def _place(words: list[bytes], key: list[bytes]) -> tuple[int, int]:
@@ -108,26 +112,56 @@ class RareWordIndex:
                 return i, i + len(key)
         raise ValueError(f"key phrase {b' '.join(key)!r} is not in its template")
 
-    def places(self, words: list[bytes]) -> dict[tuple[int, int], float]:
-        """(template, start in the file) of every verified place, with the share of IDF weight found there."""
-        if self.rare.isdisjoint(words):
+    def starts(self, words: list[bytes]) -> dict[int, set[int]]:
+        """Places where a template may begin: those that all words agree on by which it is entered.
+
+        The file's licence words are taken rarest first, so that a template is given
+        up before a common word is looked at in all its places.
+        """
+        present = self.rare.keys() & set(words)
+        known = defaultdict(int)
+        for w in present:
+            for t, _ in self.postings[w]:
+                known[t] += 1
+        whole = {t for t, n in known.items() if n == self.needed[t]}
+        wanted = {w for w in present if any(t in whole for t, _ in self.postings[w])}
+        if not wanted:
             return {}
-        starts = {(t, i - at) for i, w in enumerate(words) if w in self.rare for t, at in self.postings[w]}
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in wanted:
+                places[w].append(i)
+        found: dict[int, set[int]] = {}
+        for w in sorted(wanted, key=lambda w: (self.rare[w], len(places[w]), w)):
+            for t, at in self.postings[w]:
+                if t not in whole:
+                    continue
+                if t not in found:
+                    found[t] = {i - at for i in places[w]}
+                elif len(found[t]) < len(places[w]) // 16:
+                    found[t] = {s for s in found[t] if 0 <= s + at < len(words) and words[s + at] == w}
+                else:
+                    found[t].intersection_update([i - at for i in places[w]])
+        return {t: s for t, s in found.items() if s}
+
+    def places(self, words: list[bytes]) -> dict[tuple[int, int], float]:
+        """(template, start in the file) of every verified place, with the share of IDF weight found there.
+
+        A place is verified where all key phrases of the template stand; of a base
+        phrase that is the phrase.
+        """
         found = {}
-        for t, start in starts:
-            wanted = self.words[t]
-            same = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(wanted)]
-            if self.templates[t].base:
-                verified = all(same)
-            else:
-                verified = all(all(same[a:b]) for a, b in self.keys[t])
-            if verified:
-                found[t, start] = math.fsum(w for w, ok in zip(self.weights[t], same, strict=True) if ok) / self.totals[t]
+        for t, starts in self.starts(words).items():
+            wanted, keys = self.words[t], self.keys[t]
+            for start in starts:
+                if all(start + a >= 0 and words[start + a : start + b] == wanted[a:b] for a, b in keys):
+                    same = [w for i, w in enumerate(self.weights[t]) if 0 <= start + i < len(words) and words[start + i] == wanted[i]]
+                    found[t, start] = math.fsum(same) / self.totals[t]
         return found
 
 
 def word_idf(documents: DataFrame, templates: Sequence[Template], text_col: str = "text") -> dict[bytes, float]:
-    """IDF over all documents of the words of the templates (a few hundred at most)."""
+    """IDF over all documents of the words of the templates (a few hundred at most); above 0 for words of every document."""
     vocabulary = frozenset(w for t in templates for w in t.text.encode().split())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +180,7 @@ def word_idf(documents: DataFrame, templates: Sequence[Template], text_col: str
     texts = documents.select(F.col(text_col).cast("string").alias("text"))
     counts = {r["word"]: r["n"] for r in map_batches(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop(None, 0)
-    return {w: math.log((total + 1) / (counts.get(w.decode(), 0) + 1)) for w in vocabulary}
+    return {w: math.log(1 + (total + 1) / (counts.get(w.decode(), 0) + 1)) for w in vocabulary}
 
 
 def scan_licenses(
@@ -155,20 +189,21 @@ def scan_licenses(
     notices: Sequence[Template] = NOTICES,
     base: Sequence[Template] = BASE,
     min_share: float = 0.6,
-    anchors: int = 3,
+    anchors: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Licence places of every whole text.
 
     One pass counts in how many documents each template word stands. The second
-    looks up the rarest licence words of a file (a template is entered by its
-    ``anchors`` rarest words, a base phrase by its rarest), turns their postings
-    into starts (place in the file less place in the template), and verifies: a
-    base phrase word by word, a notice by its key phrases at their places. A
-    notice counts when the words found at its start carry ``min_share`` of its
-    IDF weight. Both passes are maps; only the word counts (bounded by the
-    templates) reach the driver.
+    takes a file's licence words, rarest first: a template is entered by the
+    ``anchors`` rarest words of each of its key phrases (a base phrase is its own
+    key), whose places, less the place in the template, are intersected. What all
+    agree on is verified: every key phrase must stand. As no place passes without
+    its key phrases, none is missed by the index, whatever else was edited. A notice
+    counts when the words found at its start carry ``min_share`` of its IDF weight.
+    Both passes are maps; only the word counts (bounded by the templates) reach the
+    driver.
 
     Columns: id, ``n_words, n_base, first_word, last_word, base_labels, labels,
     score, places`` with score the best share (0 without a licence) and places

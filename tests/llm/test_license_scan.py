@@ -1,9 +1,11 @@
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siteweave.llm.license_scan import BASE, NOTICES, RareWordIndex, scan_licenses
+from siteweave.llm.license_scan import BASE, NOTICES, RareWordIndex, scan_licenses, word_idf
 from siteweave.llm.queries import QUERIES
 from .conftest import by_id
 
@@ -59,6 +61,60 @@ def test_notices_need_their_key_phrases(docs):
     assert rows[0]["places"][0]["start"] == 1 and rows[0]["n_base"] == 0
 
 
+def brute_notices(words, index, min_share=0.6):
+    """Every start of every template: key phrases first, then the share of weight."""
+    found = {}
+    for t, template in enumerate(index.templates):
+        wanted = template.text.split()
+        for start in range(-len(wanted), len(words) + 1):
+            same = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(wanted)]
+            keys = [template.text] if template.base else template.keys
+            at = [next(i for i in range(len(wanted)) if wanted[i : i + len(k.split())] == k.split()) for k in keys]
+            if all(all(same[a : a + len(k.split())]) for a, k in zip(at, keys, strict=True)):
+                share = sum(w for w, ok in zip(index.weights[t], same, strict=True) if ok) / sum(index.weights[t])
+                if template.base or share >= min_share:
+                    found[t, start] = share
+    return found
+
+
+def test_labels_and_scores_equal_brute_force(spark, docs):
+    """Notices cut, edited, doubled and run together, in a corpus where their words stand in every document."""
+    rng = random.Random(1)
+    texts = []
+    for template in NOTICES:
+        words = template.text.split()
+        edited = [w if rng.random() > 0.15 else "edit" for w in words]
+        texts += [template.text, " ".join(edited), " ".join(words[2:]), f"{template.text} {rng.choice(NOTICES).text} {template.text}", " ".join(words[: len(words) // 2])]
+    texts += ["the " * 300, "following conditions met"]
+    table = docs(*texts)
+    index = RareWordIndex([*BASE, *NOTICES], word_idf(table, [*BASE, *NOTICES]))
+    rows = by_id(scan_licenses(table), "doc_id")
+    for k, text in enumerate(texts):
+        found = brute_notices(text.split(), index)
+        label = lambda t: index.templates[t].label
+        assert rows[k]["labels"] == ",".join(sorted({label(t) for t, _ in found})), text
+        assert abs(rows[k]["score"] - min(1.0, max(found.values(), default=0.0))) < 1e-9
+        assert rows[k]["places"] is not None and len(rows[k]["places"]) == len(found)
+
+
+def test_edits_outside_the_key_phrase_and_words_of_every_document(docs):
+    bsd = next(t for t in NOTICES if t.label == "bsd").text
+    edited = bsd.replace("following", "next").replace("conditions", "terms").replace("met", "kept")
+    mit = next(t for t in NOTICES if t.label == "mit").text
+    assert by_id(scan_licenses(docs(edited)), "doc_id")[0]["labels"] == "bsd"
+    rows = by_id(scan_licenses(docs(f"{mit} mit license", f"x {mit} mit license")), "doc_id")
+    assert all(r["labels"] == "mit" and r["score"] > 0.99 and r["n_base"] == 1 for r in rows.values())
+    alone = by_id(scan_licenses(docs("MIT License")), "doc_id")[0]
+    assert alone["labels"] == "mit" and alone["score"] == 1
+
+
+def test_many_places_of_a_common_word_cost_a_pass(docs):
+    index = RareWordIndex([*BASE, *NOTICES], {})
+    began = time.process_time()
+    assert index.places(b"the license public general mit".split() * 40_000) == {}
+    assert time.process_time() - began < 2
+
+
 def test_empty_table(docs):
     assert scan_licenses(docs("a").filter("false")).count() == 0
 
