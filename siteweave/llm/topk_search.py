@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import importable
+from .common import map_batches
 
 #: Rows of a block of candidates and of queries: a block of scores is what one task holds.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 512
@@ -103,10 +104,11 @@ def exact_top_k(
     selection keeps ``k`` rows of it. The lists of all blocks are merged per query,
     ties by smaller id.
 
-    Blocks come from hashes of the ids and are bounded in rows; a task sees one
-    block of candidates and one of queries, so queries are sent to every candidate
-    block as a stated query set and nothing is broadcast. Scores are exact while
-    they fit 64 bits.
+    Rows are dealt into blocks by the hash of a running number of the written rows,
+    queries by that of id and vector, of which each stands once; so blocks are bounded
+    in rows however often an id is repeated. A block of candidates meets the blocks
+    of queries, a stated query set, in one join, and is scored where it lies; nothing
+    is broadcast. Scores are exact while they fit 64 bits.
 
     Rows without id, with a null vector or with a null or non-finite component
     take no part; shorter vectors count as zero beyond their end. A repeated row
@@ -120,20 +122,22 @@ def exact_top_k(
     sizes = given.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q")).first()
     n_rows, n_queries = max(1, -(-sizes["n"] // candidate_block)), max(1, -(-(sizes["q"] or 0) // query_block))
 
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("long")
+    block = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("long")
     packed = lambda df, key: df.groupBy(key).agg(
         F.collect_list("id").alias(f"{key}_ids"), F.collect_list("w").alias(f"{key}_weights")
     )
-    rows = packed(given.withColumn("r", block(n_rows, 1)), "r")
-    asked = packed(queries.withColumn("q", block(n_queries, 2)), "q")
+    numbered = given.withColumn("no", F.monotonically_increasing_id())
+    rows = packed(numbered.withColumn("r", block(n_rows, "no")), "r")
+    asked = packed(queries.withColumn("q", block(n_queries, "id", "w")), "q")
     everywhere = asked.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
-    pairs = rows.join(everywhere, "r")
+    pairs = rows.join(everywhere, "r").select("r_ids", "r_weights", "q_ids", "q_weights")
 
-    def run(pair: pa.Table) -> pa.Table:
-        return _score_blocks(*(pair.column(c)[0] for c in ("r_ids", "r_weights", "q_ids", "q_weights")), k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from _score_blocks(*(c[row] for c in batch.columns), k).to_batches()
 
-    importable(vectors.sparkSession)
-    scored = pairs.groupBy("r", "q").applyInArrow(run, "query_id long, id long, score long, query_no long")
+    scored = map_batches(pairs, run, "query_id long, id long, score long, query_no long")
     order = W.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), F.col("id"))
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import pytest
 
@@ -35,3 +36,13 @@ def test_fewer_rows_than_k_and_no_rows(spark):
     assert [tuple(r) for r in exact_top_k(table).collect()] == [(0, 1, 1, 64 * 32)]
     assert exact_top_k(table.filter("vec_id = 0")).count() == 0
     assert exact_top_k(table.filter("false")).count() == 0
+
+
+def test_one_id_with_a_third_of_the_rows(spark):
+    """Repeated rows and one id with many vectors are dealt over blocks; each counts as a candidate, each distinct vector as a query."""
+    rng = random.Random(9)
+    rows = [(60, [1.0, -1.0, 0.5])] * 150 + [(60, [rng.uniform(-1, 1) for _ in range(3)]) for _ in range(5)] + [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(1, 300)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], ROW)
+    found = exact_top_k(table, candidate_block=16, query_block=4)
+    exact = [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]
+    assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute(exact)
