@@ -20,6 +20,9 @@ from .common import as_bytes, cut_words, map_batches, slices
 #: 70 bytes a character, so this bounds a worker's share at some 150 MB.
 BLOCK_CHARS = 2 << 20
 
+#: Items that one window names at once.
+PART_ITEMS = 1 << 10
+
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SPAN = "struct<first:long,last:long,start:long,stop:long>"
 
@@ -54,7 +57,9 @@ def _automaton(sent: Broadcast) -> ahocorasick.Automaton:
     if _BUILT[0] is not sent.value:
         found = ahocorasick.Automaton()
         for window, items in sent.value:
-            found.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, items))
+            word = f" {window.decode('latin-1')} "
+            before = found.get(word, (0, []))[1]  # a window may come in several parts
+            found.add_word(word, (window.count(b" ") + 1, before + items))
         if len(found):
             found.make_automaton()
         _BUILT[:] = sent.value, found
@@ -108,8 +113,8 @@ def contamination(
     ``n_hit > 0`` and ``share * n_hit >= n_words``. Spans give hit runs as words
     and as characters of the text as it was.
 
-    The windows go to the executors in blocks of at most ``block_chars``
-    characters, one automaton each: one block for a usual benchmark, so texts are
+    The windows and the ids of their items go to the executors in blocks of about
+    ``block_chars`` characters, one automaton each: one block for a usual benchmark, so texts are
     read once by a map; a larger benchmark takes a further pass per block, whose
     hits are merged per text. No document is shuffled with its text.
 
@@ -120,10 +125,14 @@ def contamination(
     """
     spark = documents.sparkSession
     windows = item_windows(benchmark, window, item_col, item_text_col)
-    total = windows.agg(F.sum(F.length("window") + 2).alias("n")).first()["n"] or 0
+    # a window that very many items share comes in parts, so that what is sent stays bounded whatever is shared
+    parts = F.sequence(F.lit(1), F.size("items"), F.lit(PART_ITEMS))
+    windows = windows.select("window", F.explode(F.transform(parts, lambda p: F.slice("items", p, PART_ITEMS))).alias("items"))
+    size = F.length("window") + 2 + F.aggregate("items", F.lit(0), lambda n, item: n + F.octet_length(item) + 1)
+    total = windows.agg(F.sum(size).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))
     if blocks > 1:
-        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))))
+        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("window", "items"), F.lit(blocks))))
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("*", F.xxhash64("text").alias("text_hash"))
     kind = texts.schema["_id"].dataType.simpleString()

@@ -51,6 +51,17 @@ def test_flags_equal_brute_force(spark, docs, clashing, block):
     assert result(found) == brute(rows, ITEMS)
 
 
+@pytest.mark.parametrize("block", [D.BLOCK_CHARS, 400])
+def test_a_prompt_that_a_third_of_the_items_share(spark, docs, monkeypatch, block):
+    """Its windows name all those items; they are sent in parts, over several passes."""
+    monkeypatch.setattr(D, "PART_ITEMS", 7)
+    prompt = " ".join(f"p{k}" for k in range(15))
+    items = [(k, f"{prompt} own{k} " + " ".join(f"i{k}w{j}" for j in range(14))) if k % 3 == 0 else (k, " ".join(f"i{k}w{j}" for j in range(16))) for k in range(90)]
+    rows = list(enumerate([prompt, f"a b {prompt} own9 i9w0", items[1][1], items[3][1] + " x " + items[4][1], "clean"]))
+    found = D.contamination(docs(*rows), spark.createDataFrame(items, ITEM), block_chars=block)
+    assert result(found) == brute(rows, items)
+
+
 def test_spans_point_into_the_text_as_it_was(spark, docs):
     text = "Né, " + "; ".join(q[:15]).upper() + "."
     row = D.contamination(docs(text), spark.createDataFrame([(1, " ".join(q[:15]))], ITEM)).first()
