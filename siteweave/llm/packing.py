@@ -148,13 +148,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, group: int = 40_000, id_col: str = "doc_id") -> DataFrame:
     """Adds ``sequence_id, offset`` to pieces of at most ``capacity`` tokens.
 
-    Pieces are dealt by hash into groups of about ``group``, so that a group fits
-    a task whatever the number of pieces; each is packed by itself and leaves a
+    Pieces are dealt by the hash of a running number of their written rows into
+    groups of about ``group``, so that a group fits a task whatever the number of
+    pieces and however often one is repeated; each is packed by itself and leaves a
     few unfilled bins in tens of thousands.
     """
     pieces = cut(pieces)
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
+    numbered = pieces.withColumn("_group", F.monotonically_increasing_id())
+    dealt = numbered.withColumn("_group", F.pmod(F.xxhash64("_group"), F.lit(groups)))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -90,3 +91,12 @@ def test_packs_close_to_the_bound():
     lengths = np.sort(np.random.default_rng(3).integers(1, 2049, 20_000))[::-1]
     bins, _ = P.sum_of_squares(lengths, 2048)
     assert bins.max() + 1 <= 1.01 * lengths.sum() / 2048
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    """A third and more of all pieces are one row over and over: groups stay near their size."""
+    rows = [(None, 0, 0, 1, 7)] * 3_000 + [(k, 0, 0, 1 + k % 9, k) for k in range(3_000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = P.pack_pieces(pieces, capacity=16, group=500).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(packed) == 6_000 and len(sizes) == 12 and max(sizes.values()) < 1_000
