@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .corpus import resolve_path
+
 
 def counts(rows: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     return rows.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("n"))
@@ -117,3 +119,16 @@ def distinct_sorted(rows: DataFrame, keys: Sequence[str], value: str | Column, n
     """Sorted set of a low-cardinality attribute such as the model name."""
     v = F.col(value) if isinstance(value, str) else value
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_set(v)).alias(name))
+
+
+def run_matches(structures: DataFrame, audits: DataFrame) -> DataFrame:
+    """Structure runs with the audit that names them as its prior: ``output_dir, audit_dir``.
+
+    ``structures``: output_dir; ``audits``: pos (their order), prior_dir, output_dir,
+    exit_code. Paths are compared resolved, so that ``a/./b``, ``a//b`` and ``a/c/../b``
+    are one. Failed audits do not count; of several the last one does. Structures
+    without an audit are left out.
+    """
+    good = audits.filter(F.col("exit_code") == 0).select(resolve_path(F.col("prior_dir")).alias("_path"), "pos", F.col("output_dir").alias("audit_dir"))
+    last = good.groupBy("_path").agg(F.max_by("audit_dir", "pos").alias("audit_dir"))
+    return structures.withColumn("_path", resolve_path(F.col("output_dir"))).join(last, "_path").drop("_path")

@@ -300,3 +300,28 @@ def scene_documents(parts: DataFrame, chunk: int = 1000, keys: Sequence[str] = (
     return numbered.groupBy(*keys, "kind", "parts", "part").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct(*body)))).alias("entries")
     )
+
+
+def chosen_ratio(hypotheses: DataFrame, keys: Sequence[str] = ("scene_id", "id"), fallback: float = 3.0) -> DataFrame:
+    """Aspect ratio of each house out of a table of tried ones: ``keys, ratio, accepted, best_ratio, best_iou, fallback_iou, gain``.
+
+    ``hypotheses``: keys, ratio, iou, observability (of the depth axis, the same in
+    all rows of a house). The best overlap wins, ties go to the ratio nearest
+    ``fallback``, then to the smaller one. It is accepted where the depth axis can be
+    seen, the overlap is good enough and better than the fallback's by a margin;
+    otherwise the fallback stands. A house without a row of the fallback has no gain
+    and keeps the fallback.
+    """
+    order = F.struct("iou", -F.abs(F.col("ratio") - fallback), -F.col("ratio"))
+    best = hypotheses.groupBy(*keys).agg(
+        F.max_by("ratio", order).alias("best_ratio"),
+        F.max("iou").alias("best_iou"),
+        F.max(F.when(F.col("ratio") == fallback, F.col("iou"))).alias("fallback_iou"),
+        F.max("observability").alias("_seen"),
+    )
+    gain = F.col("best_iou") - F.col("fallback_iou")
+    # fixed values: gates of visibility, overlap and gain
+    accepted = F.coalesce((F.col("_seen") >= 0.35) & (F.col("best_iou") >= 0.38) & (gain >= 0.05), F.lit(False))
+    return best.withColumns({"gain": gain, "accepted": accepted}).select(
+        *keys, F.when(F.col("accepted"), F.col("best_ratio")).otherwise(F.lit(fallback)).alias("ratio"), "accepted", "best_ratio", "best_iou", "fallback_iou", "gain"
+    )

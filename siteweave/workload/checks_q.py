@@ -142,23 +142,6 @@ def typed_answers(spark, d):
     return good.unionByName(bad.select(F.col("doc_id").alias("run_id"), F.lit(None).cast("bigint").alias("k"), "rule"))
 
 
-@query(
-    "label_reader",
-    "SELECT c_nationkey AS part, count(*) AS n, sum(CASE WHEN c_custkey%3=0 THEN 0.25 ELSE 0.5 END)::DOUBLE AS cx FROM customer WHERE c_custkey%5<>0 GROUP BY 1",
-)
-def label_reader(spark, d):
-    """Label lines of the building class with five fields, from text files; others are left out."""
-    path = scratch_path(spark, "label-lines")
-    c = R.table(spark, d, "customer")
-    line = F.expr("concat(case when c_custkey%5=0 then '0' else '1' end, ' ', case when c_custkey%3=0 then '0.25' else '0.5' end, ' 0.5 0.2 0.2')")
-    c.select(F.col("c_nationkey").alias("part"), line.alias("value")).write.partitionBy("part").text(path)
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.regexp_extract(F.input_file_name(), r"part=(\d+)", 1).alias("image_id"), F.col("value").alias("line")
-    )
-    rows = corpus.label_rows(lines)
-    return rows.groupBy(F.col("image_id").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("cx"))
-
-
 URGENT = "select distinct o_custkey as image_id from {orders} where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"
 
 
