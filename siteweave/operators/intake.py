@@ -158,13 +158,28 @@ def decode_path(text: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), raw)
 
 
-def normalization_report(gated: DataFrame, changes: DataFrame, issues: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row per accepted run: changes, issues after them, warnings."""
-    out = gated.filter(F.col("refused").isNull()).select("run_id")
-    for name, rows in (("changes", changes), ("issues", issues), ("warnings", warnings)):
-        n = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
-        out = out.join(n, "run_id", "left")
-    return out.fillna(0)
+def normalization_report(gated: DataFrame, objects: DataFrame, stage: str = "inventory") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row for each run that can be normalised, its objects per category, refused runs with the reason).
+
+    ``gated``: run_id, stage, refused (see :func:`gate`); ``objects``: run_id, id,
+    category, box, occluder. A refused answer, or one of another stage, is not touched.
+    The others get their category alias resolved; the report counts those changes,
+    the issues left afterwards, and the boxes that are labelled both tree and
+    mountain, which is a matter for a reviewer and not for a rule.
+    """
+    from .overlap import coincident_pairs
+    from .rules import inventory_issues
+
+    why = F.coalesce("refused", F.when(~F.coalesce(F.col("stage") == stage, F.lit(False)), F.lit("wrong_stage")))
+    judged = gated.select("run_id", why.alias("reason"))
+    good = judged.filter("reason is null").select("run_id")
+    normal, changes = normalize_category(objects.join(good, "run_id", "left_semi"))
+    issues = inventory_issues(normal.withColumn("doc_id", F.col("run_id"))).select(F.col("doc_id").alias("run_id"))
+    out = good
+    for name, rows in (("changes", changes), ("issues", issues), ("warnings", coincident_pairs(normal, "tree", "mountain", ["run_id"]))):
+        out = out.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name)), "run_id", "left")
+    counts = normal.groupBy("run_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    return out.fillna(0), counts, judged.filter("reason is not null")
 
 
 def gather_candidates(tiles: DataFrame, answers: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators.spatial import nearest_in_plan
+from ..session import cut
 from .revision import OBSERVED, move_ownership
 
 KEEP = ("keep", "uncertain")
@@ -22,21 +23,30 @@ def load_evidence(
     ``decisions``: plan_id, run_id, id. ``runs``: run_id, complete (accepted and
     valid), crop, meta_crop, source_sha256, plan_sha256. ``plans``: plan_id,
     source_sha256, plan_sha256. ``selection``: run_id, id pairs to use; without
-    it all decisions of a run count. A plan id decided twice is ambiguous.
+    it all decisions of a run count. A run whose selection names an id twice or one
+    that it has not decided is refused with all its decisions. A plan id decided
+    twice is ambiguous.
     """
+    wrong = None
     if selection is not None:
-        decisions = decisions.join(selection.select("run_id", "id"), ["run_id", "id"], "left_semi")
+        wrong = selection_issues(selection, decisions.select("run_id", "id").distinct(), ["run_id"]).select("run_id").distinct().withColumn("_wrong", F.lit(True))
+        chosen = selection.select("run_id", "id").distinct().withColumn("_chosen", F.lit(True))
+        marked = decisions.join(chosen, ["run_id", "id"], "left").join(wrong, "run_id", "left")
+        # written, because the repeats are counted over the same rows
+        marked = cut(marked.filter("_chosen or _wrong").select(*decisions.columns, "_wrong"))
+        decisions, wrong = marked.drop("_wrong"), marked
     r = runs.select(
         "run_id", "complete", F.col("crop").alias("_crop"), F.col("meta_crop").alias("_meta"),
         F.col("source_sha256").alias("_source"), F.col("plan_sha256").alias("_plan"),
     )
-    joined = decisions.join(r, "run_id", "left").join(
+    joined = (decisions.withColumn("_wrong", F.lit(None).cast("boolean")) if wrong is None else wrong).join(r, "run_id", "left").join(
         plans.select("plan_id", "source_sha256", "plan_sha256"), "plan_id", "left"
     )
     repeats = decisions.groupBy("plan_id", "id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     joined = joined.join(repeats, ["plan_id", "id"], "left")
     reason = (
-        F.when(~F.coalesce("complete", F.lit(False)), "incomplete_run")
+        F.when(F.col("_wrong"), "invalid_selection")
+        .when(~F.coalesce("complete", F.lit(False)), "incomplete_run")
         .when(~F.coalesce(F.col("_source") == F.col("source_sha256"), F.lit(False)), "source_changed")
         .when(~F.coalesce(F.col("_plan") == F.col("plan_sha256"), F.lit(False)), "other_snapshot")
         .when(~F.coalesce(F.col("_crop") == F.col("_meta"), F.lit(False)), "crop_differs")

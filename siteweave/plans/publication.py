@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import rules
+
 EDITS = ("replace", "remove", "add")
 
 
+def schema_issues(buildings: DataFrame, zones: DataFrame, elements: DataFrame, boundaries: DataFrame, pending: DataFrame) -> DataFrame:
+    """What the rules of a plan object to, for the gate: ``doc_id, entity_id, rule``.
+
+    The rule sets of buildings (with their zones), terrain and boundary, and pending
+    markers, each in one pass; see :mod:`siteweave.operators.rules` for the columns.
+    """
+    return rules.all_of(rules.building_issues(buildings, zones), rules.terrain_issues(elements, boundaries), rules.pending_issues(pending, buildings))
+
+
 def publication_gate(
     plans: DataFrame, reviews: DataFrame, pending_edits: DataFrame, issues: DataFrame, findings: DataFrame
 ) -> DataFrame:
@@ -48,7 +59,7 @@ def publication_gate(
 
 
 def manifest(gate: DataFrame, plans: DataFrame, images: DataFrame, pending: DataFrame, findings: DataFrame) -> DataFrame:
-    """Publication rows of the plans that pass: hashes, counts of what stays open, status."""
+    """Publication rows of the plans that pass: hashes, counts of what stays open, status; :func:`open_items` names it."""
     p = pending.groupBy("plan_id").agg(F.count(F.lit(1)).alias("pending"))
     f = findings.groupBy("plan_id").agg(F.count(F.lit(1)).alias("findings"))
     return (
@@ -63,6 +74,20 @@ def manifest(gate: DataFrame, plans: DataFrame, images: DataFrame, pending: Data
     )
 
 
+def open_items(gate: DataFrame, pending: DataFrame, findings: DataFrame) -> DataFrame:
+    """What a published plan leaves open, a row each: ``plan_id, section, id, text``.
+
+    Pending candidates by id, findings by building with their kind and what they
+    meet. Rows, not one list a plan: a plan may have any number of them.
+    """
+    passed = gate.filter("publishable").select("plan_id")
+    text = F.concat_ws(" ", "severity", "kind", "other")
+    rows = pending.select("plan_id", F.lit("pending").alias("section"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("text")).unionByName(
+        findings.select("plan_id", F.lit("finding").alias("section"), F.col("id").cast("string").alias("id"), text.alias("text"))
+    )
+    return rows.join(passed, "plan_id", "left_semi")
+
+
 def accepted_hypotheses(alternatives: DataFrame, decisions: DataFrame) -> DataFrame:
     """Alternatives with ``accepted``: usable, and corners echoed in order or shape-only."""
     on = ["doc_id", "instance_id", "alternative_id"]

@@ -156,16 +156,49 @@ def normalized_roles(spark, d):
     return s.select("doc_id", "id", F.explode(intake.normalize_roles(F.col("segs"))).alias("s")).select("doc_id", "id", "s.*")
 
 
+COARSE_OBJECTS = "coarse AS (SELECT * REPLACE (name AS id, x0-x0%500 AS x0, y0-y0%500 AS y0, x0-x0%500+100 AS x1, y0-y0%500+100 AS y1) FROM objects)"
+SURVEYS = """select run_id, case when k%11=0 then 'length' else 'stop' end as finish_reason, 'm-1' as model_requested, case when k%13=0 then 'n' else 'm-1-2024' end as model_returned, cast(0 as bigint) as issues,
+  case when k%17=0 then '[]' else concat(chr(123), chr(125)) end as answer, case when k%7=0 then 'review' else 'inventory' end as stage from (select concat(cast(o_custkey as string), ':', o_orderstatus) as run_id, min(o_orderkey) as k from {orders} group by 1) t"""
+REPORTED = (
+    R.OBJECTS,
+    COARSE_OBJECTS,
+    R.cte("sv", SURVEYS),
+    "jd AS (SELECT run_id, CASE WHEN finish_reason<>'stop' THEN 'truncated' WHEN model_returned='n' THEN 'wrong_model' WHEN answer='[]' THEN 'not_json' WHEN stage<>'inventory' THEN 'wrong_stage' END AS reason FROM sv)",
+    "nm AS (SELECT c.* REPLACE (CASE WHEN category='tree_group' THEN 'tree' ELSE category END AS category), category='tree_group' AS aliased FROM coarse c JOIN jd USING (run_id) WHERE reason IS NULL)",
+    """bad AS (SELECT run_id FROM nm WHERE category NOT IN ('house','tree','mountain','water','flat','other')
+  UNION ALL SELECT run_id FROM nm WHERE NOT (0<=x0 AND x0<x1 AND x1<=1000 AND 0<=y0 AND y0<y1 AND y1<=1000) UNION ALL SELECT run_id FROM nm GROUP BY run_id, id HAVING count(*)>1
+  UNION ALL SELECT run_id FROM (SELECT DISTINCT run_id, id FROM nm a WHERE occluder IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nm b WHERE b.run_id=a.run_id AND b.id=a.occluder)))""",
+    "wn AS (SELECT a.run_id FROM nm a JOIN nm b ON a.run_id=b.run_id AND a.x0=b.x0 AND a.y0=b.y0 AND a.x1=b.x1 AND a.y1=b.y1 AND a.category='tree' AND b.category='mountain')",
+)
+
+
+def _report(spark, d):
+    o = R.objects(spark, d)
+    snapped = {"x0": F.expr("x0 - x0 % 500"), "y0": F.expr("y0 - y0 % 500"), "x1": F.expr("x0 - x0 % 500 + 100"), "y1": F.expr("y0 - y0 % 500 + 100")}
+    o = o.withColumns(snapped).withColumn("id", F.col("name"))
+    return intake.normalization_report(intake.gate(R.derive(spark, d, SURVEYS)), o)
+
+
 @query(
     "normalization_report",
-    with_(R.RUNS) + GATED
-    + """ SELECT run_id, CASE WHEN event_type='click' THEN 1 ELSE 0 END::BIGINT AS changes, CASE WHEN value>50 THEN 1 ELSE 0 END::BIGINT AS issues, CASE WHEN value<10 THEN 1 ELSE 0 END::BIGINT AS warnings FROM gated JOIN events ON event_id=run_id WHERE refused IS NULL""",
+    with_(*REPORTED)
+    + """SELECT jd.run_id, coalesce(c.n,0) AS changes, coalesce(i.n,0) AS issues, coalesce(w.n,0) AS warnings FROM jd LEFT JOIN (SELECT run_id, count(*) AS n FROM nm WHERE aliased GROUP BY 1) c ON c.run_id=jd.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n FROM bad GROUP BY 1) i ON i.run_id=jd.run_id LEFT JOIN (SELECT run_id, count(*) AS n FROM wn GROUP BY 1) w ON w.run_id=jd.run_id WHERE reason IS NULL""",
 )
 def normalization_report(spark, d):
-    e = R.table(spark, d, "events").withColumnRenamed("event_id", "run_id")
-    return intake.normalization_report(
-        intake.gate(R.runs(spark, d)), e.filter("event_type = 'click'"), e.filter("value > 50"), e.filter("value < 10")
-    )
+    """Changes, issues left and warnings of every survey answer that can be normalised."""
+    return _report(spark, d)[0]
+
+
+@query("normalized_counts", with_(*REPORTED) + "SELECT run_id, category, count(*) AS n FROM nm GROUP BY 1,2")
+def normalized_counts(spark, d):
+    return _report(spark, d)[1]
+
+
+@query("refused_normalizations", with_(*REPORTED) + "SELECT run_id, reason FROM jd WHERE reason IS NOT NULL")
+def refused_normalizations(spark, d):
+    """Cut-off, foreign and malformed answers, and those of another stage."""
+    return _report(spark, d)[2]
 
 
 @query(

@@ -13,7 +13,7 @@ from ..plans import revision as V
 from . import recipes as R
 from .registry import ORACLES, query, with_
 from .rulesets import CHANGES as CHANGE_ROWS  # noqa: F401
-from .rulesets import GC_ALT, GC_DEC
+from .rulesets import BUILDING_ISSUES, GC_ALT, GC_DEC, UNION, ZONE_IDS
 from .spatial_q import CALM_GEO, FINDINGS, GEO, calm_findings, findings
 
 # plan buildings of the snapshot before a revision
@@ -218,7 +218,7 @@ AUD_RUN = """select o_orderkey as run_id, o_orderkey%13<>0 as complete, concat(o
   concat('s', case when o_orderkey%19=0 then -1 else o_custkey end) as source_sha256, concat('p', case when o_orderkey%23=0 then -1 else o_custkey end) as plan_sha256 from {orders}"""
 AUD_DEC = "select o_custkey as plan_id, l_orderkey as run_id, concat('B', l_orderkey%8) as id, l_linenumber, l_suppkey from {lineitem} join {orders} on l_orderkey=o_orderkey"
 AUD_PLAN = "select c_custkey as plan_id, concat('s', c_custkey) as source_sha256, concat('p', c_custkey) as plan_sha256 from {customer}"
-AUD_SEL = "select l_orderkey as run_id, concat('B', l_orderkey%8) as id from {lineitem} where l_linenumber = 1"
+AUD_SEL = "select distinct l_orderkey as run_id, concat('B', l_orderkey%8) as id from {lineitem} where l_linenumber = 1"
 AUD_SQL = with_(R.cte("ru", AUD_RUN), R.cte("de", AUD_DEC), R.cte("pl", AUD_PLAN), R.cte("se", AUD_SEL)) + """, ds AS (SELECT * FROM de WHERE (run_id,id) IN (SELECT (run_id,id) FROM se)),
 j AS (SELECT ds.*, CASE WHEN NOT complete THEN 'incomplete_run' WHEN ru.source_sha256<>pl.source_sha256 THEN 'source_changed' WHEN ru.plan_sha256<>pl.plan_sha256 THEN 'other_snapshot' WHEN crop<>meta_crop THEN 'crop_differs' WHEN n>1 THEN 'ambiguous' END AS reason
  FROM ds JOIN ru USING (run_id) JOIN pl USING (plan_id) JOIN (SELECT plan_id, id, count(*) AS n FROM ds GROUP BY 1,2) c USING (plan_id,id))"""
@@ -238,6 +238,26 @@ def refused_evidence(spark, d):
     return _evidence(spark, d)[1]
 
 
+PICKED = """select run_id, id from (select l_orderkey as run_id, concat('B', case when l_orderkey%9=0 then 99 else l_orderkey%8 end) as id, l_linenumber as n, l_orderkey as k from {lineitem} group by 1, 2, 3, 4) t where n = 1 or (n = 2 and k%4 = 0)"""
+
+
+def _selected(spark, d):
+    return E.load_evidence(R.derive(spark, d, AUD_DEC), R.derive(spark, d, AUD_RUN), R.derive(spark, d, AUD_PLAN), R.derive(spark, d, PICKED))
+
+
+PICKED_SQL = with_(R.cte("ru", AUD_RUN), R.cte("de", AUD_DEC), R.cte("pl", AUD_PLAN), R.cte("se", PICKED)) + """, wrong AS (SELECT run_id FROM se GROUP BY run_id, id HAVING count(*)>1 UNION SELECT run_id FROM se WHERE (run_id, id) NOT IN (SELECT (run_id, id) FROM de)),
+ds AS (SELECT * FROM de WHERE run_id IN (SELECT run_id FROM wrong) OR (run_id,id) IN (SELECT (run_id,id) FROM se)),
+j AS (SELECT ds.*, CASE WHEN run_id IN (SELECT run_id FROM wrong) THEN 'invalid_selection' WHEN NOT complete THEN 'incomplete_run' WHEN ru.source_sha256<>pl.source_sha256 THEN 'source_changed' WHEN ru.plan_sha256<>pl.plan_sha256 THEN 'other_snapshot' WHEN crop<>meta_crop THEN 'crop_differs' WHEN n>1 THEN 'ambiguous' END AS reason
+ FROM ds JOIN ru USING (run_id) JOIN pl USING (plan_id) JOIN (SELECT plan_id, id, count(*) AS n FROM ds GROUP BY 1,2) c USING (plan_id,id))"""
+
+
+@query("selected_evidence", PICKED_SQL + "SELECT plan_id, run_id, id, l_linenumber, l_suppkey, reason FROM j")
+def selected_evidence(spark, d):
+    """Chosen decisions; a run whose choice names an id twice, or one that is not there, is refused whole."""
+    good, refused = _selected(spark, d)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
+
+
 @query("audited_box_moved", with_(BL) + "SELECT plan_id, id FROM bl WHERE abs(k%5-2) > 1")
 def audited_box_moved(spark, d):
     """Boxes audited 0 or 0.008 away are the same, 2 away belong to another snapshot."""
@@ -375,9 +395,21 @@ def focus_round_trip(spark, d):
 
 PLANS = "select c_custkey as plan_id, c_custkey%29=0 as review_only, concat('h', c_custkey) as sha256 from {customer}"
 REVIEWS = "select c_custkey as plan_id, case when c_custkey%2=0 then 'plan_final_check' else 'plan_critique' end as stage, case when c_custkey%7=0 then 'revise' when c_custkey%2=0 then 'ready_for_confirmation' else 'reasonable_approximation' end as verdict, concat('h', case when c_custkey%11=0 then 0 else c_custkey end) as plan_sha256 from {customer}"
-OPEN = "select o_custkey as plan_id from {orders} where o_orderstatus='P' and o_totalprice < 20000"
-ISS = "select cast(o_custkey as string) as doc_id from {orders} where o_totalprice > 480000"
-GATE_PARTS = (R.cte("ps", PLANS), R.cte("rv", REVIEWS), R.cte("op", OPEN), R.cte("iss", ISS))
+OPEN = "select o_custkey as plan_id, o_orderkey as id from {orders} where o_orderstatus='P' and o_totalprice < 20000"
+# plan buildings of which most keep every rule; what is wrong with the others comes with the rows they are made of
+SOUND = f"""select doc_id, id, sx0 as q0x, sy0 as q0y, sx1 as q1x, sy0 as q1y, sx1 as q2x, sy1 as q2y, sx0 as q3x, sy1 as q3y, sx0, sy0, sx1, sy1, ax, ay, cx, cy, d*(ratio_low+ratio_high)/2 as w, d, clock, ratio_low, ratio_high,
+  category, confidence, concat(subtype, 'x') as subtype, coalesce(label, 'label') as label, concat(evidence, ' seen') as evidence, assumption, concat('Z', k%4) as zone_id from ({R.BUILDING_TEXT_ROWS}) t"""
+MARKERS = """select o_custkey as doc_id, concat('H', o_orderkey) as id, cast(o_orderkey*37%600 as double) as x0, cast(o_orderkey*53%600 as double) as y0, cast(o_orderkey*37%600+90 as double) as x1, cast(o_orderkey*53%600+80 as double) as y1,
+  cast(o_orderkey%900 as double) as mx, cast(o_orderkey%900 as double) as my, o_orderkey%5<>0 as candidate_only, false as marker_is_foundation, cast(null as string) as plan_size, cast(null as string) as source_ids, cast(null as string) as zone_id,
+  'l' as label, 'e' as evidence, case when o_orderkey%3=0 then '' else 'u' end as uncertainty, 'r' as source_run from {orders} where o_orderstatus='P' and o_totalprice < 20000"""
+ISSUE_PARTS = (
+    R.cte("bl", SOUND),
+    R.cte("zo", ZONE_IDS),
+    R.cte("mk", MARKERS),
+    "iss AS (" + BUILDING_ISSUES + UNION + R.sql_issue("claims_foundation", "mk WHERE NOT candidate_only") + UNION + R.sql_issue("missing_uncertainty", "mk WHERE uncertainty=''")
+    + UNION + R.sql_issue("level", "zo WHERE doc_id%23=0 AND zone_id='Z1'", entity="zone_id") + UNION + R.sql_issue("scene_boundary", "customer WHERE c_custkey%31=0", doc="c_custkey", entity="'scene'") + ")",
+)
+GATE_PARTS = (R.cte("ps", PLANS), R.cte("rv", REVIEWS), R.cte("op", OPEN), *ISSUE_PARTS)
 GATE_BODY = """, gate AS (SELECT ps.plan_id, review_only, coalesce(plan_sha256=sha256,FALSE) AS hash_ok, coalesce(verdict = CASE WHEN stage='plan_final_check' THEN 'ready_for_confirmation' ELSE 'reasonable_approximation' END,FALSE) AS verdict_ok,
   coalesce(o.n,0) AS open_edits, coalesce(i.n,0) AS schema_issues, coalesce(f.n,0) AS major_findings FROM ps LEFT JOIN rv USING (plan_id) LEFT JOIN (SELECT plan_id, count(*) AS n FROM op GROUP BY 1) o USING (plan_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM iss GROUP BY 1) i ON i.doc_id=ps.plan_id::VARCHAR LEFT JOIN (SELECT plan_id, count(*) FILTER (severity='major') AS n FROM findings GROUP BY 1) f ON f.plan_id=ps.plan_id),
@@ -386,10 +418,22 @@ GATE_SQL = with_(*GEO, *GATE_PARTS) + GATE_BODY
 CALM_GATE_SQL = with_(*CALM_GEO, *GATE_PARTS) + GATE_BODY
 
 
+def plan_issues(spark, d):
+    """Issues of every plan from the rule sets themselves: buildings, zones and boundary, pending markers."""
+    zones = R.plan_zones(spark, d).select(
+        F.col("plan_id").alias("doc_id"), F.col("zone_id").alias("id"), F.lit("zones").alias("collection"), F.col("poly").alias("source_poly"), F.col("poly").alias("plan_poly"),
+        F.expr("case when plan_id%23=0 and zone_id='Z1' then 'top' else 'low' end").alias("level"), F.lit(None).cast("string").alias("category"),
+        F.expr("array(named_struct('x', 1D, 'y', 0D), named_struct('x', 0D, 'y', 1D))").alias("axes"),
+    )
+    square = F.expr("array(named_struct('x', case when c_custkey%31=0 then -1D else 0D end, 'y', 0D), named_struct('x', 1000D, 'y', 0D), named_struct('x', 1000D, 'y', 1000D))")
+    bounds = R.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), square.alias("source_poly"), square.alias("plan_poly"))
+    b = R.derive(spark, d, SOUND)
+    return P.schema_issues(b, R.derive(spark, d, ZONE_IDS), zones, bounds, R.derive(spark, d, MARKERS))
+
+
 def _gate(spark, d):
-    f = calm_findings(spark, d)
-    g = P.publication_gate(R.derive(spark, d, PLANS), R.derive(spark, d, REVIEWS), R.derive(spark, d, OPEN), R.derive(spark, d, ISS), f)
-    return g, f
+    f, i = calm_findings(spark, d), plan_issues(spark, d)
+    return P.publication_gate(R.derive(spark, d, PLANS), R.derive(spark, d, REVIEWS), R.derive(spark, d, OPEN), i, f), f
 
 
 @query("publication_gate", CALM_GATE_SQL + "SELECT plan_id, review_only, hash_ok, verdict_ok, open_edits, schema_issues, major_findings, publishable FROM gt")
@@ -409,6 +453,21 @@ def publication_manifest(spark, d):
     return P.manifest(g, R.derive(spark, d, PLANS), R.images(spark, d), R.derive(spark, d, OPEN), f)
 
 
+UNCLEAR = "select o_custkey as plan_id, o_orderkey as id from {orders} where o_orderstatus = 'P' or o_totalprice > 200000"
+
+
+@query(
+    "publication_open_items",
+    CALM_GATE_SQL.replace("gate AS (", UNCLEAR.join(("un AS (", "), gate AS (")).replace("{orders}", "orders"), 1)
+    + """SELECT gt.plan_id, 'pending' AS section, CAST(un.id AS VARCHAR) AS id, NULL AS text FROM gt JOIN un ON un.plan_id=gt.plan_id WHERE publishable
+UNION ALL SELECT gt.plan_id, 'finding', CAST(f.id AS VARCHAR), concat_ws(' ', severity, kind, other) FROM gt JOIN findings f ON f.plan_id=gt.plan_id WHERE publishable""",
+)
+def publication_open_items(spark, d):
+    """Pending candidates and findings by name of the plans that pass the gate."""
+    g, f = _gate(spark, d)
+    return P.open_items(g, R.derive(spark, d, UNCLEAR), f)
+
+
 @query(
     "accepted_hypotheses",
     with_(R.cte("al", GC_ALT), R.cte("de", GC_DEC))
@@ -451,11 +510,11 @@ def next_review_round(spark, d):
 
 @query(
     "draft_routing",
-    with_(R.cte("ps", PLANS), R.cte("iss", ISS)) + "SELECT plan_id, coalesce(n,0) AS draft_issues, coalesce(n,0)=0 AS accepted FROM ps LEFT JOIN (SELECT doc_id, count(*) AS n FROM iss GROUP BY 1) i ON i.doc_id=plan_id::VARCHAR",
+    with_(R.cte("ps", PLANS), *ISSUE_PARTS) + "SELECT plan_id, coalesce(n,0) AS draft_issues, coalesce(n,0)=0 AS accepted FROM ps LEFT JOIN (SELECT doc_id, count(*) AS n FROM iss GROUP BY 1) i ON i.doc_id=plan_id::VARCHAR",
 )
 def draft_routing(spark, d):
     """Plans without issues are accepted, the others kept as marked drafts."""
-    good, drafts = V.gate(R.derive(spark, d, PLANS), R.derive(spark, d, ISS))
+    good, drafts = V.gate(R.derive(spark, d, PLANS), plan_issues(spark, d))
     return good.select("plan_id", F.lit(0).cast("long").alias("draft_issues"), F.lit(True).alias("accepted")).unionByName(
         drafts.select("plan_id", "draft_issues", F.lit(False).alias("accepted"))
     )

@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from siteweave.operators import rules
-from siteweave.plans import history, versions
+from siteweave.operators import intake, rules
+from siteweave.plans import evidence, history, versions
 
 ANSWER = "doc_id int, id string, anchor_status string, w double"
 
@@ -85,3 +85,24 @@ def test_removals_add_to_a_replaced_list_and_rebuilt_ownership_forgets(rows):
     assert {tuple(r) for r in history.review_rejections(old, patches, removed, claims).collect()} == {(1, "s1", "shadow"), (2, "s0", "before"), (2, "s3", "roof")}
     owned, rejected = history.rebuilt_ownership(rows("plan_id int, source_id string, target string, reason string", (1, "s1", "A", None), (1, "s2", None, "none")))
     assert [tuple(r) for r in owned.collect()] == [(1, "s1", "A")] and [tuple(r) for r in rejected.collect()] == [(1, "s2", "none")]
+
+
+def test_a_choice_with_unknown_or_repeated_ids_refuses_its_run(rows):
+    decisions = rows("plan_id int, run_id int, id string", (1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (1, 3, "e"), (1, 4, "f"))
+    runs = rows("run_id int, complete boolean, crop string, meta_crop string, source_sha256 string, plan_sha256 string", *((k, k != 4, "c", "c", "s", "p") for k in range(1, 5)))
+    plans = rows("plan_id int, source_sha256 string, plan_sha256 string", (1, "s", "p"))
+    chosen = rows("run_id int, id string", (1, "a"), (2, "c"), (2, "c"), (3, "d"), (3, "nowhere"), (4, "f"))
+    good, refused = evidence.load_evidence(decisions, runs, plans, chosen)
+    assert [r.id for r in good.collect()] == ["a"]
+    assert {(r.id, r.reason) for r in refused.collect()} == {("c", "invalid_selection"), ("d", "invalid_selection"), ("e", "invalid_selection"), ("f", "incomplete_run")}
+    assert {r.id for r in evidence.load_evidence(decisions, runs, plans)[0].collect()} == set("abcde")
+
+
+def test_report_counts_only_answers_of_the_stage(rows):
+    gated = rows("run_id string, stage string, refused string", ("r1", "inventory", None), ("r2", "review", None), ("r3", "inventory", "truncated"), ("r4", "inventory", None))
+    box = (0.0, 0.0, 10.0, 10.0, None)
+    objects = rows("run_id string, id string, category string, x0 double, y0 double, x1 double, y1 double, occluder string", ("r1", "a", "tree_group", *box), ("r1", "b", "mountain", *box), ("r1", "c", "ship", *box), ("r2", "a", "house", *box))
+    report, counts, refused = intake.normalization_report(gated, objects)
+    assert {tuple(r) for r in report.collect()} == {("r1", 1, 1, 1), ("r4", 0, 0, 0)}
+    assert {tuple(r) for r in counts.collect()} == {("r1", "tree", 1), ("r1", "mountain", 1), ("r1", "ship", 1)}
+    assert {tuple(r) for r in refused.collect()} == {("r2", "wrong_stage"), ("r3", "truncated")}
