@@ -6,14 +6,18 @@ is decided twice over, with the same result:
 * groups up to ``group_limit`` items fold over their ranked array inside the JVM;
 * larger groups never meet in one task. Their conflict graph comes from the
   spread pair join and is settled in rounds: an item without an undecided better
-  rival is kept, and every item that loses to a kept one is dropped.
+  rival is kept, and every item that loses to a kept one is dropped. What is left
+  of a group after a few rounds is settled by one pass over its conflicts, as long
+  as there is a bounded number of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, iou_clamped
@@ -22,6 +26,9 @@ from .overlap import box_pairs
 
 GROUP_LIMIT = 2000
 
+#: Rounds before what is left is looked at, and the conflicts of a group that one task then settles.
+ROUNDS, FOLD_EDGES = 3, 1 << 20
+
 # conflict(worse, better) on two structs holding the fields of an item
 Conflict = Callable[[Column, Column], Column]
 
@@ -66,19 +73,54 @@ def greedy_groups(
     return folded.select(*keys, F.col("_o.id").alias("id"), F.col("_o.duplicate_of").alias("duplicate_of"))
 
 
-def greedy_rounds(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def beaten_in_order(open_edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, id`` of the items that a greedy pass over each group's conflicts throws out, one group after the other.
+
+    Conflicts come in the order of their better item: when its turn comes, whatever
+    could beat it has been decided.
+    """
+    keys = list(keys)
+    seq = F.row_number().over(W.partitionBy(*keys).orderBy("_rank", "worse")).alias("_seq")
+    slim = open_edges.select(*keys, "better", "worse", seq)
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+
+    def run(edges: pd.DataFrame) -> pd.DataFrame:
+        beaten, edges = set(), edges.sort_values("_seq")
+        for better, worse in zip(edges["better"].tolist(), edges["worse"].tolist(), strict=True):
+            if better not in beaten:
+                beaten.add(worse)
+        gone = edges[edges["worse"].isin(beaten)].drop_duplicates("worse")
+        return gone[[*keys, "worse"]].rename(columns={"worse": "id"})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['worse']}"])
+    return slim.groupBy(*keys).applyInPandas(run, schema)
+
+
+def greedy_rounds(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], fold_edges: int = FOLD_EDGES) -> DataFrame:
     """Same verdicts from a conflict graph, for groups of any size.
 
     ``nodes``: keys, id. ``edges``: keys, better, worse, ``_rank`` (rank of the
-    better item). Every round settles at least the best undecided item of each
-    group and all independent ones beside it.
+    better item). A round settles, all over the group, the undecided items that no
+    undecided one beats, and what they beat. After ``ROUNDS`` of them, groups with at
+    most ``fold_edges`` conflicts left are settled by one pass each, so that a long
+    chain of conflicts does not take a round a link; larger ones go on in rounds.
     """
     keys = list(keys)
     edges = cut(edges.select(*keys, "better", "worse", "_rank"))
     open_edges = edges
     undecided = cut(nodes.select(*keys, "id"))
     kept_parts: list[DataFrame] = []
+    rounds = 0
     while not undecided.isEmpty():
+        if rounds == ROUNDS:
+            rounds = 0
+            large = cut(open_edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_edges).select(*keys))
+            beaten = beaten_in_order(open_edges.join(large, keys, "left_anti"), keys)
+            kept_parts.append(cut(undecided.join(large, keys, "left_anti").join(beaten, [*keys, "id"], "left_anti")))
+            undecided = cut(undecided.join(large, keys, "left_semi"))
+            open_edges = cut(open_edges.join(large, keys, "left_semi"))
+            continue
+        rounds += 1
         blocked = open_edges.select(*keys, F.col("worse").alias("id")).distinct()
         kept = cut(undecided.join(blocked, [*keys, "id"], "left_anti"))
         kept_parts.append(kept)

@@ -157,3 +157,33 @@ def test_mask_comparison_of_empty_pairs(spark, rows):
     a, b = rows(s, (1, 1, 0, 0, 4), (1, 1, 1, 0, 4)), rows(s, (1, 1, 0, 2, 6), (1, 2, 0, 0, 3))
     m = {r.id: (r.iou, r.changed) for r in masks.mask_comparison(a, b).collect()}
     assert m[1] == (pytest.approx(2 / 10), pytest.approx(8 / 10)) and m[2] == (0.0, 1.0)
+
+
+@pytest.mark.parametrize("fold", [1 << 20, 5])
+def test_long_chains_of_conflicts_take_few_rounds(spark, rows, monkeypatch, fold):
+    """Each box meets the next one only; image 1 is one chain by falling score, image 2 has chains in any order."""
+    rnd = random.Random(4)
+    n = 3_000 if fold > 5 else 24
+    data = [(1, k, 5.0 * k, 0.0, 5.0 * k + 10, 10.0, 1.0 - k / (2 * n)) for k in range(n)]
+    data += [(2, k, 5.0 * (k + k // 7), 0.0, 5.0 * (k + k // 7) + 10, 10.0, rnd.random()) for k in range(n)]
+    cuts, plain = [], suppress.cut
+
+    def counted(df):
+        cuts.append(1)
+        return plain(df)
+
+    monkeypatch.setattr(suppress, "cut", counted)
+    monkeypatch.setattr(suppress, "FOLD_EDGES", fold)
+    whole = suppress.greedy_rounds
+    monkeypatch.setattr(suppress, "greedy_rounds", lambda *a: whole(*a, fold_edges=fold))
+    boxes = rows("image_id int, id int, x0 double, y0 double, x1 double, y1 double, score double", *data)
+    got = {(r.image_id, r.id) for r in suppress.box_nms(boxes, 0.25, group_limit=10).collect()}
+    want = set()
+    for image in (1, 2):
+        kept = []
+        for r in sorted((r for r in data if r[0] == image), key=lambda r: (-r[6], r[1])):
+            if all(min(r[4], k[4]) - max(r[2], k[2]) < 4 for k in kept):  # neighbours share 5 of 15
+                kept.append(r)
+        want |= {(image, r[1]) for r in kept}
+    assert got == want
+    assert fold == 5 or len(cuts) < 25
