@@ -503,6 +503,10 @@ linked AS (
   SELECT a, b FROM met JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b
   WHERE 100 * common >= {percent} * (p.n + q.n - common)),
 edge AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
-reach AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.seen = edge.a)
-SELECT d.doc_id, CAST(coalesce(max(sized.n), 0) AS BIGINT) AS n_shingles, min(reach.seen) AS component_id
-FROM d LEFT JOIN sized USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+reach AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.seen = edge.a),
+class AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS class FROM s GROUP BY doc_id),
+degree AS (
+  SELECT edge.a AS doc_id, count(DISTINCT y.class) AS n_links
+  FROM edge JOIN class x ON x.doc_id = edge.a JOIN class y ON y.doc_id = edge.b AND y.class <> x.class GROUP BY edge.a)
+SELECT d.doc_id, CAST(coalesce(max(sized.n), 0) AS BIGINT) AS n_shingles, min(reach.seen) AS component_id, coalesce(max(degree.n_links), 0) AS n_links
+FROM d LEFT JOIN sized USING (doc_id) LEFT JOIN reach USING (doc_id) LEFT JOIN degree USING (doc_id) GROUP BY d.doc_id"""

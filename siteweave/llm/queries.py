@@ -101,7 +101,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard", jaccard_join.near_duplicates_sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op11_lexical_search", lexical_search.search_sql())
