@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["boxes", "rulesets", "spatial_q", "plans_q", "cuboid_q", "intake_q", "checks_q", "versions_q", "files_q"]
+MODULES = ["boxes", "rulesets", "spatial_q", "plans_q", "cuboid_q", "intake_q", "checks_q", "versions_q", "files_q", "documents_q"]
 
 
 def _load() -> None:
