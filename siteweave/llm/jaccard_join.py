@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranking import spread_join
 from ..session import cut
 from .common import as_bytes, free_name, map_batches, parallel, slices
 from .shingles import mix, shingle_sets
@@ -32,6 +33,9 @@ FINE_PARTS = 256
 #: Sets of one part of a component, and their bytes; the pairs of two parts are counted at once.
 PART_SETS, PART_BYTES = 512, 16 << 20
 
+#: Documents of a component that one task ties to its smallest id.
+COMPONENT_ROWS = 1 << 10
+
 #: N-grams whose presence in the sets of two parts is multiplied at once.
 COLUMNS = 1 << 12
 
@@ -457,9 +461,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **kw) -> Da
 
 def _tied(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``_id, row_key, n_shingles, class_id, component_id`` for every document."""
-    full = rows.filter("n > 0").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    full = cut(rows.filter("n > 0").join(roots, "cid", "left").select("_id", "key", "n", "cid", F.coalesce("root", "cid").alias("root")))
     least = full.groupBy("root").agg(F.min("_id").alias("component_id"))
-    tied = full.join(least, "root", "left").select("_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "component_id")
+    # a component with very many documents is dealt out over parts
+    tied = spread_join(full, least, ["root"], COMPONENT_ROWS).select("_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "component_id")
     empty = rows.filter("n = 0").select(
         "_id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("_id").alias("component_id")
     )
