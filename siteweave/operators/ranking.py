@@ -92,13 +92,23 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return _with_totals(ordered, totals, keys).select(*df.columns, rank)
 
 
+#: Hot keys that are sent to every task; more of them are joined like any table.
+SENT_KEYS = 1 << 16
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = 1 << 16) -> DataFrame:
     """Inner equi join in which a key with more than ``limit`` rows of ``big`` is dealt out over parts.
 
-    Only the hot keys are counted out, by one aggregate of ``big`` (best written
-    before), and only their rows of ``small`` are repeated, once a part.
+    The hot keys are counted out and written by one aggregate of ``big`` (best written
+    before). Without any, this is a plain join. Else their rows of ``small`` are
+    repeated, once a part. Up to ``SENT_KEYS`` hot keys are broadcast, so that ``big``
+    is shuffled by key and part only.
     """
-    hot = big.groupBy(*keys).agg(F.expr(f"count(1) div {limit} + 1").alias("_parts")).filter("_parts > 1")
+    hot = cut(big.groupBy(*keys).agg(F.expr(f"count(1) div {limit} + 1").alias("_parts")).filter("_parts > 1"))
+    found = hot.count()
+    if not found:
+        return big.join(small, list(keys))
+    hot = F.broadcast(hot) if found <= SENT_KEYS else hot
     dealt = big.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     parts = F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1)
     repeated = small.join(hot, list(keys), "left").withColumn("_part", F.explode(parts)).drop("_parts")
