@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteweave.llm import jaccard_join as J
 from siteweave.llm.shingles import BLOCK, shingle_sets
+from siteweave.operators import ranking
 from .conftest import by_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +72,18 @@ def test_components_equal_all_pairs(docs, seed, hot):
     assert result(J.near_duplicates(docs(*texts), hot=hot)) == components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("sent", [1 << 16, 0])
+def test_documents_of_large_components_are_dealt_out(docs, monkeypatch, sent):
+    """Components beyond the limit are joined in parts, their keys broadcast or not; exact copies and rows without id among them."""
+    monkeypatch.setattr(J, "COMPONENT_ROWS", 2)
+    monkeypatch.setattr(ranking, "SENT_KEYS", sent)
+    texts = near_copies(3)
+    rows = [*enumerate(texts), *((200 + k, texts[0]) for k in range(9)), (None, texts[0]), (None, texts[1]), (300, None)]
+    assert result(J.near_duplicates(docs(*rows))) == components(rows)
+    kept = sorted(str(r["doc_id"]) for r in J.keep_one(docs(*rows)).collect())
+    assert kept == sorted(i for i, n, c in components(rows) if i == c or n == 0)
+
+
 def test_chains_ties_repeats_and_odd_texts(docs, clashing):
     base = [f"t{k}" for k in range(80)]
     chain = []
